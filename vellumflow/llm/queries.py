@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumflow.session import latest, read_table
+from vellumflow.session import broadcast_checked, latest, read_table
 
-from . import encode, packing, splitter
+from . import canonmap, encode, packing, splitter, visual
 
 CAPACITY = 8_192
 
@@ -24,6 +24,60 @@ def _kind(df: DataFrame, kind: str, id_col: str) -> DataFrame:
     return df.select(F.lit(kind).alias("item_kind"), F.col(id_col).alias("item_id"), *[c for c in df.columns if c != id_col])
 
 
+# --- 1
+
+
+def section_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """All forms of the catalog: names first, then aliases, then translation and transcription."""
+    catalog = read_table(spark, folder, "section_catalog")
+    names = catalog.select("canon_id", F.lit(0).alias("tier"), F.col("section_name").alias("form"))
+    aliases = catalog.select("canon_id", F.lit(1).alias("tier"), F.explode("aliases").alias("form"))
+    foreign = catalog.select("canon_id", F.lit(2).alias("tier"), F.explode(F.array("name_en", "pinyin")).alias("form"))
+    return names.unionByName(aliases).unionByName(foreign).filter(F.col("form").isNotNull())
+
+
+def _typed(spark: SparkSession, folder: str) -> DataFrame:
+    """``item_kind, item_id, value`` of all section values."""
+    typed = _kind(sections(spark, folder, "section_name").withColumnRenamed("section_name", "value"), "section_name", "section_id")
+    return typed.unionByName(_kind(read_table(spark, folder, "chunks").select("chunk_seq", F.col("section").alias("value")), "chunk_section", "chunk_seq"))
+
+
+def p1_map(spark: SparkSession, folder: str) -> DataFrame:
+    """Every section value with its entry, -1 if unmatched, NULL if there is no value."""
+    typed = _typed(spark, folder).select(F.struct("item_kind", "item_id").alias("item"), "value")
+    mapped = canonmap.map_values(typed, "item", "value", section_forms(spark, folder))
+    return mapped.select("item.item_kind", "item.item_id", "value", "canon_id", "distance").distinct()
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    names = read_table(spark, folder, "section_catalog").select(F.col("section_name").alias("value")).distinct()
+    cases = _typed(spark, folder).filter("value <> ''").join(broadcast_checked(names), "value", "left_anti")
+    mapped = canonmap.map_values(cases.select(F.struct("item_kind", "item_id").alias("item"), "value"), "item", "value", section_forms(spark, folder))
+    return mapped.select("item.item_kind", "item.item_id", "canon_id").distinct()
+
+
+def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of unmatched values with the number of items that hold them."""
+    return p1_map(spark, folder).filter(F.col("canon_id") == canonmap.UNMATCHED).groupBy("item_kind", "value").agg(F.count(F.lit(1)).alias("n_items"))
+
+
+# --- 3
+
+
+def p3_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every entry name and chunk text in its one form."""
+    names = latest(read_table(spark, folder, "drug_entries").select("entry_id", "loaded_at", "drug_name"), "entry_id")
+    texts = latest(read_table(spark, folder, "chunks").select("chunk_seq", "loaded_at", "content"), "chunk_seq")
+    parts = [_kind(visual.canonical_forms(names, "entry_id", "drug_name"), "drug_name", "entry_id"), _kind(visual.canonical_forms(texts, "chunk_seq", "content"), "chunk_content", "chunk_seq")]
+    return parts[0].unionByName(parts[1]).select("item_kind", "item_id", "canonical", (F.col("text") != F.col("canonical")).alias("changed"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    names = visual.look_alike_pairs(read_table(spark, folder, "drug_entries"), "entry_id", "drug_name")
+    texts = visual.look_alike_pairs(read_table(spark, folder, "chunks"), "chunk_seq", "content")
+    return names.select(F.lit("drug_name").alias("item_kind"), "id_a", "id_b").unionByName(texts.select(F.lit("chunk_content").alias("item_kind"), "id_a", "id_b"))
+
+
 # --- 4
 
 
@@ -64,6 +118,11 @@ def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_map": p1_map,
+    "p1_unmatched": p1_unmatched,
+    "p3_found": p3_found,
+    "p3_forms": p3_forms,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p6_ids": p6_ids,
