@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellumflow.session import broadcast_checked, latest, read_table
 
-from . import canonmap, encode, packing, splitter, visual
+from . import canonmap, encode, packing, pairs, splitter, visual
 
 CAPACITY = 8_192
 
@@ -61,6 +61,21 @@ def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return p1_map(spark, folder).filter(F.col("canon_id") == canonmap.UNMATCHED).groupBy("item_kind", "value").agg(F.count(F.lit(1)).alias("n_items"))
 
 
+# --- 2
+
+
+def p2_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair with its defect, NULL if it has none."""
+    results = pairs.flag_pairs(read_table(spark, folder, "query_results"), "result_id", "query", "answer")
+    replies = pairs.flag_pairs(read_table(spark, folder, "gen_responses"), "response_id", "query", "raw_answer")
+    named = [d.select(F.lit(kind).alias("record_kind"), F.col(d.columns[0]).alias("record_id"), "defect") for kind, d in (("query_result", results), ("gen_response", replies))]
+    return named[0].unionByName(named[1]).distinct()
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_flags(spark, folder).filter("defect IS NOT NULL")
+
+
 # --- 3
 
 
@@ -121,6 +136,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_map": p1_map,
     "p1_unmatched": p1_unmatched,
+    "p2_found": p2_found,
+    "p2_flags": p2_flags,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
     "p4_found": p4_found,
