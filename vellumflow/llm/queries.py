@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellumflow.session import broadcast_checked, latest, read_table
 
-from . import canonmap, encode, packing, pairs, splitter, visual
+from . import canonmap, encode, packing, pairs, spam, splitter, visual
 
 CAPACITY = 8_192
 
@@ -132,6 +132,18 @@ def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(encode.token_counts(documents), CAPACITY, n_rows=documents.count())
 
 
+# --- 8
+
+
+def p8_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page with its features and the verdict."""
+    return spam.find_spam(read_table(spark, folder, "documents"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_pages(spark, folder).filter("spam").select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_map": p1_map,
@@ -144,6 +156,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_pieces": p4_pieces,
     "p6_ids": p6_ids,
     "p7_pack": p7_pack,
+    "p8_found": p8_found,
+    "p8_pages": p8_pages,
 }
 
 SQL: dict[str, str] = {
