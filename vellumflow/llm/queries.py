@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumflow.session import broadcast_checked, latest, read_table
 
-from . import canonmap, encode, packing, pairs, spam, splitter, visual
+from . import canonmap, encode, packing, pairs, scan, spam, splitter, visual
 
 CAPACITY = 8_192
 
@@ -120,6 +121,36 @@ UNION ALL
 SELECT DISTINCT 'section', s.section_id FROM (SELECT unnest(sections) AS s FROM drug_entries) WHERE length(s.content) > 1500
 """
 
+# --- 5
+
+
+def _scanned(spark: SparkSession, folder: str, once: bool) -> list[tuple[str, str, str, DataFrame]]:
+    """Kind, id, text column and rows of everything that was scanned."""
+    chunks = read_table(spark, folder, "chunks").select("chunk_seq", "loaded_at", "content")
+    entries = read_table(spark, folder, "drug_entries").select("entry_id", "loaded_at", "drug_name", F.col("sections.section_id").alias("section_ids"), F.col("sections.section_name").alias("section_names"))
+    if once:
+        chunks, entries = latest(chunks, "chunk_seq"), latest(entries, "entry_id")
+    headings = entries.select(F.explode(F.arrays_zip("section_ids", "section_names")).alias("s")).select(F.col("s.section_ids").alias("section_id"), F.col("s.section_names").alias("section_name"))
+    return [("chunk_content", "chunk_seq", "content", chunks), ("drug_name", "entry_id", "drug_name", entries), ("section_name", "section_id", "section_name", headings)]
+
+
+def _repaired(spark: SparkSession, folder: str, once: bool) -> DataFrame:
+    sources = _scanned(spark, folder, once)
+    texts = reduce(DataFrame.unionByName, [df.select(F.col(text).alias("text")) for _, _, text, df in sources])
+    lexicon = scan.build_lexicon(texts, "text")
+    parts = [_kind(scan.repair_texts(df, key, text, lexicon, names=kind != "chunk_content"), kind, key) for kind, key, text, df in sources]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _repaired(spark, folder, once=False).select("item_kind", "item_id", F.explode("noise").alias("noise_kind")).distinct()
+
+
+def p5_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Every scanned text in its readable form."""
+    return _repaired(spark, folder, once=True)
+
+
 # --- 6, 7
 
 
@@ -154,6 +185,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_forms": p3_forms,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_clean": p5_clean,
     "p6_ids": p6_ids,
     "p7_pack": p7_pack,
     "p8_found": p8_found,
