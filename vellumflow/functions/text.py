@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 #: Section markers as scanned and as printed.
 MARKER_FIXES = (("【検查】", "【检查】"), ("【含量測定】", "【含量测定】"), ("〔礎藏〕", "〔贮藏〕"), ("〔疋藏〕", "〔贮藏〕"), ("〔规格（l）〕", "〔规格（1）〕"), ("【性味与帰経】", "【性味与归经】"), ("【性味與歸經】", "【性味与归经】"))
-#: Context rules, a Java pattern and its replacement, applied in this order.
+#: Context rules, a Java pattern and its replacement, applied in this order. A
+#: third value is a literal without which the pattern cannot match; it spares the search.
 CONTEXT_FIXES = (
     ("(皂)昔", "$1苷"),
     ("(黄芩)昔", "$1苷"),
     ("(连翘)昔", "$1苷"),
     ("(芍药)昔", "$1苷"),
-    ("(?U)(\\w+苷)\\s*昔", "$1"),
+    ("(?U)(\\w+苷)\\s*昔", "$1", "昔"),
     ("照髙效液相色谱法", "照高效液相色谱法"),
     ("照高效液相色谱法（通则。512）", "照高效液相色谱法（通则0512）"),
     ("通则。832", "通则0832"),
@@ -51,9 +52,14 @@ def replace_literals(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, text)
 
 
-def replace_patterns(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
+def replace_patterns(text: Column, rules: Sequence[tuple[str, ...]]) -> Column:
     """Ordered pattern replacements; ``\\w`` and ``\\s`` need ``(?U)`` to be of all scripts."""
-    return reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), rules, text)
+
+    def apply(c: Column, rule: tuple[str, ...]) -> Column:
+        replaced = F.regexp_replace(c, rule[0], rule[1])
+        return F.when(F.contains(c, F.lit(rule[2])), replaced).otherwise(c) if len(rule) > 2 else replaced
+
+    return reduce(apply, rules, text)
 
 
 def half_width(text: Column) -> Column:
@@ -73,7 +79,7 @@ def repair_references(text: Column) -> Column:
     return F.regexp_replace(F.replace(text, F.lit("■"), F.lit("。")), "通则0?\\.?([0-9]{4})", "通则$1")
 
 
-def clean_text(text: Column, literals: Sequence[tuple[str, str]] = MARKER_FIXES, rules: Sequence[tuple[str, str]] = CONTEXT_FIXES) -> Column:
+def clean_text(text: Column, literals: Sequence[tuple[str, str]] = MARKER_FIXES, rules: Sequence[tuple[str, ...]] = CONTEXT_FIXES) -> Column:
     """Marker fixes, context rules, width, blanks, references, strip; NULL and '' pass."""
     return strip(repair_references(collapse_blanks(half_width(replace_patterns(replace_literals(text, literals), rules)))))
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumflow.session import broadcast_checked
+from vellumflow.session import broadcast_checked, cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -36,12 +36,18 @@ class Bm25Index:
 
 
 def build(docs: DataFrame, tokens: Column, id_col: str = "id") -> Bm25Index:
-    """Documents without tokens count for the statistics with length 0."""
-    tokenised = docs.select(F.col(id_col).alias("id"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens")).withColumn("dl", F.size("tokens"))
-    postings = tokenised.select("id", "dl", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    stats = tokenised.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    counted = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats.select("n_docs")))  # one row
-    raw = counted.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    """Documents without tokens count for the statistics with length 0.
+
+    The postings are written once, through a checkpoint in the shared folder; dictionary and
+    statistics are aggregations of them and do not tokenise again.
+    """
+    tokenised = docs.select(F.col(id_col).alias("id"), tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
+    counted = tokenised.select("id", "dl", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    postings = cut(counted)
+    n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    stats = n_docs.crossJoin(postings.agg(F.sum("tf").alias("n_tokens"))).select("n_docs", (F.coalesce("n_tokens", F.lit(0)) / F.greatest("n_docs", F.lit(1))).alias("avgdl"))  # one row each
+    frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n_docs))  # one row
+    raw = cut(frequencies.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
     floor = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
     terms = raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))  # one row
     return Bm25Index(postings, terms, stats)

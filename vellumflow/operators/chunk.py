@@ -145,47 +145,59 @@ def route(name: Column, content: Column, table: Column) -> Column:
     )
 
 
+_KIND = "array<struct<section:string,content:string,chunk_type:string,table_markdown:string>>"
+
+
+def _chunk(kind: str, section: Column, content: Column, table: Column | None = None) -> Column:
+    return F.struct(section.alias("section"), content.alias("content"), F.lit(kind).alias("chunk_type"), (F.lit(None).cast("string") if table is None else table).alias("table_markdown"))
+
+
 def detailed_chunks(name: Column, content: Column, table: Column, limit: int = LIMIT) -> Column:
-    """``array<struct<section, content, chunk_type, table_markdown>>`` of one detailed section."""
+    """``array<struct<section, content, chunk_type, table_markdown>>`` of one detailed section.
+
+    Each way of splitting is a fold that runs only where its case is reached.
+    """
     text, tab = strip(F.coalesce(content, F.lit(""))), F.coalesce(table, F.lit(""))
     full = F.when(tab == "", text).when(text == "", tab).otherwise(F.concat(text, F.lit("\n\n"), tab))
-    components, items, pieces = split_components(text), split_items(text), windows(text, limit)
 
-    def chunk(kind: str, value: Column, label: Column, with_table: bool = False) -> Column:
-        return F.struct(label.alias("section"), value.alias("content"), F.lit(kind).alias("chunk_type"), (F.when(tab != "", tab) if with_table else F.lit(None).cast("string")).alias("table_markdown"))
+    def windowed() -> Column:
+        parts = sentences(text)
+        label = lambda i: F.concat(name, F.lit("-段"), (i + 1).cast("string"))
+        slices = F.transform(fixed_slices(text, limit), lambda p, i: _chunk("window", label(i), p))
+        return F.when(F.size(parts) <= 1, slices).otherwise(F.transform(sliding_windows(parts, limit), lambda p: _chunk("window", name, p)))
 
-    sliced = F.transform(pieces, lambda p, i: chunk("window", p, F.when(F.size(sentences(text)) <= 1, F.concat(name, F.lit("-段"), (i + 1).cast("string"))).otherwise(name)))
-    return (
-        F.when(F.length(full) <= limit, F.array(chunk("detailed", full, name, True)))
-        .when((name == "含量测定") & (F.size(components) >= 2), F.transform(components, lambda p: chunk("assay_component", p, name)))
-        .when((name == "检查") & (F.size(items) >= 2), F.transform(items, lambda p: chunk("check_item", p, name)))
-        .otherwise(sliced)
-    )
+    def split(kind: str, pieces: Column) -> Column:
+        """Chunks of the pieces, NULL if there is only one."""
+        chunks = F.transform(pieces, lambda p: _chunk(kind, name, p))
+        return F.filter(F.array(chunks), lambda c: F.size(c) >= 2)
+
+    items = F.try_element_at(F.when(name == "含量测定", split("assay_component", split_components(text))).when(name == "检查", split("check_item", split_items(text))), F.lit(1))
+    return F.when(F.length(full) <= limit, F.array(_chunk("detailed", name, full, F.when(tab != "", tab)))).otherwise(F.coalesce(items, windowed()))
 
 
 def chunk_entries(entries: DataFrame, id_col: str = "entry_id") -> DataFrame:
     """All chunks of all entries: ``id_col, pos, section, content, chunk_type, table_markdown,
-    char_count`` in emission order (summary, detailed sections, clinical chunks last)."""
-    kind = "array<struct<section:string,content:string,chunk_type:string,table_markdown:string>>"
-    none = F.lit(None).cast("string")
+    char_count`` in emission order (summary, detailed sections, clinical chunks last).
 
-    def one(section: str, kind_name: str, text: Column) -> Column:
-        return F.struct(F.lit(section).alias("section"), text.alias("content"), F.lit(kind_name).alias("chunk_type"), none.alias("table_markdown"))
-
-    sections = F.coalesce(F.col("sections"), F.array().cast(entries.schema["sections"].dataType))
-    routed = entries.withColumn("sections", F.transform(sections, lambda s: F.struct(s["section_name"].alias("section_name"), s["content"].alias("content"), s["table_markdown"].alias("table_markdown"), route(s["section_name"], s["content"], s["table_markdown"]).alias("way"))))
+    Three narrow branches, by kind of chunk, share the scan's columns; an entry meets its
+    own chunks again only in their order, so nothing is shuffled here.
+    """
+    whole = is_whole(F.col("intro_text"), F.col("sections"))
+    short = entries.filter(whole).select(F.col(id_col), F.lit(0).alias("part"), F.lit(0).alias("at"), F.array(_chunk("whole_entry", F.lit("完整条目"), whole_entry(F.col("intro_text"), F.col("sections")))).cast(_KIND).alias("chunks"))
+    long = entries.filter(~whole)
     text = summary(F.col("drug_name"), F.col("pinyin_name"), F.col("latin_name"), F.col("category_hint"), F.col("intro_text"), F.col("parent_drug"))
-    head = F.when(text.isNotNull(), F.array(one("药品概要", "summary", text))).otherwise(F.array().cast(kind))
-    detailed = F.flatten(F.transform(F.filter("sections", lambda s: s["way"] == "detailed"), lambda s: detailed_chunks(F.coalesce(s["section_name"], F.lit("")), s["content"], s["table_markdown"])))
-    clinical = F.filter("sections", lambda s: (s["way"] == "clinical") & (strip(F.coalesce(s["content"], F.lit(""))) != ""))
+    heads = long.withColumn("text", text).filter("text IS NOT NULL").select(F.col(id_col), F.lit(0).alias("part"), F.lit(0).alias("at"), F.array(_chunk("summary", F.lit("药品概要"), F.col("text"))).cast(_KIND).alias("chunks"))
+    exploded = long.select(F.col(id_col), F.posexplode("sections").alias("at", "s")).select(id_col, "at", F.coalesce("s.section_name", F.lit("")).alias("name"), "s.content", "s.table_markdown")
+    routed = exploded.withColumn("way", route(F.col("name"), F.col("content"), F.col("table_markdown"))).filter("way = 'detailed'")
+    detailed = routed.select(F.col(id_col), F.lit(1).alias("part"), "at", detailed_chunks(F.col("name"), F.col("content"), F.col("table_markdown")).cast(_KIND).alias("chunks"))
+    clinical = F.filter("sections", lambda s: (route(s["section_name"], s["content"], s["table_markdown"]) == "clinical") & (strip(F.coalesce(s["content"], F.lit(""))) != ""))
     parts = F.transform(clinical, lambda s: F.concat(F.lit("【"), F.coalesce(s["section_name"], F.lit("")), F.lit("】"), strip(s["content"])))
-    merged = F.transform(greedy_pack(parts), lambda p: one("临床应用", "clinical", p))
-    split = F.concat(head, detailed.cast(kind), merged)
-    whole = F.array(one("完整条目", "whole_entry", whole_entry(F.col("intro_text"), F.col("sections"))))
-    chunks = routed.withColumn("chunk", F.when(is_whole(F.col("intro_text"), F.col("sections")), whole).otherwise(split))
-    rows = chunks.select(id_col, F.posexplode("chunk").alias("pos", "c"))
+    merged = long.withColumn("packed", greedy_pack(parts)).select(F.col(id_col), F.lit(2).alias("part"), F.lit(0).alias("at"), F.transform("packed", lambda p: _chunk("clinical", F.lit("临床应用"), p)).cast(_KIND).alias("chunks"))
+    every = short.unionByName(heads).unionByName(detailed).unionByName(merged)
+    rows = every.select(id_col, "part", "at", F.posexplode("chunks").alias("piece", "c"))
     content = strip(F.col("c.content"))
-    return rows.select(id_col, "pos", "c.section", content.alias("content"), "c.chunk_type", "c.table_markdown", F.length(content).alias("char_count")).filter("content <> ''")
+    rows = rows.select(id_col, F.struct("part", "at", "piece").alias("pos"), "c.section", content.alias("content"), "c.chunk_type", "c.table_markdown")
+    return rows.filter("content <> ''").withColumn("char_count", F.length("content"))
 
 
 def sequential_ids(chunks: DataFrame, order: str = "entry_id", pos: str = "pos", bucket: int = 10_000) -> DataFrame:

@@ -6,7 +6,6 @@ deterministic stand-ins that need no weights.
 
 from __future__ import annotations
 
-import hashlib
 import time
 from collections.abc import Callable, Iterator
 
@@ -26,9 +25,10 @@ def hashing_embedder(dim: int = 64) -> Embed:
     def run(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), dtype=np.float32)
         for i, t in enumerate(texts):
-            for a in range(max(1, len(t) - 1)):
-                h = int.from_bytes(hashlib.blake2b(t[a : a + 2].encode(), digest_size=8).digest(), "big")
-                out[i, h % dim] += 1.0 if h >> 63 else -1.0
+            codes = np.frombuffer((t + "  ")[: max(len(t), 2)].encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+            mixed = (codes[:-1] * np.uint64(1_000_003) + codes[1:]) * np.uint64(0x9E3779B97F4A7C15)
+            slots, signs = (mixed >> np.uint64(20)) % np.uint64(dim), (mixed >> np.uint64(63)).astype(np.float64) * 2 - 1
+            out[i] = np.bincount(slots.astype(np.int64), weights=signs, minlength=dim)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0)
 

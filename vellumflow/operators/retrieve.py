@@ -90,8 +90,16 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None
     index = bm25.build(docs, mixed_tokens(F.col(text_col)), id_col)
     words = post_filter(word_recall(index, parsed), parsed, docs, allowed, id_col, name_col, category_col)
     meta = docs.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"), F.col(section_col).alias("section"), F.col(category_col).alias("category"), F.col(text_col).alias("content"))
-    table = vectors if vectors is not None else docs.select(F.col(id_col).alias("id"), embed(F.coalesce(F.col(text_col), F.lit(""))).alias("embedding"))
-    asked = parsed.select("qid", embed(F.col("query")).alias("embedding"))
+
+    def table(ids: DataFrame | None) -> DataFrame:
+        """Vectors of all documents, or of some: only those are embedded."""
+        if vectors is not None:
+            return vectors if ids is None else vectors.join(ids, "id", "left_semi")
+        rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        rows = rows if ids is None else rows.join(ids, "id", "left_semi")
+        return rows.select("id", embed(F.col("text")).alias("embedding"))
+
+    asked = cut(parsed.select("qid", embed(F.col("query")).alias("embedding")))
     near = filtered_vector_recall(table, asked, parsed, allowed, meta)
     fused = fusion.fuse({"vector": near, "bm25": words})
     enriched = fused.join(meta, "id", "left").join(parsed.select("qid", "query"), "qid")
@@ -100,11 +108,12 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None
     return rerank(enriched, k).drop("query")
 
 
-def filtered_vector_recall(table: DataFrame, asked: DataFrame, parsed: DataFrame, allowed: DataFrame, meta: DataFrame, k: int = VECTOR_K) -> DataFrame:
+def filtered_vector_recall(table: Callable[[DataFrame | None], DataFrame], asked: DataFrame, parsed: DataFrame, allowed: DataFrame, meta: DataFrame, k: int = VECTOR_K) -> DataFrame:
     """Filter below the limit: queries without a filter rank all vectors; for the others only
-    vectors of allowed names and categories are scored."""
+    vectors of allowed names and categories are scored. ``table`` gives the vectors of all
+    documents (None) or of some ids."""
     free = parsed.filter("name_filter IS NULL AND category IS NULL").select("qid")
-    open_lists = vector.top_k(table, asked.join(free, "qid", "left_semi"), k).select("qid", "id", "score", "rank")
+    open_lists = vector.top_k(table(None), asked.join(free, "qid", "left_semi"), k).select("qid", "id", "score", "rank")
     bound = parsed.filter("name_filter IS NOT NULL OR category IS NOT NULL").select("qid", F.col("name_filter").isNotNull().alias("named"), F.col("category").alias("wanted"))
     by_name = allowed.join(bound.filter("named"), "qid").join(meta.select("id", "name", F.col("category").alias("stored")), "name")
     stored = broadcast_checked(meta.select(F.col("category").alias("stored")).filter("stored IS NOT NULL").distinct())
@@ -112,7 +121,8 @@ def filtered_vector_recall(table: DataFrame, asked: DataFrame, parsed: DataFrame
     by_category = wanted.join(meta.select("id", F.col("category").alias("stored")), "stored")
     candidates = by_name.select("qid", "id", "wanted", "stored").unionByName(by_category.select("qid", "id", "wanted", "stored"))
     candidates = candidates.filter(queryparse.category_matches(F.coalesce("stored", F.lit("")), F.col("wanted"))).select("qid", "id")
-    scored = candidates.join(table, "id").join(asked.select("qid", F.col("embedding").alias("q")), "qid").withColumn("score", vector.dot(F.col("embedding"), F.col("q")))
+    candidates = cut(candidates)
+    scored = candidates.join(table(candidates.select("id").distinct()), "id").join(asked.select("qid", F.col("embedding").alias("q")), "qid").withColumn("score", vector.dot(F.col("embedding"), F.col("q")))
     order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "id")
     bound_lists = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "id", "score", "rank")
     return open_lists.unionByName(bound_lists)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from vellumflow.functions.text import contains_cjk, is_latin_name, strip
@@ -21,8 +21,13 @@ SLICES = ("饮片", "饮 片")
 SLICE_STYLES = ("Heading #3", "Heading #4", "Body text|4", "Body text|5")
 MARKER = "^[【〔](.+?)[】〕]"
 
-_ORDERED = Window.partitionBy("doc_id").orderBy("block_idx")
-_SO_FAR = _ORDERED.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def _ordered() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("block_idx")
+
+
+def _so_far() -> WindowSpec:
+    return _ordered().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def number_blocks(blocks: DataFrame) -> DataFrame:
@@ -30,7 +35,7 @@ def number_blocks(blocks: DataFrame) -> DataFrame:
 
     def counter(kind: str) -> Column:
         own = F.col("kind") == kind
-        return F.when(own, F.sum(F.when(own, 1).otherwise(0)).over(_SO_FAR) - 1)
+        return F.when(own, F.sum(F.when(own, 1).otherwise(0)).over(_so_far()) - 1)
 
     return blocks.withColumn("para_idx", counter("para")).withColumn("table_idx", counter("table"))
 
@@ -45,7 +50,7 @@ def next_is_latin(kind: str = "kind", text: str = "text") -> Column:
     """Whether the next paragraph that is not empty, at most two blocks on, is a Latin name."""
 
     def at(k: int, column: str) -> Column:
-        return F.lead(column, k).over(_ORDERED)
+        return F.lead(column, k).over(_ordered())
 
     first, second = strip(at(1, text)), strip(at(2, text))
     second_fits = (at(2, kind) == "para") & is_latin_name(second)
@@ -75,11 +80,11 @@ def mark_entries(blocks: DataFrame) -> DataFrame:
     follows = blocks.withColumn("latin_follows", next_is_latin())
     bound = F.when(F.col("kind") == "para", boundary(F.col("style"), F.col("text"), F.col("latin_follows"))).otherwise("")
     marked = follows.withColumn("bound", bound)
-    numbered = marked.withColumn("entry_no", F.sum(F.when(F.col("bound") != "", 1).otherwise(0)).over(_SO_FAR))
-    main = F.last(F.when(F.col("bound") == "main", strip(F.col("text"))), ignorenulls=True).over(_SO_FAR)
+    numbered = marked.withColumn("entry_no", F.sum(F.when(F.col("bound") != "", 1).otherwise(0)).over(_so_far()))
+    main = F.last(F.when(F.col("bound") == "main", strip(F.col("text"))), ignorenulls=True).over(_so_far())
     named = numbered.filter("entry_no > 0").withColumn("main_name", main)
-    kind = F.last(F.when(F.col("bound") != "", F.col("bound")), ignorenulls=True).over(_SO_FAR)
-    title = F.last(F.when(F.col("bound") != "", strip(F.col("text"))), ignorenulls=True).over(_SO_FAR)
+    kind = F.last(F.when(F.col("bound") != "", F.col("bound")), ignorenulls=True).over(_so_far())
+    title = F.last(F.when(F.col("bound") != "", strip(F.col("text"))), ignorenulls=True).over(_so_far())
     sliced = F.when(F.col("main_name").isNull(), "饮片").otherwise(F.concat("main_name", F.lit("-饮片")))
     named = named.withColumn("entry_kind", kind).withColumn("entry_name", F.when(F.col("entry_kind") == "slice", sliced).otherwise(title))
     return named.withColumn("parent", F.when(F.col("entry_kind") == "main", "").otherwise(F.coalesce("main_name", F.lit("")))).drop("latin_follows", "main_name")

@@ -41,8 +41,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 15, id_col: str = "id
     asked = [(r["qid"], r["embedding"]) for r in queries.select("qid", "embedding").toLocalIterator()]
     source = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding"))
     kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, id {source.schema['id'].dataType.simpleString()}, score double"
+    if not asked:
+        return source.sparkSession.createDataFrame([], kinds + ", rank int")
     found = None
-    for first in range(0, max(len(asked), 1), block):
+    for first in range(0, len(asked), block):
         part = _block_top(source, asked[first : first + block], k, kinds)
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "id")

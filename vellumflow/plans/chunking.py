@@ -70,7 +70,8 @@ def k12_sequential_ids(spark, folder):
 
 def k12_chunk_entries(spark, folder):
     """The whole chunker with global ids."""
-    return k.sequential_ids(k.chunk_entries(_entries(spark, folder).dropDuplicates(["entry_id"])))
+    rows = k.sequential_ids(k.chunk_entries(_entries(spark, folder).dropDuplicates(["entry_id"])))
+    return rows.select("chunk_seq", "chunk_id", "entry_id", "section", "chunk_type", "content", "char_count")
 
 
 def k13_chunk_stats(spark, folder):

@@ -89,7 +89,7 @@ def _references(x):
 
 
 def _rules(x, rules):
-    for pattern, by in rules:
+    for pattern, by, *_ in rules:
         pattern = pattern.replace("(?U)(\\w+苷)\\s*昔", "([\\p{L}\\p{N}_]+苷)\\s*昔")
         x = f"regexp_replace({x}, {quoted(pattern)}, {quoted(by.replace('$1', chr(92) + '1'))}, 'g')"
     return x
