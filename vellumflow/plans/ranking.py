@@ -62,7 +62,7 @@ def v02_embed_query(spark, folder):
 
 def v03_normalise(spark, folder):
     v = vector.normalise(F.transform("embedding", lambda x: x * 3))
-    return read_table(spark, folder, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"), F.round(v[0], 6).alias("first"))
+    return read_table(spark, folder, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"), F.round(v[0], 4).alias("first"))
 
 
 def _vectors(spark, folder):
@@ -241,7 +241,7 @@ SQL = {
     "b01_tokens": f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string({_tokens('text')}, ' ') END AS tokens FROM documents",
     "b03_bm25_build": f"WITH {_BM25_CTES} SELECT term, df, round(idf, 6) AS idf FROM di",
     "b04_bm25_topk": f"WITH {_BM25_CTES} SELECT qid, id, round(score, 6) AS score, rank FROM bm",
-    "v03_normalise": "SELECT vec_id, round(CASE WHEN n > 0 THEN n / n ELSE 0 END, 6)::DOUBLE AS norm, round((embedding[1] * 3)::DOUBLE / sqrt(n), 6) AS first FROM (SELECT *, list_sum(list_transform(embedding, lambda x: (x * 3)::DOUBLE * (x * 3)::DOUBLE)) AS n FROM embeddings)",
+    "v03_normalise": "SELECT vec_id, round(CASE WHEN n > 0 THEN n / n ELSE 0 END, 6)::DOUBLE AS norm, round((embedding[1] * 3)::DOUBLE / sqrt(n), 4) AS first FROM (SELECT *, list_sum(list_transform(embedding, lambda x: (x * 3)::DOUBLE * (x * 3)::DOUBLE)) AS n FROM embeddings)",
     "v04_ip_topk": f"SELECT qid, id, round(score, 6) AS score, rank FROM ({_top('true')})",
     "v05_filtered_topk": f"SELECT qid, id, round(score, 6) AS score, rank FROM ({_top('b.label = 3')})",
     "v05_in_filter_topk": f"SELECT qid, id, round(score, 6) AS score, rank FROM ({_top('b.label IN (1, 4, 7)')})",
