@@ -32,6 +32,8 @@ UNMATCHED = -1
 #: Reference forms that may be broadcast; beyond, the list is sharded.
 MAX_FORMS = 50_000
 SHARD_FORMS = 20_000
+#: Distinct values that meet a shard in one task.
+BUCKET_VALUES = 50_000
 VALUE_CACHE = 200_000
 
 #: Traditional characters, each with its simplified form.
@@ -198,12 +200,12 @@ def _map_narrow(source: DataFrame, forms: list[tuple[int, int, str]]) -> DataFra
 
 def _map_sharded(source: DataFrame, reference: DataFrame, shard_forms: int) -> DataFrame:
     shards = max(1, -(-reference.count() // shard_forms))
-    buckets = 64
-    forms = reference.select(F.pmod(F.xxhash64("form"), F.lit(shards)).alias("shard"), "canon_id", "tier", "form").withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     values = source.filter("value <> ''").select("value").distinct()
-    asked = values.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("bigint")).withColumn("bucket", F.pmod(F.xxhash64("value"), F.lit(buckets)).cast("int"))
+    buckets = max(1, -(-values.count() // BUCKET_VALUES))
+    forms = reference.select(F.pmod(F.xxhash64("form"), F.lit(shards)).alias("shard"), "canon_id", "tier", "form").withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    asked = values.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint")))).withColumn("bucket", F.pmod(F.xxhash64("value"), F.lit(buckets)).cast("int"))
 
-    def run(left: Iterator[pd.DataFrame], right: pd.DataFrame) -> pd.DataFrame:
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         matcher = Matcher(right[["canon_id", "tier", "form"]].itertuples(index=False, name=None))
         found = [(v, *best) for v in left["value"] if (best := matcher.best(v))]
         return pd.DataFrame(found, columns=["value", "distance", "tier", "canon_id"])

@@ -17,7 +17,8 @@ once, with its largest size; a NULL id is an id of its own; an empty table gives
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,11 +84,12 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
     )
     kind = once.schema["id"].dataType.simpleString()
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "piece_no"], kind="stable", na_position="first").reset_index(drop=True)
-        size = (pdf["item_end"] - pdf["item_start"]).to_numpy()
-        container = (np.int64(key[0]) << 32) + first_fit_decreasing(size, capacity)
-        return pdf.assign(size=size, container_id=container)[["id", "piece_no", "item_start", "item_end", "size", "container_id"]]
+    def run(key: tuple, items: pa.Table) -> pa.Table:
+        items = items.take(pc.sort_indices(items, sort_keys=[("id", "ascending"), ("piece_no", "ascending")]))
+        size = pc.subtract(items["item_end"], items["item_start"])
+        container = (key[0].as_py() << 32) + first_fit_decreasing(size.to_numpy(), capacity)
+        names = ["id", "piece_no", "item_start", "item_end", "size", "container_id"]
+        return pa.table([items["id"], items["piece_no"], items["item_start"], items["item_end"], size, pa.array(container)], names=names)
 
-    packed = pieces.groupBy("group").applyInPandas(run, f"id {kind}, piece_no int, item_start bigint, item_end bigint, size bigint, container_id bigint")
+    packed = pieces.groupBy("group").applyInArrow(run, f"id {kind}, piece_no int, item_start bigint, item_end bigint, size bigint, container_id bigint")
     return packed.withColumnRenamed("id", id_col)
