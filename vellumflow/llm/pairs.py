@@ -35,7 +35,7 @@ RESULT_CACHE = 50_000
 _INVISIBLE = re.compile(r"[­᠎​-‏⁠﻿]")
 _MARKUP = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>|```\w*|&nbsp;", re.S)
 #: What stands for no content, after marks are gone.
-PLACEHOLDERS = {"", "na", "null", "none", "nil", "nan", "tbd", "todo", "答", "回答", "答案", "answer", "a", "无", "暂无", "略", "待补充", "无内容", "placeholder", "undefined", "empty", "response", "output"}
+PLACEHOLDERS = {"", "na", "null", "none", "nil", "nan", "tbd", "todo", "答", "回答", "答案", "answer", "a", "无", "暂无", "略", "待补充", "无内容", "placeholder", "undefined", "empty", "response", "output", "空", "空白", "暂缺", "待定", "未填写", "无回答", "无答案", "没有内容", "内容为空", "noanswer", "nocontent", "blank", "nodata", "missing", "xxx", "如下", "答案如下", "回答如下", "pending"}
 #: Lines after the answer proper.
 _TAIL_LINE = re.compile(r"^\s*(?:(?:来源|出处|参考|参考来源|资料来源|引用|数据来源|Sources?|References?|Quelle|See)\s*[:：].*|\[\d+\].*|[*（(]?(?:以上内容|本回答|以上信息|免责声明|温馨提示|This information|For reference|Disclaimer).*)\s*$", re.I)
 _OPENER = re.compile(r"^(?:您好|你好|亲|尊敬的用户|根据检索结果|根据资料|抱歉让您久等了|让您久等了|感谢您的提问|感谢提问|不好意思|抱歉|很抱歉|对不起|要点如下|Hello|Hi|Sorry for the delay|Thanks? (?:you )?for (?:your question|asking|waiting)|According to the monograph, the following applies|Key points|Certainly|Sure)[\s，。！,.!：:]*", re.I)
@@ -43,9 +43,10 @@ _SENTENCE = re.compile(r"[^。！？!?\n.]+(?:\.(?=\d)[^。！？!?\n.]*)*[。
 #: Sentences that carry nothing.
 _COURTESY = re.compile(r"如有其他|如需|欢迎(?:继续)?提问|敬请|请谅解|请(?:您)?理解|换个问题|换一个|建议(?:您)?(?:查阅|咨询|联系|参考)|请(?:您)?(?:咨询|联系|查阅|遵医嘱)|感谢|谢谢|抱歉|对不起|不好意思|您好|你好|feel free|please (?:consult|contact|ask|try|refer|understand)|thank|sorry|understanding|apolog|something else|anything else", re.I)
 #: Words of inability and of answering; one of each in a sentence refuses.
-UNABLE = "无法|不能|不便|不可以|不予|不提供|不支持|暂不|拒绝|谢绝|没有权限|无权|未获授权|未被授权|超出|不在|不属于|难以|恕|不会|不参与|不方便|做不到|cannot|can't|can’t|can not|unable to|not able to|may not|must decline|have to decline|decline to|will not|won't|won’t|not allowed|not permitted|refuse|not authorised|not authorized|outside|beyond|not in a position|do not|don't|don’t|not supported|no permission"
-ANSWERING = "回答|作答|答复|解答|回复|提供|协助|讨论|谈论|探讨|发表|评论|帮助|帮到|支持该|支持此|支持这|咨询|能力范围|服务范围|职责范围|处理|请求|相关信息|任何信息|说明该|给出|answer|help|discuss|assist|provide|comment|respond|information|request|question|scope|talk about|cover|topic|speak about|reply|offer|address"
-
+UNABLE = "无法|不能|不便|不可以|不予|不提供|不支持|暂不|拒绝|谢绝|婉拒|没有权限|无权|未获授权|未被授权|没有授权|超出|不在|不属于|难以|恕|不会|不参与|不方便|做不到|办不到|没有办法|没办法|没法|不被允许|不允许|不打算|不愿|不想|无可奉告|爱莫能助|无能为力|帮不了|帮不上|不接受|不受理|不适合|没有能力|不具备|回避|未开放|cannot|can't|can’t|can not|unable to|not able|may not|must not|must decline|have to decline|decline to|will not|won't|won’t|would not|wouldn't|not allowed|not permitted|refuse|not authorised|not authorized|outside|beyond|not in a position|do not|don't|don’t|not supported|no permission|rather not|prefer not|not going to|not willing|unwilling|refrain|not comfortable|no answer|no reply|no response"
+ANSWERING = "回答|作答|答复|解答|回复|提供|协助|讨论|谈论|谈|探讨|发表|评论|置评|帮助|帮到|支持该|支持此|支持这|咨询|能力范围|服务范围|职责范围|权限范围|请求|相关信息|任何信息|说明该|给出|透露|分享|介绍|建议|奉告|继续|answer|help|discuss|assist|provide|comment|respond|information|request|question|scope|talk|cover|topic|speak|reply|offer|address|share|detail|disclose|say|give|go into|advice|advise|opinion|elaborate|can do|matter"
+#: Who speaks in a refusal that names no act of answering.
+SPEAKER = "我|本系统|系统|小助手|助手|助理|当前服务|本服务|客服|模型|机器人|i |i'm|i’m|assistant|service|system|model|we "
 #: Stop words by which languages of the Latin script are told apart.
 STOPWORDS = {
     "en": "the of and is are in to with for not be by at from this that than it was which an on as unless other through about into add under",
@@ -114,7 +115,7 @@ def _automaton(words: str) -> ahocorasick.Automaton:
     return found
 
 
-_UNABLE, _ANSWERING = _automaton(UNABLE), _automaton(ANSWERING)
+_UNABLE, _ANSWERING, _SPEAKER = _automaton(UNABLE), _automaton(ANSWERING), _automaton(SPEAKER)
 
 
 def _has(automaton: ahocorasick.Automaton, text: str) -> bool:
@@ -140,7 +141,7 @@ def _opened(text: str) -> str:
     return text
 
 
-_INTRODUCTION = re.compile(r"您?你?的?问题是|您?你?(?:问|提问)的?是?|问题|原问|问|答|关于|question|youasked|yourquestionis|q|a")
+_INTRODUCTION = re.compile(r"(?:您|你|我|的|问题|提问|问|题目|题|是|想|知道|了解|关于|原|收到|好的|答|即|为|所|一下|重复|复述|再次|在|这个|该|就|说|请|your|you|asked|question|is|was|the|q|a|re|about|regarding|want|to|know|so)+")
 
 
 def uncovered(prompt: str, response: str) -> tuple[str, float]:
@@ -162,14 +163,15 @@ def is_copy(prompt: str, response: str) -> bool:
     rest, share = uncovered(prompt, response)
     if share < 0.5:
         return False
-    return all(not part or _INTRODUCTION.fullmatch(part) for part in rest.split("\n"))
+    left = [part for part in rest.split("\n") if part and not _INTRODUCTION.fullmatch(part)]
+    return sum(map(len, left)) <= 2 and not any(ch.isdigit() for part in left for ch in part)
 
 
 def is_refusal(text: str) -> bool:
     refused, other = False, 0
     for sentence in _SENTENCE.findall(text):
         low = sentence.lower()
-        if _has(_UNABLE, low) and _has(_ANSWERING, low):
+        if _has(_UNABLE, low) and (_has(_ANSWERING, low) or len(low) <= 80 and _has(_SPEAKER, low)):
             refused = True
         elif not _COURTESY.search(sentence):
             other += len(_letters(sentence))
