@@ -125,7 +125,10 @@ def test_chunk_entries(spark):
 
 def test_tokens(spark):
     assert value(spark, tokens.mixed_tokens(F.col("x")), x="人参皂苷Rg1，甲 2020") == ["Rg1", "2020", "人参", "参皂", "皂苷", "甲"]
-    assert value(spark, tokens.lexicon_tokens(F.col("x"), ["人参", "人参叶"]), x="人参叶和人参 Rg1") == ["人参叶", "和", "人参", "Rg1"]
+    df = spark.createDataFrame([(1, "人参叶和人参 Rg1"), (2, None), (3, "")], "k int, x string")
+    words = spark.createDataFrame([("人参",), ("人参叶",), (None,), ("参",)], "w string")
+    got = {r["k"]: r["tokens"] for r in tokens.lexicon_tokens(df, "k", "x", words, "w").collect()}
+    assert got == {1: ["人参叶", "和", "人参", "Rg1"], 2: [], 3: []}
 
 
 def test_bm25_against_a_loop(spark, tmp_path):
@@ -244,10 +247,14 @@ def test_answer(spark):
 
 
 def test_evaluate(spark):
-    vals = [float(i) for i in range(37)]
-    df = spark.createDataFrame([(v,) for v in vals], "v double")
-    for p in (50, 95, 99):
-        assert df.select(evaluate.nearest_percentile(F.col("v"), p).alias("x")).first()["x"] == vals[min(int(37 * p / 100), 36)]
+    rng = random.Random(8)
+    groups = {"a": [float(i) for i in range(37)], "b": [float(rng.randint(0, 5)) for _ in range(1000)], "c": [1.5], "d": [rng.random() for _ in range(3000)]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("a", None), ("e", None)], "g string, v double")
+    for accuracy in (10_000, 50):
+        got = {r["g"]: r for r in evaluate.nearest_percentiles(df, "v", ["g"], [0, 50, 95, 99], accuracy).collect()}
+        assert set(got) == set(groups)
+        for g, vs in groups.items():
+            assert [got[g][f"p{p}"] for p in (0, 50, 95, 99)] == [sorted(vs)[min(int(len(vs) * p / 100), len(vs) - 1)] for p in (0, 50, 95, 99)]
     hits = spark.createDataFrame([("a", "人参叶", ["人参"]), ("b", "", ["人参"]), ("c", "x", []), ("d", "x", None)], "k string, n string, e array<string>")
     got = {r["k"]: r["h"] for r in hits.select("k", evaluate.is_hit(F.col("n"), F.col("e")).alias("h")).collect()}
     assert got == {"a": True, "b": False, "c": True, "d": True}

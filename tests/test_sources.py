@@ -41,8 +41,9 @@ def test_stores(spark, tmp_path):
     (tmp_path / "set.json").write_text(json.dumps({"name": "n", "queries": cases}))
     assert [r["id"] for r in stores.read_eval_set(spark, str(tmp_path / "set.json"), "a", 2).collect()] == ["Q1", "Q3"]
     one = spark.createDataFrame([(1,)], "n int")
-    doc = json.loads(stores.report_json(one, spark.createDataFrame([("t", 2)], "type string, n int"), one).first()["json"])
-    assert doc["by_type"] == [{"type": "t", "n": 2}] and doc["results"] == [{"n": 1}]
+    stores.write_report(one, spark.createDataFrame([("t", 2)], "type string, n int"), one, str(tmp_path / "report"))
+    assert json.loads(spark.read.text(str(tmp_path / "report/report")).first()[0]) == {"n": 1, "by_type": [{"type": "t", "n": 2}]}
+    assert spark.read.json(str(tmp_path / "report/results")).count() == 1
 
 
 def test_latest_and_cut(spark):

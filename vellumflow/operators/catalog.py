@@ -57,6 +57,6 @@ def list_names(table: DataFrame, column: str, contains: str | None = None, allow
         names = names.filter(F.contains(column, F.lit(contains)))
     if allowed is not None:
         names = names.join(allowed.select(column).distinct(), column, "left_semi")
-    counted = names.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    counted = names.crossJoin(F.broadcast(names.agg(F.count(F.lit(1)).alias("total"))))  # one row
     ordered = counted.orderBy(column)
     return ordered.limit(limit) if limit else ordered

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,20 +26,41 @@ def mrr(rank: Column) -> Column:
     return F.avg(F.when(rank > 0, 1.0 / rank).otherwise(0.0))
 
 
-def nearest_percentile(value: Column, p: float) -> Column:
-    """The element at index ``floor(n * p / 100)`` of the sorted values, at most the last."""
-    ordered = F.sort_array(F.collect_list(value))
-    n = F.size(ordered)
-    return F.try_element_at(ordered, F.least(F.floor(n * p / 100) + 1, n).cast("int"))
+def nearest_percentiles(rows: DataFrame, value: str, by: list[str], percents: list[int], accuracy: int = 10_000) -> DataFrame:
+    """``by, p<percent>…``: the element at index ``floor(n * p / 100)`` of the sorted values,
+    at most the last; exact, without sorting or collecting a group.
+
+    Approximate percentiles a little below and above each wanted one bracket its rank; the
+    values below the bracket are only counted, and the few distinct values inside are counted
+    and summed up in order until the rank is reached.
+    """
+    values = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    margin = 3.0 / accuracy
+    ends = [e for p in percents for e in (max(0.0, p / 100 - margin), min(1.0, p / 100 + margin))]
+    bounds = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, accuracy).alias("_e"), F.max("_v").alias("_max"), F.min("_v").alias("_min"))
+
+    def bracket(i: int, p: int) -> Column:
+        low = F.col("_min") if p / 100 - margin <= 0 else F.col("_e")[2 * i]
+        high = F.col("_max") if p / 100 + margin >= 1 else F.col("_e")[2 * i + 1]
+        index = F.least(F.floor(F.col("_n") * p / 100), F.col("_n") - 1)
+        return F.struct(F.lit(p).alias("p"), low.alias("low"), high.alias("high"), index.alias("index"))
+
+    wanted = bounds.select(*by, F.explode(F.array(*[bracket(i, p) for i, p in enumerate(percents)])).alias("w")).select(*by, "w.*")
+    joined = values.join(F.broadcast(wanted), by) if by else values.crossJoin(F.broadcast(wanted))  # a row per group and percent
+    counted = joined.filter("_v <= high").groupBy(*by, "p", "index", F.when(F.col("_v") >= F.col("low"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.partitionBy(*by, "p").orderBy(F.col("_v").asc_nulls_first())
+    reached = counted.withColumn("_s", F.sum("_c").over(order)).filter((F.col("_s") > F.col("index")) & F.col("_v").isNotNull())
+    picked = reached.groupBy(*by, "p").agg(F.min("_v").alias("_v"))
+    return picked.groupBy(*by).agg(*[F.max(F.when(F.col("p") == p, F.col("_v"))).alias(f"p{p}") for p in percents])
 
 
 def retrieval_report(ranks: DataFrame, by: list[str]) -> DataFrame:
     """Hit rates, reciprocal rank and latency percentiles, overall or by group."""
-    r, t = F.col("first_hit_rank"), F.col("latency")
-    return ranks.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), *[F.round(hit_at(r, k), 6).alias(f"hit_at_{k}") for k in (1, 3, 5)], F.round(mrr(r), 6).alias("mrr"),
-        *[F.round(nearest_percentile(t, p), 6).alias(f"p{p}") for p in (50, 95)],
-    )
+    r = F.col("first_hit_rank")
+    rates = ranks.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.round(hit_at(r, k), 6).alias(f"hit_at_{k}") for k in (1, 3, 5)], F.round(mrr(r), 6).alias("mrr"))
+    times = nearest_percentiles(ranks, "latency", by, [50, 95])
+    joined = rates.join(F.broadcast(times), by, "left") if by else rates.crossJoin(times)  # one row each
+    return joined.withColumn("p50", F.round("p50", 6)).withColumn("p95", F.round("p95", 6))
 
 
 def keyword_coverage(answer: Column, keywords: Column) -> Column:

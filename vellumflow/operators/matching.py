@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumflow.session import broadcast_checked
+
 GRAM = 2
 
 
@@ -19,10 +21,14 @@ def grams(text: Column, n: int = GRAM) -> Column:
 
 
 def contained_names(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_col: str, n: int = GRAM) -> DataFrame:
-    """``id_col, name`` for every name of at least ``n`` characters inside a text."""
+    """``id_col, name`` for every name of at least ``n`` characters inside a text.
+
+    Few names are broadcast, so that the texts are not shuffled; many are joined by gram.
+    """
     keyed = names.select(F.col(name_col).alias("name")).filter(F.length("name") >= n).distinct().withColumn("gram", F.substring("name", 1, n))
-    asked = texts.select(F.col(id_col), F.col(text_col).alias("_text"), F.explode(grams(F.col(text_col), n)).alias("gram"))
-    return asked.join(keyed, "gram").filter(F.contains("_text", F.col("name"))).select(id_col, "name").distinct()
+    rows = texts.select(F.col(id_col), F.col(text_col).alias("_inside"))
+    asked = rows.select(id_col, "_inside", F.explode(grams(F.col("_inside"), n)).alias("gram"))
+    return asked.join(broadcast_checked(keyed), "gram").filter(F.contains("_inside", F.col("name"))).select(id_col, "name").distinct()
 
 
 def longest_names(found: DataFrame, id_col: str) -> DataFrame:

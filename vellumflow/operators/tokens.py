@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .matching import contained_names
+
 
 def latin_tokens(text: Column, lower: bool = False) -> Column:
     """Runs of ASCII letters and digits."""
@@ -53,14 +55,18 @@ class LongestMatch:
         return out
 
 
-def lexicon_tokens(text: Column, lexicon: Iterable[str]) -> Column:
-    """Longest-match tokens; the lexicon is sent once to each worker."""
-    words = sorted(set(lexicon))
+def lexicon_tokens(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, word_col: str) -> DataFrame:
+    """``id_col, tokens`` by longest match.
+
+    Which words stand in a text comes from an equi-join on n-grams, so that each text carries
+    its own few words to the matcher and no lexicon is sent as a whole, however long it is.
+    """
+    rows = texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).distinct()
+    found = contained_names(rows, lexicon, "_id", "_text", word_col).groupBy("_id").agg(F.collect_set("name").alias("_words"))
 
     @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = LongestMatch(words)
-        for batch in batches:
-            yield batch.map(matcher.cut)
+    def run(text: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([LongestMatch(w if w is not None else ()).cut(t) for t, w in zip(text, words)], index=text.index)
 
-    return run(text)
+    joined = rows.join(found, "_id", "left")
+    return joined.select(F.col("_id").alias(id_col), run("_text", F.coalesce("_words", F.array().cast("array<string>"))).alias("tokens"))

@@ -33,9 +33,9 @@ def b01_tokens(spark, folder):
 
 
 def b02_lexicon_tokens(spark, folder):
-    """Longest match against all entry names; the lexicon is the distinct names."""
-    words = [r[0] for r in _names(spark, folder).toLocalIterator()]
-    return read_table(spark, folder, "gen_responses").select("response_id", F.array_join(tokens.lexicon_tokens(F.col("query"), words), " ").alias("tokens"))
+    """Longest match against all entry names."""
+    found = tokens.lexicon_tokens(read_table(spark, folder, "gen_responses"), "response_id", "query", _names(spark, folder), "drug_name")
+    return found.select("response_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 def b03_bm25_build(spark, folder):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vellumflow.functions.text import any_of
@@ -112,8 +111,8 @@ def e03_hit_mrr(spark, folder):
 
 
 def e04_percentile(spark, folder):
-    t = F.col("latency")
-    return _ranks(spark, folder).agg(*[F.round(evaluate.nearest_percentile(t, p), 6).alias(f"p{p}") for p in (50, 95, 99)])
+    found = evaluate.nearest_percentiles(_ranks(spark, folder), "latency", [], [50, 95, 99])
+    return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
 
 
 def e05_by_type(spark, folder):
@@ -129,8 +128,8 @@ def e06_generation_report(spark, folder):
 
 
 def e08_report_views(spark, folder):
-    r = _results(spark, folder).filter("keyword_coverage < 0.3")
-    return r.select("result_id", F.round("keyword_coverage", 6).alias("coverage"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("n_low")).orderBy("coverage", "result_id").limit(10)
+    r = _results(spark, folder).filter("keyword_coverage < 0.3").select("result_id", F.round("keyword_coverage", 6).alias("coverage"))
+    return r.orderBy("coverage", "result_id").limit(10).crossJoin(F.broadcast(r.agg(F.count(F.lit(1)).alias("n_low"))))  # one row
 
 
 def x01_audit_missing(spark, folder):
@@ -236,7 +235,7 @@ SQL = {
     "x03_prefix": "SELECT DISTINCT drug_name FROM chunks WHERE starts_with(drug_name, '白') OR starts_with(drug_name, '黄') OR starts_with(drug_name, '金')",
     "x05_neighbours": f"SELECT doc_id, block_idx, text, before_1, after_1 FROM (SELECT *, lag(text) OVER w AS before_1, lead(text) OVER w AS after_1 FROM ({BLOCKS_SQL}) WINDOW w AS (PARTITION BY doc_id ORDER BY block_idx)) WHERE length(text) BETWEEN 1 AND 6",
     "x05_style_histogram": f"SELECT style, kind, count(*) AS n, max(length(text))::INT AS longest FROM ({BLOCKS_SQL}) GROUP BY 1, 2",
-    "x06_term_scan": "SELECT chunk_seq, section_name AS term, ((length(content) - length(replace(content, section_name, ''))) / length(section_name))::BIGINT AS n FROM chunks, section_catalog WHERE contains(content, section_name)",
+    "x06_term_scan": "SELECT DISTINCT chunk_seq, section_name AS term, ((length(content) - length(replace(content, section_name, ''))) / length(section_name))::BIGINT AS n FROM chunks, section_catalog WHERE contains(content, section_name)",
     "x07_top_groups": "SELECT drug_name, count(*) AS n FROM chunks WHERE drug_name IS NOT NULL GROUP BY 1 ORDER BY n DESC, drug_name LIMIT 10",
     "x07_top_customers": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 20",
     "x08_failure_classes": f"WITH m AS (SELECT result_id, unnest(CASE WHEN len(retrieved_drugs) > 0 THEN retrieved_drugs ELSE [NULL] END) AS name, retrieved_drugs AS r FROM {_R} WHERE NOT coalesce(hit, false)), c AS (SELECT result_id, bool_or(name IN (SELECT drug_name FROM drug_entries WHERE drug_name IS NOT NULL) AND name IS NOT NULL) AS known, bool_or(coalesce(list_contains(r, name), false)) AS got FROM m GROUP BY 1), g AS (SELECT CASE WHEN NOT coalesce(known, false) THEN 'missing_from_data' WHEN NOT got THEN 'not_retrieved' ELSE 'section_mismatch' END AS failure, count(*) AS n FROM c GROUP BY 1) SELECT failure, n, round(n * 100.0 / sum(n) OVER (), 6) AS percent FROM g",

@@ -43,8 +43,14 @@ def read_eval_set(spark: SparkSession, path: str, kind: str | None = None, limit
     return ordered.limit(limit) if limit else ordered
 
 
-def report_json(report: DataFrame, by_type: DataFrame, results: DataFrame) -> DataFrame:
-    """One JSON document from a one-row report, its breakdown and its rows."""
+def report_json(report: DataFrame, by_type: DataFrame) -> DataFrame:
+    """One JSON document from a one-row report and its breakdown, a few rows."""
     nested = by_type.agg(F.collect_list(F.struct(*by_type.columns)).alias("by_type"))
-    rows = results.agg(F.collect_list(F.struct(*results.columns)).alias("results"))
-    return report.crossJoin(nested).crossJoin(rows).select(F.to_json(F.struct("*")).alias("json"))  # one row each
+    return report.crossJoin(nested).select(F.to_json(F.struct("*")).alias("json"))  # one row each
+
+
+def write_report(report: DataFrame, by_type: DataFrame, results: DataFrame, path: str) -> None:
+    """The document under ``path/report``, and the rows of the evaluation, which may be many,
+    as JSON lines under ``path/results``."""
+    report_json(report, by_type).coalesce(1).write.mode("overwrite").text(f"{path}/report")
+    results.write.mode("overwrite").json(f"{path}/results")
