@@ -134,8 +134,8 @@ def q05_name_filter(spark, folder):
 
 
 def q06_listing(spark, folder):
-    q = F.concat(F.col("query"), F.when(F.col("result_id") % 3 == 0, "哪些药材").otherwise(""))
-    return _queries(spark, folder).select("result_id", queryparse.is_listing(q, F.lit(False)).alias("listing"))
+    q = F.concat(F.col("query"), F.when(F.col("query_type") == "多轮对话", "哪些药材").otherwise(""))
+    return read_table(spark, folder, "query_results").select("result_id", queryparse.is_listing(q, F.lit(False)).alias("listing"))
 
 
 def q07_category(spark, folder):
@@ -255,7 +255,7 @@ SELECT qid, id, round(s, 9) AS rrf_score, rank, sources FROM (SELECT *, row_numb
     "q03_intent": f"SELECT result_id, {_INTENT} AS intent FROM query_results",
     "q04_keywords": f"SELECT result_id, array_to_string(list_filter({_tokens('query')}, lambda t: length(t) >= 2 AND NOT list_contains({list_sql(queryparse.STOP)}, t)), ' ') AS keywords FROM query_results",
     "q05_name_filter": "SELECT result_id, CASE WHEN len(retrieved_drugs) > 0 THEN array_to_string(retrieved_drugs, ',') END AS allowed FROM query_results",
-    "q06_listing": "SELECT result_id, " + _listing("(query || CASE WHEN result_id % 3 = 0 THEN '哪些药材' ELSE '' END)") + " AS listing FROM query_results",
+    "q06_listing": "SELECT result_id, " + _listing("(query || CASE WHEN query_type = '多轮对话' THEN '哪些药材' ELSE '' END)") + " AS listing FROM query_results",
     "q07_category": f"SELECT result_id, {_CATEGORY} AS category FROM query_results",
     "q08_parse": f"SELECT q.result_id AS qid, query, coalesce((SELECT string_agg(name, ',' ORDER BY length(name) DESC, name) FROM ({_LONGEST}) AS f WHERE f.qid = q.result_id), '') AS names, {_SECTIONS_Q} AS sections, {_INTENT} AS intent, NOT EXISTS (SELECT 1 FROM ({_LONGEST}) AS f WHERE f.qid = q.result_id) AND {_listing('query')} AS is_listing FROM {_ONE} AS q",
     "r02_expand_filter": "SELECT DISTINCT a.result_id, n.name FROM (SELECT DISTINCT result_id, unnest(retrieved_drugs) AS asked FROM query_results) AS a, (SELECT DISTINCT drug_name AS name FROM drug_entries WHERE drug_name <> '') AS n WHERE asked <> '' AND (contains(n.name, asked) OR contains(asked, n.name))",

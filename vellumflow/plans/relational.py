@@ -24,7 +24,7 @@ def m01_point_lookup(spark, folder):
 
 
 def m02_multi_lookup(spark, folder):
-    ids = read_table(spark, folder, "orders").select(F.col("o_orderkey").alias("chunk_seq")).filter("o_orderkey % 7 = 0")
+    ids = read_table(spark, folder, "query_results").select(F.col("result_id").alias("chunk_seq")).filter("hit")
     return catalog.by_ids(_chunks(spark, folder), ids, "chunk_seq").select(*KEY)
 
 
@@ -45,8 +45,10 @@ def m06_stats(spark, folder):
 
 
 def s08_append(spark, folder):
-    part = _chunks(spark, folder).select("chunk_seq", "loaded_at")
-    return part.filter("chunk_seq % 2 = 0").unionByName(part.filter("chunk_seq % 3 = 0"))
+    """Late rows appended to all rows; ids are not made unique."""
+    rows = _chunks(spark, folder).select("chunk_seq", "loaded_at", "created_at")
+    late = rows.filter(F.col("loaded_at") > F.col("created_at") + F.expr("INTERVAL 1 DAY"))
+    return rows.unionByName(late).select("chunk_seq", "loaded_at")
 
 
 def s09_upsert(spark, folder):
@@ -179,7 +181,7 @@ def _metrics(rows):
 
 def x09_delta(spark, folder):
     r = _results(spark, folder)
-    return evaluate.delta(_metrics(r.filter("result_id % 2 = 0")), _metrics(r.filter("result_id % 2 = 1")))
+    return evaluate.delta(_metrics(r.filter("run_id < 'run_010'")), _metrics(r.filter("run_id >= 'run_010'")))
 
 
 def x10_case_join(spark, folder):
@@ -211,12 +213,12 @@ _RELATED = "(contains(c.name, a.name) OR contains(a.name, c.name))"
 
 SQL = {
     "m01_point_lookup": f"SELECT {_K} FROM chunks WHERE chunk_id = 'chunk_000042'",
-    "m02_multi_lookup": f"SELECT {_K} FROM chunks WHERE chunk_seq IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0)",
+    "m02_multi_lookup": f"SELECT {_K} FROM chunks WHERE chunk_seq IN (SELECT result_id FROM query_results WHERE hit)",
     "m03_dynamic_filter": f"SELECT {_K} FROM chunks WHERE category = '药材和饮片' AND chunk_type IN ('detailed', 'clinical') AND is_yinpian = false",
     "m04_distinct_names": "SELECT DISTINCT drug_name FROM chunks WHERE drug_name IS NOT NULL",
     "m05_count": "SELECT count(*) AS n FROM chunks",
     "m06_stats": "SELECT CASE WHEN grouping(category) = 0 THEN 'category' WHEN grouping(chunk_type) = 0 THEN 'chunk_type' ELSE 'total' END AS dimension, coalesce(category, chunk_type) AS value, count(*) AS n, count(DISTINCT drug_name) AS n_names FROM chunks GROUP BY GROUPING SETS ((category), (chunk_type), ())",
-    "s08_append": "SELECT chunk_seq, loaded_at FROM chunks WHERE chunk_seq % 2 = 0 UNION ALL SELECT chunk_seq, loaded_at FROM chunks WHERE chunk_seq % 3 = 0",
+    "s08_append": "SELECT chunk_seq, loaded_at FROM chunks UNION ALL SELECT chunk_seq, loaded_at FROM chunks WHERE loaded_at > created_at + INTERVAL 1 DAY",
     "s09_upsert": "WITH n AS (SELECT chunk_seq, loaded_at, -1 AS char_count FROM chunks WHERE loaded_at >= TIMESTAMPTZ '2024-07-01 00:00:00+00' QUALIFY row_number() OVER (PARTITION BY chunk_seq ORDER BY loaded_at DESC) = 1) SELECT chunk_seq, loaded_at, char_count FROM chunks WHERE loaded_at < TIMESTAMPTZ '2024-07-01 00:00:00+00' AND chunk_seq NOT IN (SELECT chunk_seq FROM n) UNION ALL SELECT * FROM n",
     "s11_eval_cases": "SELECT result_id, query, query_type FROM query_results WHERE query_type = '多轮对话' ORDER BY result_id, loaded_at LIMIT 50",
     "a01_post_topk_filter": f"WITH {_BM25_CTES} SELECT qid, id, rank, substr(content, 1, 500) AS content FROM bm JOIN {_DOCS} AS d ON d.chunk_seq = bm.id WHERE rank <= 5 AND section = '性状'",
@@ -239,7 +241,7 @@ SQL = {
     "x07_top_groups": "SELECT drug_name, count(*) AS n FROM chunks WHERE drug_name IS NOT NULL GROUP BY 1 ORDER BY n DESC, drug_name LIMIT 10",
     "x07_top_customers": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 20",
     "x08_failure_classes": f"WITH m AS (SELECT result_id, unnest(CASE WHEN len(retrieved_drugs) > 0 THEN retrieved_drugs ELSE [NULL] END) AS name, retrieved_drugs AS r FROM {_R} WHERE NOT coalesce(hit, false)), c AS (SELECT result_id, bool_or(name IN (SELECT drug_name FROM drug_entries WHERE drug_name IS NOT NULL) AND name IS NOT NULL) AS known, bool_or(coalesce(list_contains(r, name), false)) AS got FROM m GROUP BY 1), g AS (SELECT CASE WHEN NOT coalesce(known, false) THEN 'missing_from_data' WHEN NOT got THEN 'not_retrieved' ELSE 'section_mismatch' END AS failure, count(*) AS n FROM c GROUP BY 1) SELECT failure, n, round(n * 100.0 / sum(n) OVER (), 6) AS percent FROM g",
-    "x09_delta": f"WITH a AS (SELECT query_type AS metric, round(avg(keyword_coverage), 6) AS before FROM {_R} WHERE result_id % 2 = 0 GROUP BY 1), b AS (SELECT query_type AS metric, round(avg(keyword_coverage), 6) AS after FROM {_R} WHERE result_id % 2 = 1 GROUP BY 1) SELECT metric, before, after, round(after - before, 6) AS change FROM a FULL JOIN b USING (metric)",
+    "x09_delta": f"WITH a AS (SELECT query_type AS metric, round(avg(keyword_coverage), 6) AS before FROM {_R} WHERE run_id < 'run_010' GROUP BY 1), b AS (SELECT query_type AS metric, round(avg(keyword_coverage), 6) AS after FROM {_R} WHERE run_id >= 'run_010' GROUP BY 1) SELECT metric, before, after, round(after - before, 6) AS change FROM a FULL JOIN b USING (metric)",
     "x10_case_join": f"SELECT result_id, response_id, hit FROM {_R} AS r JOIN (SELECT * FROM gen_responses QUALIFY row_number() OVER (PARTITION BY response_id ORDER BY loaded_at DESC) = 1) AS g ON r.query = g.query",
     "x11_view_aggregates": f"SELECT result_id, CASE WHEN retrieval_latency * 1000 < 1000 THEN 'fast' WHEN retrieval_latency * 1000 < 3000 THEN 'usual' ELSE 'slow' END AS tier, least(greatest(round(keyword_coverage * 100), 5), 100)::INT AS bar FROM {_R} WHERE retrieval_latency IS NOT NULL",
     "x12_misses": f"SELECT result_id, query, len(retrieved_drugs)::INT AS n, {any_sql('query', ('性状', '鉴别'))} AS identity FROM {_R} WHERE hit = false",

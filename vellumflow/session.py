@@ -31,9 +31,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where unset (tests), a local one."""
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset, a local one in local
+    mode and an error on a cluster, whose executors could not share it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="vellum-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
