@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellumflow.operators import chunk as k
-from vellumflow.session import read_table
+from vellumflow.session import read_table, spread
 
 from .common import SECTIONS_SQL, list_sql, sections_of, strip_sql
 
@@ -56,7 +56,7 @@ def k09_sentences(spark, folder):
 
 
 def k10_sliding_window(spark, folder):
-    return read_table(spark, folder, "documents").select("doc_id", F.posexplode(k.sliding_windows(k.sentences(F.col("text")))).alias("pos", "content"))
+    return spread(read_table(spark, folder, "documents")).select("doc_id", F.posexplode(k.sliding_windows(k.sentences(F.col("text")))).alias("pos", "content"))
 
 
 def k11_fixed_slices(spark, folder):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellumflow.operators import bm25, fusion, models, queryparse, retrieve, tokens, vector
 from vellumflow.operators.matching import contained_names, longest_names, related_names
-from vellumflow.session import latest, read_table
+from vellumflow.session import latest, read_table, spread
 
 from .common import any_sql, list_sql, quoted, strip_sql
 
@@ -16,7 +16,7 @@ EVERY = 20
 
 
 def _docs(spark, folder):
-    return latest(read_table(spark, folder, "chunks").select("chunk_seq", "loaded_at", "content", "drug_name", "section", "category"), "chunk_seq")
+    return latest(spread(read_table(spark, folder, "chunks").select("chunk_seq", "loaded_at", "content", "drug_name", "section", "category")), "chunk_seq")
 
 
 def _asked(spark, folder):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellumflow.functions import text as t
-from vellumflow.session import read_table
+from vellumflow.session import read_table, spread
 
 from .common import BLANK, SECTIONS_SQL, quoted, replace_sql, sections_of, strip_sql
 
@@ -15,7 +15,7 @@ SUSPECTS = ("■", "昔", "？", "…", "〇")
 
 
 def _chunks(spark, folder, *columns):
-    return read_table(spark, folder, "chunks").select("chunk_seq", *columns)
+    return spread(read_table(spark, folder, "chunks")).select("chunk_seq", *columns)
 
 
 def c01_literal_fix(spark, folder):

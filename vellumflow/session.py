@@ -58,6 +58,17 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return df
 
 
+def spread(df: DataFrame, task_bytes: int = 4 << 20) -> DataFrame:
+    """Small input, which may lie in a single row group, over all cores.
+
+    Decided by the scan's size statistic: input of ``task_bytes`` or more per core is left as
+    it is and never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * task_bytes else df
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
