@@ -75,15 +75,17 @@ def assemble_context(items: DataFrame, item_cap: int = ITEM_CAP, total_cap: int
     return final.groupBy("qid").agg(F.array_join(F.transform(ordered, lambda x: x["item"]), "\n---\n").alias("context"), F.count(F.lit(1)).alias("n_items"))
 
 
-def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None = None, embed: Callable[[Column], Column] | None = None, id_col: str = "chunk_seq", name_col: str = "drug_name", section_col: str = "section", category_col: str = "category", text_col: str = "content", k: int = RERANK_K, enable_reranker: bool = True, enable_filter: bool = True) -> DataFrame:
+def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None = None, embed: Callable[[Column], Column] | None = None, id_col: str = "chunk_seq", name_col: str = "drug_name", section_col: str = "section", category_col: str = "category", text_col: str = "content", k: int = RERANK_K, enable_reranker: bool = True, enable_filter: bool = True, given_names: DataFrame | None = None) -> DataFrame:
     """End to end: ``qid, rank, id, score, rrf_score, sources, name, section, category, content``.
 
     ``vectors`` (``id, embedding``) may be a stored index; otherwise documents are embedded
-    by ``embed``. With ``enable_filter`` off neither path is filtered.
+    by ``embed``. With ``enable_filter`` off neither path is filtered. ``given_names``
+    (``qid, name``) replaces the names found in the queries.
     """
     embed = embed or models.embed
     names = docs.select(name_col).filter(F.col(name_col).isNotNull()).distinct()
-    parsed = cut(queryparse.parse(queries, names, name_col))
+    parsed = queryparse.parse(queries, names, name_col)
+    parsed = cut(parsed if given_names is None else queryparse.override(parsed, given_names))
     if not enable_filter:
         parsed = parsed.withColumn("name_filter", F.lit(None).cast("array<string>")).withColumn("category", F.lit(None).cast("string"))
     allowed = cut(allowed_names(parsed, names, name_col))
@@ -108,6 +110,12 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None
     return rerank(enriched, k).drop("query")
 
 
+def contexts(results: DataFrame) -> DataFrame:
+    """``qid, context, n_items`` of search results."""
+    item = format_item(F.col("rank"), F.col("name"), F.col("section"), F.col("category"), F.coalesce("content", F.lit("")))
+    return assemble_context(results.select("qid", "rank", item.alias("item")))
+
+
 def filtered_vector_recall(table: Callable[[DataFrame | None], DataFrame], asked: DataFrame, parsed: DataFrame, allowed: DataFrame, meta: DataFrame, k: int = VECTOR_K) -> DataFrame:
     """Filter below the limit: queries without a filter rank all vectors; for the others only
     vectors of allowed names and categories are scored. ``table`` gives the vectors of all

@@ -77,6 +77,27 @@ def parse08_sections(spark, folder):
     return segment.build_sections(segment.mark_sections(_marked(spark, folder))).select("doc_id", "section_no", "section_name", "content")
 
 
+def _slots(spark, folder):
+    """Names and introduction of the entries as blocks before their first section."""
+    e = read_table(spark, folder, "drug_entries")
+    lines = F.array(*[F.struct(F.lit(style).alias("style"), F.coalesce(c, F.lit("")).alias("text")) for style, c in (("Body text|3", "pinyin_name"), ("Body text|3", "latin_name"), ("Normal", "intro_text"))])
+    rows = e.select(F.concat_ws("@", F.col("entry_id").cast("string"), F.date_format("loaded_at", "yyyyMMddHHmmssSSSSSS")).alias("doc_id"), F.posexplode(lines).alias("block_idx", "l"))
+    return rows.select("doc_id", F.lit(1).alias("entry_no"), F.col("block_idx").cast("bigint").alias("block_idx"), F.lit("para").alias("kind"), "l.style", "l.text", F.lit("").alias("bound"), F.lit(0).alias("section_no"), F.regexp_replace("l.text", "(?U)^\\s+|\\s+$", "").alias("line"))
+
+
+def parse09_name_slots(spark, folder):
+    return segment.name_slots(_slots(spark, folder)).select("doc_id", "pinyin_name", "latin_name", "intro_text")
+
+
+def parse11_tables(spark, folder):
+    """Tables attached to the section that is open; those before any section are dropped."""
+    e = read_table(spark, folder, "drug_entries").select("loaded_at", "entry_id", F.posexplode("sections").alias("no", "s"))
+    blocks = F.array(F.struct(F.lit("para").alias("kind"), F.concat(F.lit("【"), F.col("s.section_id").cast("string"), F.lit("】")).alias("text")), F.struct(F.lit("table").alias("kind"), F.coalesce("s.table_markdown", F.lit("")).alias("text")))
+    rows = e.select(F.concat_ws("@", F.col("entry_id").cast("string"), F.date_format("loaded_at", "yyyyMMddHHmmssSSSSSS")).alias("doc_id"), "no", F.posexplode(blocks).alias("i", "b"))
+    stream = rows.select("doc_id", (F.col("no") * 2 + F.col("i")).cast("bigint").alias("block_idx"), "b.kind", F.lit("x").alias("style"), "b.text", F.lit("").alias("bound"), F.lit(1).alias("entry_no"))
+    return segment.build_sections(segment.mark_sections(stream)).select("doc_id", "section_no", "section_name", "table_markdown")
+
+
 def parse12_category(spark, folder):
     names = F.transform("sections", lambda s: s["section_name"])
     e = read_table(spark, folder, "drug_entries")
@@ -88,7 +109,7 @@ def parse13_stats(spark, folder):
     return names.filter("name IS NOT NULL").orderBy(F.col("n").desc(), "name").limit(15)
 
 
-QUERIES = {f.__name__: f for f in (s01_block_scan, s02_block_index, s03_table_markdown, parse01_predicates, parse04_lookahead, parse05_boundary, parse06_segments, parse07_parent_propagation, parse08_sections, parse12_category, parse13_stats)}
+QUERIES = {f.__name__: f for f in (s01_block_scan, s02_block_index, s03_table_markdown, parse01_predicates, parse04_lookahead, parse05_boundary, parse06_segments, parse07_parent_propagation, parse08_sections, parse09_name_slots, parse11_tables, parse12_category, parse13_stats)}
 
 _T = strip_sql("text")
 _LATIN_CLASS = "[A-Za-z\\-" + SPACE[1:]
@@ -145,6 +166,9 @@ SQL = {
     "parse06_segments": f"SELECT doc_id, entry_no::BIGINT AS entry_no, count(*) AS n_blocks, min(block_idx) AS first, max(block_idx) AS last FROM ({_ENTRIES}) GROUP BY ALL",
     "parse07_parent_propagation": f"SELECT doc_id, entry_no::BIGINT AS entry_no, max(entry_name) AS name, max(parent) AS parent, max(entry_kind) AS entry_kind FROM ({_ENTRIES}) GROUP BY 1, 2",
     "parse08_sections": _MARKED,
+    "parse09_name_slots": f"""WITH e AS (SELECT entry_id::VARCHAR || '@' || strftime(loaded_at AT TIME ZONE 'UTC', '%Y%m%d%H%M%S%f') AS doc_id, list_filter([{strip_sql("coalesce(pinyin_name, '')")}, {strip_sql("coalesce(latin_name, '')")}], lambda x: x <> '') AS n, {strip_sql("coalesce(intro_text, '')")} AS i FROM drug_entries)
+SELECT doc_id, coalesce(n[1], '') AS pinyin_name, coalesce(n[2], '') AS latin_name, i AS intro_text FROM e WHERE len(n) > 0 OR i <> ''""",
+    "parse11_tables": f"SELECT entry_id::VARCHAR || '@' || strftime(loaded_at AT TIME ZONE 'UTC', '%Y%m%d%H%M%S%f') AS doc_id, no AS section_no, s.section_id::VARCHAR AS section_name, nullif({strip_sql("coalesce(s.table_markdown, '')")}, '') AS table_markdown FROM (SELECT entry_id, loaded_at, unnest(generate_series(1, len(sections))) AS no, unnest(sections) AS s FROM drug_entries WHERE sections IS NOT NULL)",
     "parse12_category": "SELECT entry_id, CASE WHEN is_yinpian THEN '药材和饮片' WHEN list_has_any(n, ['处方', '规格']) THEN '成方制剂和单味制剂' WHEN list_has_any(n, ['来源', '性味与归经']) THEN '药材和饮片' WHEN regexp_matches(drug_name, '流浸膏|浸膏|提取物') THEN '植物油脂和提取物' WHEN is_sub_formulation THEN '成方制剂和单味制剂' ELSE '药材和饮片' END AS category FROM (SELECT *, list_transform(sections, lambda s: s.section_name) AS n FROM drug_entries)",
     "parse13_stats": "SELECT s.section_name AS name, count(*) AS n, count(*) FILTER (coalesce(s.table_markdown, '') <> '') AS n_tables FROM (SELECT unnest(sections) AS s FROM drug_entries) WHERE s.section_name IS NOT NULL GROUP BY 1 ORDER BY n DESC, name LIMIT 15",
 }

@@ -27,6 +27,13 @@ def g01_guard(spark, folder):
     return dialogue.guard(asked, ("性状", "鉴别", "storage"), ("制法", "english")).select("conv_id", "turn", "verdict", "reason")
 
 
+def g02_model_guard(spark, folder):
+    """The model's word decides where no keyword and no trust does."""
+    asked = turns(spark, folder).filter("role = 'user'")
+    reply = F.when(F.contains("text", F.lit("贮藏")), "无关").otherwise("相关")
+    return dialogue.guard(asked, ("性状",), ("制法",), reply).select("conv_id", "turn", "verdict", "reason")
+
+
 def g04_trim_history(spark, folder):
     return dialogue.trim_history(turns(spark, folder)).select("conv_id", "turn", "role")
 
@@ -129,7 +136,7 @@ def g17_event_rows(spark, folder):
     return rows.filter("kind = 'content'").select("response_id", "seq", "payload")
 
 
-QUERIES = {f.__name__: f for f in (g01_guard, g04_trim_history, g05_context_window, g06_pointer_detect, g07_pointer_resolve, g08_last_user, g09_turns, g10_prompt, g10_messages, g11_generate, g12_beautify, g13_citations, g14_numeric_check, g15_disclaimer, g16_post_process, g17_event_rows, a04_sessions, a05_session_expiry, a05_session_windows, a06_preview, a07_validation)}
+QUERIES = {f.__name__: f for f in (g01_guard, g02_model_guard, g04_trim_history, g05_context_window, g06_pointer_detect, g07_pointer_resolve, g08_last_user, g09_turns, g10_prompt, g10_messages, g11_generate, g12_beautify, g13_citations, g14_numeric_check, g15_disclaimer, g16_post_process, g17_event_rows, a04_sessions, a05_session_expiry, a05_session_windows, a06_preview, a07_validation)}
 
 _REPLIES = "(SELECT * FROM gen_responses QUALIFY row_number() OVER (PARTITION BY response_id ORDER BY loaded_at DESC) = 1)"
 _TURNS = f"(SELECT session_id AS conv_id, response_id * 2 AS turn, 'user' AS role, query AS text FROM {_REPLIES} WHERE session_id IS NOT NULL UNION ALL SELECT session_id, response_id * 2 + 1, 'assistant', raw_answer FROM {_REPLIES} WHERE session_id IS NOT NULL)"
@@ -169,6 +176,8 @@ _CONTENTS = "array_to_string(list_transform(names, lambda n: n || ' 6g 3次'), '
 SQL = {
     "g01_guard": f"""WITH a AS (SELECT conv_id, turn, coalesce(trim(text), '') AS t FROM {_TURNS} WHERE role = 'user'), b AS (SELECT *, coalesce(max(CASE WHEN t <> '' AND {_ON} THEN 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tr FROM a),
 c AS (SELECT conv_id, turn, CASE WHEN t = '' THEN 'empty' WHEN {_ON} THEN 'on_topic' WHEN {_OFF} THEN 'off_topic' WHEN tr = 1 THEN 'trusted' ELSE 'default' END AS reason FROM b) SELECT *, CASE WHEN reason IN ('empty', 'off_topic') THEN 'reject' ELSE 'pass' END AS verdict FROM c""",
+    "g02_model_guard": f"""WITH a AS (SELECT conv_id, turn, text, coalesce(trim(text), '') AS t FROM {_TURNS} WHERE role = 'user'), b AS (SELECT *, coalesce(max(CASE WHEN contains(t, '性状') THEN 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tr FROM a),
+c AS (SELECT conv_id, turn, CASE WHEN t = '' THEN 'empty' WHEN contains(t, '性状') THEN 'on_topic' WHEN contains(t, '制法') THEN 'off_topic' WHEN tr = 1 THEN 'trusted' WHEN contains(text, '贮藏') THEN 'model' ELSE 'default' END AS reason FROM b) SELECT *, CASE WHEN reason IN ('empty', 'off_topic', 'model') THEN 'reject' ELSE 'pass' END AS verdict FROM c""",
     "g04_trim_history": f"SELECT conv_id, turn, role FROM {_TURNS} QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 10",
     "g05_context_window": f"SELECT * FROM (SELECT conv_id, turn, sum(coalesce(length(text), 0)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS held FROM {_TURNS}) WHERE held <= 4096",
     "g06_pointer_detect": f"SELECT response_id, contains(query, '请问') OR contains(query, '它') AS points FROM {_REPLIES}",

@@ -148,11 +148,33 @@ def q08_parse(spark, folder):
     return parsed.select("qid", "query", F.array_join("names", ",").alias("names"), F.array_join("sections", ",").alias("sections"), "intent", "is_listing")
 
 
+def r01_override(spark, folder):
+    """The first retrieved name in place of the names of the question."""
+    rows = latest(read_table(spark, folder, "query_results").select("result_id", "query", "retrieved_drugs", "loaded_at"), "result_id")
+    parsed = queryparse.parse(rows.select(F.col("result_id").alias("qid"), "query"), _names(spark, folder), "drug_name")
+    given = rows.select(F.col("result_id").alias("qid"), F.try_element_at("retrieved_drugs", F.lit(1)).alias("name"))
+    return queryparse.override(parsed, given).select("qid", F.array_join("names", ",").alias("names"), "is_listing")
+
+
 def r02_expand_filter(spark, folder):
     asked = read_table(spark, folder, "query_results").select("result_id", F.explode("retrieved_drugs").alias("asked")).distinct()
     return related_names(asked, _names(spark, folder), "result_id", "asked", "drug_name")
 
 
+def r05_overfetch(spark, folder):
+    """Lengths of the word lists: four times as long where the question has a name."""
+    index = bm25.build(_docs(spark, folder), tokens.mixed_tokens(F.col("content")), "chunk_seq")
+    parsed = queryparse.parse(_asked(spark, folder), _names(spark, folder), "drug_name")
+    return retrieve.word_recall(index, parsed).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last"))
+
+
+def r07_category_filter(spark, folder):
+    """Word lists filtered above the limit by a category word."""
+    parsed = _asked(spark, folder).select("qid", F.lit(None).cast("array<string>").alias("name_filter"), F.lit("成方制剂").alias("category"))
+    none = parsed.select("qid", F.lit("").alias("name")).filter("false")
+    return retrieve.post_filter(_bm25(spark, folder), parsed, _docs(spark, folder), none, "chunk_seq", "drug_name", "category").select("qid", "id", "rank")
+
+
 def r06_postfilter(spark, folder):
     """BM25 lists filtered above the limit by the names of the question."""
     asked, names, docs = _asked(spark, folder), _names(spark, folder), _docs(spark, folder)
@@ -192,7 +214,7 @@ def r16_hybrid_search(spark, folder):
     return found.select("qid", "rank", "id", F.round("score", 6).alias("score"), F.round("rrf_score", 9).alias("rrf_score"), "sources", "name", "section", "category")
 
 
-QUERIES = {f.__name__: f for f in (b01_tokens, b02_lexicon_tokens, b03_bm25_build, b04_bm25_topk, v01_embed, v02_embed_query, v03_normalise, v04_ip_topk, v05_filtered_topk, v05_in_filter_topk, v06_lookup, f01_rrf, q01_entities, q02_sections, q03_intent, q04_keywords, q05_name_filter, q06_listing, q07_category, q08_parse, r02_expand_filter, r06_postfilter, r09_enrich, r10_rerank, r13_context_budget, r14_format, r16_hybrid_search)}
+QUERIES = {f.__name__: f for f in (b01_tokens, b02_lexicon_tokens, b03_bm25_build, b04_bm25_topk, v01_embed, v02_embed_query, v03_normalise, v04_ip_topk, v05_filtered_topk, v05_in_filter_topk, v06_lookup, f01_rrf, q01_entities, q02_sections, q03_intent, q04_keywords, q05_name_filter, q06_listing, q07_category, q08_parse, r01_override, r02_expand_filter, r05_overfetch, r06_postfilter, r07_category_filter, r09_enrich, r10_rerank, r13_context_budget, r14_format, r16_hybrid_search)}
 
 
 def _tokens(x: str) -> str:
@@ -262,6 +284,9 @@ SELECT qid, id, round(s, 9) AS rrf_score, rank, sources FROM (SELECT *, row_numb
     "r06_postfilter": f"""WITH {_BM25_CTES}, al AS ({_ALLOWED}), fl AS (SELECT DISTINCT qid FROM ({_LONGEST})),
 k AS (SELECT bm.qid, bm.id, bm.rank FROM bm JOIN {_DOCS} AS d ON d.chunk_seq = bm.id WHERE bm.qid NOT IN (SELECT qid FROM fl) OR EXISTS (SELECT 1 FROM al WHERE al.qid = bm.qid AND al.name = d.drug_name))
 SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rank, id) AS rank FROM k""",
+    "r01_override": f"SELECT q.result_id AS qid, coalesce(nullif(q.retrieved_drugs[1], ''), (SELECT string_agg(name, ',' ORDER BY length(name) DESC, name) FROM ({_LONGEST}) AS f WHERE f.qid = q.result_id), '') AS names, NOT EXISTS (SELECT 1 FROM ({_LONGEST}) AS f WHERE f.qid = q.result_id) AND {_listing('query')} AS is_listing FROM {_ONE} AS q",
+    "r05_overfetch": f"WITH {_BM25_CTES}, fl AS (SELECT DISTINCT qid FROM ({_LONGEST})) SELECT qid, count(*) AS n, max(rank)::INT AS last FROM bm WHERE rank <= CASE WHEN qid IN (SELECT qid FROM fl) THEN 60 ELSE 15 END GROUP BY qid",
+    "r07_category_filter": f"WITH {_BM25_CTES} SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rank, id) AS rank FROM bm JOIN {_DOCS} AS d ON d.chunk_seq = bm.id WHERE contains(coalesce(category, ''), '成方制剂')",
     "r09_enrich": f"WITH {_BM25_CTES} SELECT bm.id, qid, rank, drug_name, section FROM bm LEFT JOIN {_DOCS} AS d ON d.chunk_seq = bm.id WHERE rank <= 5",
     "r13_context_budget": f"""WITH i AS (SELECT drug_name AS qid, rank, substr(item, 1, 800) AS item FROM ({_ITEMS})), b AS (SELECT *, coalesce(sum(length(item)) OVER (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM i),
 o AS (SELECT *, before + length(item) > 4000 AS over, sum((before + length(item) > 4000)::INT) OVER (PARTITION BY qid ORDER BY rank) AS overs FROM b WHERE before <= 4000)

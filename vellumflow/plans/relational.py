@@ -149,6 +149,13 @@ def x03_prefix(spark, folder):
     return diagnose.with_prefix(_chunks(spark, folder), "drug_name", ["白", "黄", "金"])
 
 
+def x04_residual_list(spark, folder):
+    """Names that still hold a misread part."""
+    names = _chunks(spark, folder).select("drug_name").filter("drug_name IS NOT NULL").distinct()
+    terms = spark.createDataFrame([("-饮",), ("Plus",), ("口服",)], "term string")
+    return diagnose.term_scan(names, "drug_name", "drug_name", terms).select("drug_name", "term")
+
+
 def x05_neighbours(spark, folder):
     return diagnose.neighbours(block_stream(spark, folder), F.coalesce(F.length("text").between(1, 6), F.lit(False)))
 
@@ -198,7 +205,7 @@ def x12_misses(spark, folder):
     return _results(spark, folder).filter("hit = false").select("result_id", "query", F.size("retrieved_drugs").alias("n"), any_of(F.col("query"), ("性状", "鉴别")).alias("identity"))
 
 
-QUERIES = {f.__name__: f for f in (m01_point_lookup, m02_multi_lookup, m03_dynamic_filter, m04_distinct_names, m05_count, m06_stats, s08_append, s09_upsert, s11_eval_cases, s12_report_json, a01_post_topk_filter, a02_catalog, a03_stats, e01_hit, e02_first_rank, e03_hit_mrr, e04_percentile, e05_by_type, e06_coverage, e06_generation_report, e08_report_views, x01_audit_missing, x02_membership, x03_prefix, x05_neighbours, x05_style_histogram, x06_term_scan, x07_top_groups, x07_top_customers, x08_failure_classes, x09_delta, x10_case_join, x11_view_aggregates, x12_misses)}
+QUERIES = {f.__name__: f for f in (m01_point_lookup, m02_multi_lookup, m03_dynamic_filter, m04_distinct_names, m05_count, m06_stats, s08_append, s09_upsert, s11_eval_cases, s12_report_json, a01_post_topk_filter, a02_catalog, a03_stats, e01_hit, e02_first_rank, e03_hit_mrr, e04_percentile, e05_by_type, e06_coverage, e06_generation_report, e08_report_views, x01_audit_missing, x02_membership, x03_prefix, x04_residual_list, x05_neighbours, x05_style_histogram, x06_term_scan, x07_top_groups, x07_top_customers, x08_failure_classes, x09_delta, x10_case_join, x11_view_aggregates, x12_misses)}
 
 _K = ", ".join(KEY)
 _R = "(SELECT * FROM query_results QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY loaded_at DESC) = 1)"
@@ -235,6 +242,7 @@ SQL = {
     "x01_audit_missing": f"WITH c AS (SELECT DISTINCT drug_name AS name FROM drug_entries WHERE is_yinpian = false), m AS (SELECT name FROM {_ASKED_NAMES} WHERE name NOT IN (SELECT name FROM c WHERE name IS NOT NULL) AND regexp_replace(name, '-饮片$', '') NOT IN (SELECT name FROM c WHERE name IS NOT NULL)) SELECT a.name, (SELECT c.name FROM c WHERE length(c.name) >= 2 AND length(a.name) >= 2 AND {_RELATED} ORDER BY length(c.name), c.name LIMIT 1) AS suggestion FROM m AS a",
     "x02_membership": f"WITH c AS (SELECT DISTINCT drug_name AS name FROM drug_entries WHERE drug_name IS NOT NULL) SELECT name, CASE WHEN name IN (SELECT name FROM c) THEN 'exact' WHEN EXISTS (SELECT 1 FROM c WHERE contains(c.name, a.name) AND c.name <> a.name) THEN 'contained' ELSE 'absent' END AS found FROM {_ASKED_NAMES} AS a",
     "x03_prefix": "SELECT DISTINCT drug_name FROM chunks WHERE starts_with(drug_name, '白') OR starts_with(drug_name, '黄') OR starts_with(drug_name, '金')",
+    "x04_residual_list": "SELECT DISTINCT drug_name, term FROM chunks, (SELECT unnest(['-饮', 'Plus', '口服']) AS term) WHERE contains(drug_name, term)",
     "x05_neighbours": f"SELECT doc_id, block_idx, text, before_1, after_1 FROM (SELECT *, lag(text) OVER w AS before_1, lead(text) OVER w AS after_1 FROM ({BLOCKS_SQL}) WINDOW w AS (PARTITION BY doc_id ORDER BY block_idx)) WHERE length(text) BETWEEN 1 AND 6",
     "x05_style_histogram": f"SELECT style, kind, count(*) AS n, max(length(text))::INT AS longest FROM ({BLOCKS_SQL}) GROUP BY 1, 2",
     "x06_term_scan": "SELECT DISTINCT chunk_seq, section_name AS term, ((length(content) - length(replace(content, section_name, ''))) / length(section_name))::BIGINT AS n FROM chunks, section_catalog WHERE contains(content, section_name)",
