@@ -12,6 +12,6 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 def spark():
     from vellumflow.session import local_session
 
-    session = local_session(4, 4, spark__sql__warehouse__dir="/tmp/vellum-warehouse")
+    session = local_session(4, 4, spark__sql__warehouse__dir="/tmp/vellum-warehouse", spark__sql__codegen__wholeStage="false")  # many small plans
     yield session
     session.stop()
