@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vellumflow.operators import chunk as k
 from vellumflow.session import read_table, spread
 
-from .common import SECTIONS_SQL, list_sql, sections_of, strip_sql
+from .common import SECTIONS_SQL, sections_of, strip_sql
 
 HEADING = "^(?:取|照)"
 
