@@ -132,6 +132,12 @@ def test_repair_texts(spark, lexicon):
     assert got == [(1, "加水煎煮", ["broken_line"])]
 
 
+def test_recurring_misread_word_is_repaired():
+    lexicon = scan.Lexicon({}, {"acetate": 679, "acctate": 6, "erect": 40, "crect": 30}, [])
+    assert scan.repair("The acctate is erect.", lexicon) == ("The acetate is erect.", {"misread"})
+    assert scan.repair("The acetate is crect.", lexicon) == ("The acetate is crect.", set())
+
+
 # --- spam pages
 
 PROSE = "本品为人参的干燥根，取本品粉末，加水煎煮，滤过，滤液浓缩至干。\n"

@@ -43,7 +43,7 @@ HELD_KEYS = 500_000
 LEAST = 3
 #: The corrected reading must be so many times as likely by the pairs on its two sides.
 FACTOR = 20.0
-#: A character this rare beside its counterpart is wrong where the context is unknown.
+#: A character or word this rare beside its counterpart is wrong where the context is unknown.
 RARE = 0.04
 #: Cost of a substitution by a confusion pair, and of any other edit.
 CONFUSED, EDIT = 0.3, 1.0
@@ -133,16 +133,14 @@ class Lexicon:
         return self.pairs.get(left << 16 | right, 0)
 
     def word(self, word: str) -> str:
-        """The word of the lexicon that was misread as ``word``, else ``word``."""
-        if word in self.words:
-            return word
+        """The word of the lexicon that was misread as ``word``, else ``word``. A misread form
+        may be in the lexicon itself, so a word is told by its count beside the other's."""
         known = self.corrected.get(word)
         if known is None:
-            known = word
-            best = None
+            known, n, best = word, self.words.get(word, 0), None
             for k in range(len(word)):
                 for other in self.index.get(word[:k] + word[k + 1 :], ()):
-                    if len(other) == len(word) and (cost := weighted_distance(word, other)) < EDIT:
+                    if len(other) == len(word) and n < RARE * self.words[other] and 0 < (cost := weighted_distance(word, other)) < EDIT:
                         best = min(best, (cost, -self.words[other], other)) if best else (cost, -self.words[other], other)
             if best:
                 known = best[2]
