@@ -138,6 +138,25 @@ def test_recurring_misread_word_is_repaired():
     assert scan.repair("The acetate is crect.", lexicon) == ("The acetate is crect.", set())
 
 
+def test_misread_words_of_all_kinds(spark):
+    texts = ["It is determined through the column in methanol, otherwise tightly closed. The modern way of the acid."] * 40
+    texts += ["It is deterrnined tlirough the colurnn in metlianol, otlierwise tiglitly closed. The modem way of thc acid, dctcrrnincd."]
+    texts += ["A modem line is used for the modem of the unit."] * 30 + ["The modern way of the acid was used by modern men."] * 3
+    lexicon = scan.build_lexicon(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
+    want = "It is determined through the column in methanol, otherwise tightly closed. The modern way of the acid, determined."
+    assert scan.repair(texts[40], lexicon) == (want, {"misread"})
+    for other in (texts[0], texts[41], "A modem is used."):
+        assert scan.repair(other, lexicon) == (other, set())
+    assert scan.repair_name("Metlianol tiglitly", lexicon) == ("Metlianol tightly", {"misread"})
+
+
+def test_looks_agree(spark):
+    words = ["deterrnined", "Ieaves", "d!sso1ved", "whole", "vvool", "éclair", ""]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r[0] for r in df.select(scan.look_column(scan.F.col("w"))).collect()] == list(map(scan.look, words))
+    assert scan.weighted_distance("deterrnined", "determined") == scan.CONFUSED and scan.weighted_distance("modem", "modern") == scan.CONFUSED and scan.weighted_distance("abc", "abd") == scan.EDIT
+
+
 # --- spam pages
 
 PROSE = "本品为人参的干燥根，取本品粉末，加水煎煮，滤过，滤液浓缩至干。\n"

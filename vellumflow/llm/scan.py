@@ -3,16 +3,17 @@
 Two passes. The first counts, over all texts, pairs of neighbouring characters, words of
 letters and cited titles; pairs and words that hold at least a fixed share of the corpus form
 the frequency lexicon, whose size is therefore bounded by the inverse of that share, whatever
-the corpus. The second runs every text past the lexicon:
+the corpus; words that look like another word are kept besides, with their exact counts. The second runs every text past the lexicon:
 
 * lines that are nothing but a page number or a volume title (also elided or spaced, beside
   a part or a name) are taken out; a title inside a citation stays;
 * a line end is broken if it parts a hyphenated or plain word, or two ideographs that the
   lexicon knows as neighbours; rows of lists and tables end between characters it does not;
-* misread characters: for words of letters a symmetric-delete index over the lexicon gives
-  the candidates; for ideographs, whose lexicon entries are pairs, the confusion pairs do.
-  A weighted edit distance, cheap for confusion pairs, and the pair counts on both sides
-  decide. Letters inside numbers and digits inside words are told by their neighbours.
+* misread characters: for words of letters an index over the lexicon by look, in which all
+  letters and groups that are read for one another (rn and m, c and e) have one form on both
+  sides, gives the candidates; for ideographs, whose lexicon entries are pairs, the confusion
+  pairs do. A weighted edit distance, cheap for confusion pairs, the pair counts on both
+  sides (for words those of neighbouring words) and the ratio of counts decide. Letters inside numbers and digits inside words are told by their neighbours.
 
 Results for odd input: NULL stays NULL and has no noise; an empty text stays empty; a text
 longer than any page is handled as a whole; equal texts get equal results; an empty table
@@ -27,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumflow.session import cut
+from vellumflow.session import broadcast_checked, cut
 
 from .visual import canonical
 
@@ -57,6 +58,13 @@ CONFUSIONS = (
 #: Letters and signs read for digits, and signs and letters read for letters.
 DIGIT_MISREADS = {"O": "0", "o": "0", "l": "1", "I": "1", "Z": "2", "S": "5", "B": "8"}
 LETTER_MISREADS = {"0": "o", "1": "l", "!": "i", "c": "e"}
+#: Letters and groups of letters of one look, read for one another in words.
+SINGLE_LOOKS = ("ce", "il", "Il", "1i", "1l", "!i", "!l", "0o")
+GROUP_LOOKS = (("m", "rn"), ("h", "li"), ("d", "cl"), ("w", "vv"))
+#: All looks brought to one form: after the groups are written out, these letters for those.
+_LOOK_FROM, _LOOK_TO = "01!iIe", "ollllc"
+#: Words up to this length are repaired only where the words beside them speak for it.
+SHORT_WORD = 4
 #: Parts of a work that stand in headings.
 PARTS = "正文|增补本|增订本|附录|索引|目录|凡例|[一二三四五六七八九十]部|卷[上中下一二三四五六七八九十]|[上中下]卷|[上中下]册|第[一二三四五六七八九十\\d]+[卷册部编章]"
 #: Endings of numbers.
@@ -66,6 +74,9 @@ _OPTIONS: dict[str, list[str]] = defaultdict(list)
 for _pair in CONFUSIONS.split():
     _OPTIONS[_pair[0]].append(_pair[1])
 _SUSPECT = re.compile(f"[{''.join(_OPTIONS)}]")
+_SINGLES = frozenset(x for pair in SINGLE_LOOKS for x in (pair, pair[::-1]))
+_GROUPS = frozenset(x for one, two in GROUP_LOOKS for x in (one + two, two + one))
+_LOOKS = str.maketrans(_LOOK_FROM, _LOOK_TO)
 _UNSTABLE = re.compile(r"[^\x00-\x7e°±·À-İĴ-ľŁ-ňŊ-žα-θκ-μ—…、。〈-】一-鿿，：；（）！？％～［］℃]")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ0-9!]*[A-Za-zÀ-ɏ]|[01!][a-zà-ɏ]{4,}")
 _NUMBER = re.compile(rf"(?<![A-Za-z0-9.\-μ素族型])(?=[OolIZSB.]*[0-9])(?=[0-9.]*[OolIZSB])[0-9OolIZSB][0-9OolIZSB.]*(?=[^A-Za-z0-9型]|$|{UNITS})|(?<=[0-9]-)[0-9]+[OolIZSB][0-9OolIZSB]*(?=[^A-Za-z0-9]|$)|(?<=-)(?=[OolIZSB]*[0-9]{{3}})(?=[0-9]*[OolIZSB])[0-9OolIZSB]{{5,}}(?=[^A-Za-z0-9]|$)")
@@ -112,60 +123,105 @@ def pair_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(left[kept] << 16 | right[kept], return_counts=True)
 
 
+def look(word: str) -> str:
+    """The form that a word has in common with all its misreadings: the groups of letters that
+    are read for one another are the same on both sides, in the lexicon and in the text."""
+    for one, two in GROUP_LOOKS:
+        word = word.replace(one, two)
+    return word.translate(_LOOKS)
+
+
+def look_column(word: Column) -> Column:
+    for one, two in GROUP_LOOKS:
+        word = F.replace(word, F.lit(one), F.lit(two))
+    return F.translate(word, _LOOK_FROM, _LOOK_TO)
+
+
 class Lexicon:
-    """Frequent pairs, single ideographs, words and titles of a corpus."""
+    """Frequent pairs, single ideographs, words and titles of a corpus; words that look alike,
+    however rare, and the pairs of words that tell them apart."""
 
-    def __init__(self, pairs: dict[int, int], words: dict[str, int], titles: list[str]):
-        self.pairs, self.words, self.titles = pairs, words, titles
+    def __init__(self, pairs: dict[int, int], words: dict[str, int], titles: list[str], phrases: dict[str, int] | None = None):
+        self.pairs, self.words, self.titles, self.phrases = pairs, words, titles, phrases or {}
         self.single: Counter = Counter()
         for pair, n in pairs.items():
             self.single[pair >> 16] += n
-        self.index: dict[str, set[str]] = defaultdict(set)
-        for word in words:
-            for k in range(len(word)):
-                self.index[word[:k] + word[k + 1 :]].add(word)
+        self.index: dict[str, list[str]] = defaultdict(list)
+        for word, n in words.items():
+            if n >= LEAST:
+                self.index[look(word)].append(word)
         spaced = [r"\s*".join(map(re.escape, t)) for t in titles]
         elided = [f"{re.escape(t[:2])}(?:\\.{{2,}}|…+){re.escape(t[-2:])}" for t in titles if len(t) >= 5]
         self.title = re.compile("|".join(spaced + elided)) if titles else None
-        self.corrected: dict[str, str] = {}
+        self.known: dict[str, tuple[str, ...]] = {}
 
     def pair(self, left: int, right: int) -> int:
         return self.pairs.get(left << 16 | right, 0)
 
-    def word(self, word: str) -> str:
-        """The word of the lexicon that was misread as ``word``, else ``word``. A misread form
-        may be in the lexicon itself, so a word is told by its count beside the other's."""
-        known = self.corrected.get(word)
+    def printed(self, word: str) -> tuple[str, ...]:
+        """Words of the lexicon that may have been misread as ``word``."""
+        known = self.known.get(word)
         if known is None:
-            known, n, best = word, self.words.get(word, 0), None
-            for k in range(len(word)):
-                for other in self.index.get(word[:k] + word[k + 1 :], ()):
-                    if len(other) == len(word) and n < RARE * self.words[other] and 0 < (cost := weighted_distance(word, other)) < EDIT:
-                        best = min(best, (cost, -self.words[other], other)) if best else (cost, -self.words[other], other)
-            if best:
-                known = best[2]
-            if len(self.corrected) > 200_000:
-                self.corrected.clear()
-            self.corrected[word] = known
+            alike = [x for x in self.index.get(look(word), ()) if x != word]
+            most = CONFUSED * max(3, len(word) // 2)
+            known = tuple(x for x in alike if weighted_distance(word, x) <= most + 1e-9)
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[word] = known
         return known
 
+    def word(self, word: str, left: str = "", right: str = "") -> str:
+        """The word of the lexicon that was misread as ``word`` between its neighbours, else
+        ``word``. A misread form may be in the lexicon itself, so a word is told by the pairs
+        with its neighbours and by its count beside the other's."""
+        best = (0.0, 0.0, 0, word)
+        if alike := self.printed(word):
+            n = self.words.get(word, 0)
+            after = [right, *self.printed(right)] if right else []  # it may be misread too
+            l0, r0 = self.phrase([left], [word]), self.phrase([word], after)
+            for other in alike:
+                l1, r1 = self.phrase([left], [other]), self.phrase([other], after)
+                gain = (l1 + 0.5) * (r1 + 0.5) / ((l0 + 0.5) * (r0 + 0.5))
+                rare = len(word) > SHORT_WORD and n < max(LEAST, RARE * self.words[other])
+                if (gain >= FACTOR or rare and n < self.words[other]) and l1 >= l0 and r1 >= r0:
+                    best = max(best, (gain, -weighted_distance(word, other), self.words[other], other))
+        return best[3]
+
+    def phrase(self, left: list[str], right: list[str]) -> int:
+        return max((self.phrases.get(f"{a} {b}", 0) for a in left for b in right if a and b), default=0)
+
 
 def weighted_distance(read: str, printed: str) -> float:
-    """Edit distance in which misreading a letter is cheap."""
+    """Edit distance in which misreading a letter or a group of letters is cheap."""
+    before: list[float] = []
     row = [j * EDIT for j in range(len(printed) + 1)]
     for i, a in enumerate(read, 1):
-        last, row[0] = row[0], i * EDIT
+        above, row = row, [i * EDIT]
         for j, b in enumerate(printed, 1):
-            cost = 0.0 if a == b else CONFUSED if LETTER_MISREADS.get(a) == b or b in _OPTIONS.get(a, ()) else EDIT
-            last, row[j] = row[j], min(last + cost, row[j] + EDIT, row[j - 1] + EDIT)
+            cost = 0.0 if a == b else CONFUSED if a + b in _SINGLES or b in _OPTIONS.get(a, ()) else EDIT
+            least = min(above[j - 1] + cost, above[j] + EDIT, row[j - 1] + EDIT)
+            if i > 1 and read[i - 2 : i] + b in _GROUPS:
+                least = min(least, before[j - 1] + CONFUSED)
+            if j > 1 and a + printed[j - 2 : j] in _GROUPS:
+                least = min(least, above[j - 2] + CONFUSED)
+            row.append(least)
+        before = above
     return row[-1]
 
 
+def words_of(text: str) -> Iterator[tuple[re.Match, str]]:
+    """Words of letters, each with the word before it if only blanks part them, else ''."""
+    end, before = -1, ""
+    for m in _LATIN.finditer(text):
+        yield m, before if end >= 0 and not text[end : m.start()].strip() else ""
+        end, before = m.end(), m.group()
+
+
 def count_texts(df: DataFrame, text_col: str) -> DataFrame:
-    """``kind, key, n``: counts of pairs, words and titles, pre-aggregated per partition."""
+    """``kind, key, n``: counts of pairs, words, pairs of words and titles, pre-aggregated per partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {"pair": Counter(), "word": Counter(), "title": Counter()}
+        held = {"pair": Counter(), "word": Counter(), "phrase": Counter(), "title": Counter()}
 
         def flush() -> Iterator[pa.RecordBatch]:
             for kind, counts in held.items():
@@ -182,7 +238,10 @@ def count_texts(df: DataFrame, text_col: str) -> DataFrame:
             for key, n in zip(*(a.tolist() for a in pair_counts(texts))):
                 held["pair"][key] += n
             for text in texts:
-                held["word"].update(w for w in _LATIN.findall(text) if len(w) > 3)
+                for m, before in words_of(text):
+                    held["word"][m.group()] += 1
+                    if before:
+                        held["phrase"][f"{before} {m.group()}"] += 1
                 if "《" in text:
                     held["title"].update(re.findall(r"《([^《》\n]{4,20})》", text))
             if sum(map(len, held.values())) > HELD_KEYS:
@@ -193,15 +252,29 @@ def count_texts(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def build_lexicon(df: DataFrame, text_col: str) -> Lexicon:
-    """The lexicon of all texts: at most ``1 / share`` entries of each kind reach the driver."""
+    """The lexicon of all texts: at most ``1 / share`` entries of each kind reach the driver, and
+    besides them all words that look like another one, whatever their count."""
     counts = cut(count_texts(df, text_col))
     totals = {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     least = {k: max(LEAST, share * totals.get(k, 0)) for k, share in (("pair", PAIR_SHARE), ("word", WORD_SHARE), ("title", TITLE_SHARE))}
     kept = counts.filter(" OR ".join(f"kind = '{k}' AND n >= {n}" for k, n in least.items())).collect()
     by: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in kept:
+    for r in [*kept, *alike_words(counts).collect()]:
         by[r["kind"]][r["key"]] = r["n"]
-    return Lexicon({int(k): n for k, n in by["pair"].items()}, by["word"], sorted(t for t in by["title"] if all(map(_wide, t))))
+    return Lexicon({int(k): n for k, n in by["pair"].items()}, by["word"], sorted(t for t in by["title"] if all(map(_wide, t))), by["phrase"])
+
+
+def alike_words(counts: DataFrame) -> DataFrame:
+    """``kind, key, n``: words of which another one has the look, one of them not rare; and the
+    pairs of words that are needed where two of them are not rare, or short."""
+    words = counts.filter("kind = 'word'").groupBy(look_column(F.col("key")).alias("look")).agg(F.collect_list(F.struct("key", "n")).alias("w"))
+    often = F.size(F.filter("w", lambda x: x["n"] >= LEAST))
+    short = F.exists("w", lambda x: F.length(x["key"]) <= SHORT_WORD)
+    alike = words.filter((F.size("w") > 1) & (often > 0)).select(F.explode("w").alias("w"), ((often > 1) | short).alias("open")).select("w.key", "w.n", "open")
+    asked = broadcast_checked(alike.filter("open").select(F.col("key").alias("asked")))
+    phrases = counts.filter(f"kind = 'phrase' AND n >= {LEAST}")
+    sides = [phrases.join(asked, F.substring_index("key", " ", k) == F.col("asked"), "left_semi") for k in (1, -1)]
+    return alike.select(F.lit("word").alias("kind"), "key", "n").unionByName(sides[0]).unionByName(sides[1])
 
 
 def _is_page(line: str) -> bool:
@@ -223,7 +296,7 @@ def _is_header(line: str, lexicon: Lexicon) -> bool:
 
 
 def _correct(text: str, lexicon: Lexicon) -> str:
-    """``text`` with misread characters replaced; of the same length."""
+    """``text`` with misread characters replaced."""
     out = None
     for m in _SUSPECT.finditer(text):
         at, read = m.start(), m.group()
@@ -251,9 +324,25 @@ def _correct(text: str, lexicon: Lexicon) -> str:
         text = "".join(out)
     for pattern, table in ((_NUMBER, DIGIT_MISREADS), (_LONE, DIGIT_MISREADS), (_IN_WORD, LETTER_MISREADS)):
         text = pattern.sub(lambda m, t=table: "".join(t.get(ch, ch) for ch in m.group()), text)
-    if lexicon.words and "c" in text:
-        text = _LATIN.sub(lambda m: lexicon.word(m.group()) if len(m.group()) > 4 and "c" in m.group() else m.group(), text)
-    return text
+    return _correct_words(text, lexicon)
+
+
+def _correct_words(text: str, lexicon: Lexicon) -> str:
+    """``text`` with misread words of letters replaced, from left to right."""
+    if not lexicon.index:
+        return text
+    found = list(words_of(text))
+    parts, end, last = [], 0, ""
+    for k, (m, before) in enumerate(found):
+        word = m.group()
+        if lexicon.printed(word):
+            follows = found[k + 1] if k + 1 < len(found) else None
+            word = lexicon.word(word, last if before else "", follows[0].group() if follows and follows[1] else "")
+            if word != m.group():
+                parts += [text[end : m.start()], word]
+                end = m.end()
+        last = word
+    return "".join([*parts, text[end:]]) if parts else text
 
 
 def repair(text: str | None, lexicon: Lexicon) -> tuple[str | None, set[str]]:
@@ -374,14 +463,14 @@ def _correct_name(name: str, lexicon: Lexicon) -> str:
         l1, r1 = lexicon.pair(left, ord(best)), lexicon.pair(ord(best), right)
         if l1 + r1 and (l1 + 0.5) * (r1 + 0.5) >= FACTOR * (l0 + 0.5) * (r0 + 0.5) or not l0 and not r0 and (l1 + r1 > 0 or lexicon.single[read] < RARE * lexicon.single[ord(best)]):
             out[at] = best
-    return "".join(out)
+    return _correct_words("".join(out), lexicon)
 
 
 def repair_texts(df: DataFrame, id_col: str, text_col: str, lexicon: Lexicon, names: bool = False) -> DataFrame:
     """``id_col, clean, noise`` (array of kinds) of every row; ``names`` for short values."""
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    parts = (lexicon.pairs, lexicon.words, lexicon.titles)
+    parts = (lexicon.pairs, lexicon.words, lexicon.titles, lexicon.phrases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, mend = Lexicon(*parts), repair_name if names else repair
