@@ -181,3 +181,11 @@ def test_find_spam(spark):
     df = spark.createDataFrame([(*r, "zz") for r in rows], "doc_id bigint, text string, lang string")
     assert sorted(r["doc_id"] for r in spam.find_spam(df).filter("spam").collect()) == [2, 2]
     assert spam.find_spam(df.filter("false")).count() == 0
+
+
+def test_page_shares_enter_the_verdict(spark):
+    english = "The root of the plant is cut into slices and stored in closed vessels. It is dried in the shade.\n"
+    spam_pages = ["ginseng root\n" * 200, "人参\n" * 200, "ginseng root, red ginseng, ginseng tea, " * 30, "人参、红参、人参、白参、" * 40]
+    good = [PROSE * 9, english * 9, "人参", "ginseng root", "人参\n甘草\n黄芪\n白术\n当归\n川芎\n熟地\n白芍\n茯苓\n陈皮", PROSE * 9 + "人参\n" * 20, english * 9 + "ginseng root\n" * 9]
+    df = spark.createDataFrame(list(enumerate([*good * 9, *spam_pages])), "doc_id int, text string")
+    assert [r["doc_id"] - 9 * len(good) for r in spam.find_spam(df).filter("spam").orderBy("doc_id").collect()] == [0, 1, 2, 3]

@@ -3,9 +3,11 @@
 Every line of a page is one of prose, links, menu, shop entry, tags or keywords, judged by
 link-text ratio, separator density, missing function words, and top-word and n-gram shares of
 the page. A page is spam if the lines that are no prose hold more than half of its characters
-and its share of function words is below half the median of its language. The medians are
-taken over all pages, so that the cut is calibrated per language; languages are told by
-script and stop words, not by a label, of which only a bounded number exist.
+and its share of function words is below half the median of its language. A page so short of
+function words is spam as well if two of three shares of the whole page are above their cuts:
+repeated lines, separators, and the commonest word (of letters) or pair of ideographs. All
+cuts come from medians over all pages, so that they are calibrated per language; languages are
+told by script and stop words, not by a label, of which only a bounded number exist.
 
 Results for odd input: NULL, empty and blank texts are no spam; equal texts get equal
 results; a table without any page gives no rows. Features are computed once, written through
@@ -31,6 +33,10 @@ SHARE = 0.5
 FUNCTION_PART = 0.5
 #: The cut of a language is at least this, also where most of its pages are spam.
 FUNCTION_FLOOR = 0.1
+#: Cuts of the shares of a whole page: times the language's median, at least, at most.
+PAGE_CUTS = {"duplicate_lines": (2.0, 0.3, 0.5), "separators": (2.0, 0.08, 0.25), "top_word": (3.0, 0.15, 0.4)}
+#: A word or line that occurs less often on a page is not repeated.
+REPEATED = 8
 #: Function share of a line from which it is prose without a closer look.
 PROSE_LINE = 0.06
 #: Without evidence of selling, stuffing needs so many segments.
@@ -54,6 +60,7 @@ _MENU = re.compile(MENU)
 _FUNCTION = re.compile(f"[{''.join(sorted(FUNCTION_WIDE))}]")
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"\d")
+_SIGNS = "_|/;；、，,·•!！>»：:~-#\n"
 _STOP = re.compile(r"[。！？]|[.!?](?:\s|$)")
 
 KINDS = ("links", "menu", "shop", "tags", "keywords")
@@ -74,13 +81,34 @@ def _weight_table() -> np.ndarray:
 
 
 _WEIGHTS = _weight_table()
+_IS_SIGN = np.zeros(0x10000, dtype=bool)
+_IS_SIGN[[ord(ch) for ch in _SIGNS]] = True
 
 
-def _latin_shares(line: str) -> tuple[int, int]:
-    words = _WORD.findall(line.lower())
+def _latin_shares(words: list[str]) -> tuple[int, int]:
     return sum(map(FUNCTION_LATIN.__contains__, words)), len(words)
 
 
+def _top_pair(codes: np.ndarray, wide: int) -> float:
+    """Share of the ideographs that the commonest pair of them holds, 0 if it is not repeated."""
+    if wide < 2 * REPEATED:
+        return 0.0
+    weights = _WEIGHTS[np.minimum(codes, 0xFFFF)]
+    plain = weights == 1
+    at = np.flatnonzero(plain[:-1] & plain[1:])
+    if len(at) < REPEATED:
+        return 0.0
+    pairs = np.sort(codes[at].astype(np.int64) << 16 | codes[at + 1])
+    most = int(np.diff(np.flatnonzero(np.diff(pairs, prepend=-1, append=-1))).max())
+    return min(1.0, 2 * most / wide) if most >= REPEATED else 0.0
+
+
+def _top_word(words: Counter) -> float:
+    """Share of the words that the commonest one without grammar holds, 0 if it is not repeated."""
+    most = max((n for w, n in words.items() if len(w) > 1 and w not in FUNCTION_LATIN), default=0)
+    return most / words.total() if most >= REPEATED else 0.0
+
+
 def _latin_language(text: str) -> str:
     low = Counter(_WORD.findall(text[:4000].lower()))
     votes = {"en": sum(low[w] for w in ("the", "of", "and", "is", "to")), "de": sum(low[w] for w in ("der", "die", "und", "wird", "mit")), "fr": sum(low[w] for w in ("la", "le", "et", "est", "dans"))}
@@ -161,32 +189,32 @@ def features(text: str | None) -> dict:
     marked = _MARKS.search(text) is not None
     look = (length > 0) & (~ideographic | (function < PROSE_LINE * wide) | marked)
     units, grammar = int((wide * ideographic).sum()), int((function * ideographic).sum())
-    suspects = []
+    suspects, words = [], Counter()
     for k in np.flatnonzero(look).tolist():
         line = lines[k].strip()
         if ideographic[k]:
             f, u = int(function[k]), int(wide[k])
         else:
-            f, u = _latin_shares(line)
+            own = _WORD.findall(line.lower())
+            words.update(own)
+            f, u = _latin_shares(own)
             grammar, units = grammar + f, units + u
         share = f / max(u, 1)
         if share < PROSE_LINE or marked and _MARKS.search(line):
             suspects.append((line, int(wide[k]), share))
     kinds: Counter = Counter()
-    top = 0
     if suspects:
         stuffed = _stuffed("\n".join(s[0] for s in suspects))
         for line, w, share in suspects:
             kind = _line_kind(line, w, share, stuffed)
             if kind:
                 kinds[kind] += len(line) - len(re.findall(r"\s", line))
-        top = max((text.count(gram) for gram in stuffed), default=0)
     repeated = 0
     if len(lines) > 2:
-        repeated = sum(len(line) * (k - 1) for line, k in Counter(lines).items() if k > 1)
+        repeated = sum((len(line) - sum(map(str.isspace, line))) * (k - 1) for line, k in Counter(lines).items() if k > 1)
     out |= {"lang": "zh" if int(wide.sum()) * 3 >= n else _latin_language(text), "n": n, "function_share": grammar / max(units, 1)}
-    out |= {"duplicate_lines": repeated / max(n, 1), "top_word": top * 3 / max(n, 1)}
-    out |= {"separators": sum(len(_SEPARATOR.findall(s[0])) for s in suspects) / max(n, 1)}
+    out |= {"duplicate_lines": repeated / max(n, 1), "top_word": _top_pair(codes, int(wide.sum())) if out["lang"] == "zh" else _top_word(words)}
+    out |= {"separators": int(_IS_SIGN[np.minimum(codes, 0xFFFF)].sum() - 1) / max(n, 1)}
     return out | {k: kinds[k] / max(n, 1) for k in KINDS}
 
 
@@ -206,10 +234,13 @@ def page_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def find_spam(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, the features, the language's cut and ``spam`` of every row."""
+    """``id_col``, the features, the language's cuts and ``spam`` of every row."""
     pages = cut(page_features(df, id_col, text_col))
     other = sum(F.col(k) for k in KINDS)
-    cuts = pages.filter("n > 0").groupBy("lang").agg(F.greatest(F.percentile_approx("function_share", 0.5) * FUNCTION_PART, F.lit(FUNCTION_FLOOR)).alias("function_cut"))
+    page_cuts = [F.least(F.greatest(F.percentile_approx(c, 0.5) * times, F.lit(least)), F.lit(most)).alias(f"{c}_cut") for c, (times, least, most) in PAGE_CUTS.items()]
+    cuts = pages.filter("n > 0").groupBy("lang").agg(F.greatest(F.percentile_approx("function_share", 0.5) * FUNCTION_PART, F.lit(FUNCTION_FLOOR)).alias("function_cut"), *page_cuts)
     judged = pages.join(F.broadcast(cuts), "lang", "left").withColumn("other_share", other)  # a handful of languages
     spam = (F.col("other_share") > SHARE) & ((F.col("function_share") <= F.col("function_cut")) | F.col("lang").isin("latin", "other") | (F.col("links") + F.col("shop") + F.col("menu") > SHARE))
-    return judged.withColumn("spam", F.coalesce(spam, F.lit(False)))
+    above = sum((F.col(c) > F.col(f"{c}_cut")).cast("int") for c in PAGE_CUTS)
+    stuffed = (F.col("function_share") <= F.col("function_cut")) & (F.col("top_word") > 0) & (above >= 2)
+    return judged.withColumn("spam", F.coalesce(spam | stuffed, F.lit(False)))
