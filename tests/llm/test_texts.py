@@ -189,3 +189,11 @@ def test_page_shares_enter_the_verdict(spark):
     good = [PROSE * 9, english * 9, "人参", "ginseng root", "人参\n甘草\n黄芪\n白术\n当归\n川芎\n熟地\n白芍\n茯苓\n陈皮", PROSE * 9 + "人参\n" * 20, english * 9 + "ginseng root\n" * 9]
     df = spark.createDataFrame(list(enumerate([*good * 9, *spam_pages])), "doc_id int, text string")
     assert [r["doc_id"] - 9 * len(good) for r in spam.find_spam(df).filter("spam").orderBy("doc_id").collect()] == [0, 1, 2, 3]
+
+
+def test_language_is_told_from_the_whole_page():
+    keywords = "buy ginseng, cheap ginseng, best ginseng price\n" * 100
+    english = "The root of the plant is cut into slices and stored in closed vessels. It is dried in the shade.\n"
+    assert len(keywords) > 4000 and spam.features(keywords + english * 200)["lang"] == "en"
+    assert spam.features(keywords + "Die Wurzel wird mit der Rinde getrocknet und geschnitten.\n" * 200)["lang"] == "de"
+    assert spam.features(keywords)["lang"] == "latin"

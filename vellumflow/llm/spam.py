@@ -109,8 +109,8 @@ def _top_word(words: Counter) -> float:
     return most / words.total() if most >= REPEATED else 0.0
 
 
-def _latin_language(text: str) -> str:
-    low = Counter(_WORD.findall(text[:4000].lower()))
+def _latin_language(low: Counter) -> str:
+    """Vote of the stop words among all words of a page."""
     votes = {"en": sum(low[w] for w in ("the", "of", "and", "is", "to")), "de": sum(low[w] for w in ("der", "die", "und", "wird", "mit")), "fr": sum(low[w] for w in ("la", "le", "et", "est", "dans"))}
     best = max(votes, key=votes.get)
     return best if votes[best] else "latin" if low else "other"
@@ -212,7 +212,7 @@ def features(text: str | None) -> dict:
     repeated = 0
     if len(lines) > 2:
         repeated = sum((len(line) - sum(map(str.isspace, line))) * (k - 1) for line, k in Counter(lines).items() if k > 1)
-    out |= {"lang": "zh" if int(wide.sum()) * 3 >= n else _latin_language(text), "n": n, "function_share": grammar / max(units, 1)}
+    out |= {"lang": "zh" if int(wide.sum()) * 3 >= n else _latin_language(words), "n": n, "function_share": grammar / max(units, 1)}
     out |= {"duplicate_lines": repeated / max(n, 1), "top_word": _top_pair(codes, int(wide.sum())) if out["lang"] == "zh" else _top_word(words)}
     out |= {"separators": int(_IS_SIGN[np.minimum(codes, 0xFFFF)].sum() - 1) / max(n, 1)}
     return out | {k: kinds[k] / max(n, 1) for k in KINDS}
