@@ -150,6 +150,12 @@ def test_misread_words_of_all_kinds(spark):
     assert scan.repair_name("Metlianol tiglitly", lexicon) == ("Metlianol tightly", {"misread"})
 
 
+def test_slips_in_typed_names_stay():
+    lexicon = scan.Lexicon({}, {"Idntification": 2, "ldntification": 4, "Identification": 700, "Idcntification": 2}, [])
+    assert scan.repair_name("Idntification", lexicon) == ("Idntification", set())
+    assert scan.repair_name("Idcntification", lexicon) == ("Identification", {"misread"})
+
+
 def test_looks_agree(spark):
     words = ["deterrnined", "Ieaves", "d!sso1ved", "whole", "vvool", "éclair", ""]
     df = spark.createDataFrame([(w,) for w in words], "w string")

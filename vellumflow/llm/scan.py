@@ -170,10 +170,10 @@ class Lexicon:
             self.known[word] = known
         return known
 
-    def word(self, word: str, left: str = "", right: str = "") -> str:
+    def word(self, word: str, left: str = "", right: str = "", least: int = LEAST) -> str:
         """The word of the lexicon that was misread as ``word`` between its neighbours, else
         ``word``. A misread form may be in the lexicon itself, so a word is told by the pairs
-        with its neighbours and by its count beside the other's."""
+        with its neighbours and by its count beside the other's, unless it is below ``least``."""
         best = (0.0, 0.0, 0, word)
         if alike := self.printed(word):
             n = self.words.get(word, 0)
@@ -182,7 +182,7 @@ class Lexicon:
             for other in alike:
                 l1, r1 = self.phrase([left], [other]), self.phrase([other], after)
                 gain = (l1 + 0.5) * (r1 + 0.5) / ((l0 + 0.5) * (r0 + 0.5))
-                rare = len(word) > SHORT_WORD and n < max(LEAST, RARE * self.words[other])
+                rare = len(word) > SHORT_WORD and n < max(least, RARE * self.words[other])
                 if (gain >= FACTOR or rare and n < self.words[other]) and l1 >= l0 and r1 >= r0:
                     best = max(best, (gain, -weighted_distance(word, other), self.words[other], other))
         return best[3]
@@ -327,7 +327,7 @@ def _correct(text: str, lexicon: Lexicon) -> str:
     return _correct_words(text, lexicon)
 
 
-def _correct_words(text: str, lexicon: Lexicon) -> str:
+def _correct_words(text: str, lexicon: Lexicon, least: int = LEAST) -> str:
     """``text`` with misread words of letters replaced, from left to right."""
     if not lexicon.index:
         return text
@@ -337,7 +337,7 @@ def _correct_words(text: str, lexicon: Lexicon) -> str:
         word = m.group()
         if lexicon.printed(word):
             follows = found[k + 1] if k + 1 < len(found) else None
-            word = lexicon.word(word, last if before else "", follows[0].group() if follows and follows[1] else "")
+            word = lexicon.word(word, last if before else "", follows[0].group() if follows and follows[1] else "", least)
             if word != m.group():
                 parts += [text[end : m.start()], word]
                 end = m.end()
@@ -463,7 +463,7 @@ def _correct_name(name: str, lexicon: Lexicon) -> str:
         l1, r1 = lexicon.pair(left, ord(best)), lexicon.pair(ord(best), right)
         if l1 + r1 and (l1 + 0.5) * (r1 + 0.5) >= FACTOR * (l0 + 0.5) * (r0 + 0.5) or not l0 and not r0 and (l1 + r1 > 0 or lexicon.single[read] < RARE * lexicon.single[ord(best)]):
             out[at] = best
-    return _correct_words("".join(out), lexicon)
+    return _correct_words("".join(out), lexicon, 0)  # typed names hold slips that recur and look alike
 
 
 def repair_texts(df: DataFrame, id_col: str, text_col: str, lexicon: Lexicon, names: bool = False) -> DataFrame:
