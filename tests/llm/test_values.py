@@ -70,3 +70,14 @@ def test_operator_broadcast_and_sharded_agree(spark):
     assert near == far and len(near) == len(values)
     assert c.map_values(df.filter("false"), "id", "value", ref).count() == 0
     assert {r["canon_id"] for r in c.map_values(df, "id", "value", ref.filter("false")).collect()} == {None, -1}
+
+
+def test_whole_match_of_one_shard_beats_part_match_of_another(spark):
+    forms = [(20, 1, "abcdefghijklmnopqr|stuvwxyz"), (10, 0, "stuvwxyz")] + [(30 + i, 2, f"{i}{i}人参{i}") for i in range(8)]
+    value = "abcdefghijklmnxxqr|stuvwxyz"
+    ref = spark.createDataFrame(forms, "canon_id bigint, tier int, form string")
+    df = spark.createDataFrame([(1, value)], "id int, value string")
+    near = c.map_values(df, "id", "value", ref).collect()
+    assert near[0]["canon_id"] == 20
+    for shard_forms in (1, 2, 3, 4):
+        assert c.map_values(df, "id", "value", ref, max_forms=3, shard_forms=shard_forms).collect() == near

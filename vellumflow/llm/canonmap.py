@@ -144,10 +144,15 @@ class Matcher:
             if key:
                 self.owners[key] = min(self.owners.get(key, (tier, owner)), (tier, owner))
         self.tree = BkTree(self.owners)
-        self.cache: dict[str, tuple[int, int, int] | None] = {}
+        self.cache: dict[str, tuple[bool, int, int, int] | None] = {}
 
     def best(self, value: str) -> tuple[int, int, int] | None:
         """Distance, tier and id of the winner; for a part of the value, one edit is added."""
+        ranked = self.ranked(value)
+        return ranked[1:] if ranked else None
+
+    def ranked(self, value: str) -> tuple[bool, int, int, int] | None:
+        """The winner after whether it matches only a part, by which winners of shards are ordered first."""
         if value in self.cache:
             return self.cache[value]
         winner = None
@@ -160,7 +165,7 @@ class Matcher:
                 found = [(d, *self.owners[form]) for d, form in self.tree.within(key, reach_of(key)) if d < max(len(key), 2)]
             if found:
                 d, tier, owner = min(found)
-                winner = min(filter(None, [winner, (d + (no > 0), tier, owner)]))
+                winner = min(filter(None, [winner, (no > 0, d + (no > 0), tier, owner)]))
             if no == 0 and winner:
                 break
         if len(self.cache) >= VALUE_CACHE:
@@ -207,11 +212,11 @@ def _map_sharded(source: DataFrame, reference: DataFrame, shard_forms: int) -> D
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         matcher = Matcher(right[["canon_id", "tier", "form"]].itertuples(index=False, name=None))
-        found = [(v, *best) for v in left["value"] if (best := matcher.best(v))]
-        return pd.DataFrame(found, columns=["value", "distance", "tier", "canon_id"])
+        found = [(v, *best) for v in left["value"] if (best := matcher.ranked(v))]
+        return pd.DataFrame(found, columns=["value", "part", "distance", "tier", "canon_id"])
 
-    winners = asked.groupBy("shard", "bucket").cogroup(forms.groupBy("shard", "bucket")).applyInPandas(run, "value string, distance int, tier int, canon_id bigint")
-    best = winners.groupBy("value").agg(F.min(F.struct("distance", "tier", "canon_id")).alias("best")).withColumnRenamed("value", "_value")
+    winners = asked.groupBy("shard", "bucket").cogroup(forms.groupBy("shard", "bucket")).applyInPandas(run, "value string, part boolean, distance int, tier int, canon_id bigint")
+    best = winners.groupBy("value").agg(F.min(F.struct("part", "distance", "tier", "canon_id")).alias("best")).withColumnRenamed("value", "_value")
     joined = source.join(best, F.col("value") == F.col("_value"), "left")
     canon = F.when(F.col("value").isNull() | (F.col("value") == ""), F.lit(None)).otherwise(F.coalesce("best.canon_id", F.lit(UNMATCHED)))
     return joined.select("id", "value", canon.cast("bigint").alias("canon_id"), F.col("best.distance").alias("distance"))
