@@ -18,13 +18,38 @@ def test_canonical(raw, form):
     assert visual.canonical(raw) == form
 
 
+ALPHABET = "aeеﬁé́̈​각ᄀ각人⽊ロ①²：1１ 　̧ÅカガﾊﾞﾟエёИй"
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from("aeеﬁé́̈​각ᄀ각人⽊ロ①²：1１ 　̧Å"), max_size=12))
+@given(st.text(alphabet=st.sampled_from(ALPHABET), max_size=12))
 def test_splicing_equals_whole_text_normalisation(text):
-    mapping, _ = visual._tables()
-    whole = unicodedata.normalize("NFC", text.translate(mapping))
-    assert visual.canonical(text) == whole
-    assert visual.canonical(whole) == unicodedata.normalize("NFC", whole.translate(mapping))
+    mapping, _, marked = visual._tables()
+    assert visual.canonical(text) == visual._level(text, mapping, marked)
+    assert visual.canonical(visual.canonical(text)) == visual.canonical(text)
+    for form in ("NFC", "NFD"):
+        assert visual.canonical(unicodedata.normalize(form, text)) == visual.canonical(text)
+
+
+def test_equivalent_code_points_have_one_form():
+    for cp in [*range(0x80, 0xD800), *range(0xE000, 0x2FA20)]:
+        ch = chr(cp)
+        if unicodedata.category(ch) != "Cn":
+            form = visual.canonical(ch)
+            assert form == visual.canonical(unicodedata.normalize("NFD", ch)) == visual.canonical(unicodedata.normalize("NFC", ch)) == visual.canonical(form)
+
+
+@pytest.mark.parametrize(("a", "b"), [("ｶﾞ", "ガ"), ("ﾊﾟ", "パ"), ("ё", "ë"), ("ό", "ó"), ("3–5", "3-5"), ("ｶ", "力")])
+def test_widths_marks_and_dashes(a, b):
+    assert visual.canonical(a) == visual.canonical(b)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from(ALPHABET), max_size=12))
+def test_alignment(text):
+    view, places = visual.aligned(text)
+    assert view == visual.canonical(text) and len(places) == len(view) + 1
+    assert places == sorted(places) and places[-1] == len(text)
 
 
 def test_jvm_quick_check_agrees_with_python():
@@ -45,6 +70,18 @@ def test_pairs_against_brute_force(spark):
     forms = {r["id"]: r["canonical"] for r in visual.canonical_forms(df, "id", "text").collect()}
     assert forms == {i: visual.canonical(t) for i, t in enumerate(texts)}
     assert visual.look_alike_pairs(df.filter("false"), "id", "text").count() == 0
+    links = {i: sum(i in pair for pair in want) for i in range(len(texts))}
+    got = {r["id"]: (r["class_id"], r["n_links"]) for r in visual.look_alike_classes(df, "id", "text").collect()}
+    first = {i: min(j for j, b in enumerate(texts) if b is not None and visual.canonical(b) == visual.canonical(texts[i])) for i in links if links[i]}
+    assert got == {i: (first[i], links[i]) for i in first}
+
+
+def test_a_look_of_many_rows_is_cut_into_cells(spark, monkeypatch):
+    monkeypatch.setattr(visual, "CELL_ROWS", 3)
+    df = spark.range(40).selectExpr("id", "CASE WHEN id % 4 = 0 THEN '人参：' WHEN id % 10 = 1 THEN NULL ELSE '人参:' END AS text")
+    rows = [(r["id"], r["text"]) for r in df.collect() if r["text"]]
+    want = {(i, j) for i, a in rows for j, b in rows if i < j and a != b}
+    assert {tuple(r) for r in visual.look_alike_pairs(df, "id", "text").collect()} == want
 
 
 # --- prompts and responses

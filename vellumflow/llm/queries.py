@@ -94,6 +94,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return names.select(F.lit("drug_name").alias("item_kind"), "id_a", "id_b").unionByName(texts.select(F.lit("chunk_content").alias("item_kind"), "id_a", "id_b"))
 
 
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Class and number of links of every name and text that looks like a different one."""
+    names = visual.look_alike_classes(read_table(spark, folder, "drug_entries"), "entry_id", "drug_name")
+    texts = visual.look_alike_classes(read_table(spark, folder, "chunks"), "chunk_seq", "content")
+    return _kind(names, "drug_name", "entry_id").unionByName(_kind(texts, "chunk_content", "chunk_seq"))
+
+
 # --- 4
 
 
@@ -183,6 +190,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_flags": p2_flags,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
+    "p3_classes": p3_classes,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,

@@ -4,13 +4,15 @@
 sequences, kinds of blanks, invisible characters and look-alike letters. What looks
 different stays: raised, lowered and circled digits, fractions, case, traditional forms,
 line ends. Look-alike letters of other scripts are always written with one code point, also
-inside words of that script: the form serves comparison.
+inside words of that script and below marks: the form serves comparison. Only kana that carry
+a sound mark keep their script, for with the mark they look like no ideograph.
 
 Normalisation works on unstable segments only: a quick check, a character class built from
 the properties of every code point, finds runs that may change together with the character
-before them (the boundary context); these are mapped and composed, and spliced into the rest
-of the text, which stays as it is. In the DataFrame operator the most frequent width forms
-are levelled in the JVM, and only texts that still fail the quick check reach Python.
+before them (the boundary context). A segment is decomposed, its base letters are mapped, and
+it is composed again, so canonically equivalent texts get one form; the segments are spliced
+into the rest of the text, which stays as it is. In the DataFrame operator the most frequent
+width forms are levelled in the JVM, and only texts that still fail the quick check reach Python.
 
 Results for odd input: NULL stays NULL, an empty text stays empty; ``canonical`` of its own
 result is that result.
@@ -27,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumflow.session import broadcast_checked, cut
+
 #: Letters and signs that look alike, in natural order.
 LOOKALIKES = {
     # Greek
@@ -40,7 +44,7 @@ LOOKALIKES = {
     # Radicals without a compatibility mapping
     "⺀": "冫", "⺅": "亻", "⺌": "小", "⺗": "心", "⺟": "母", "⺠": "民", "⺡": "氵", "⺢": "水", "⺣": "灬", "⺦": "丬", "⺨": "犭", "⺩": "王", "⺬": "示", "⺮": "竹", "⺶": "羊", "⺷": "羊", "⺻": "聿", "⺼": "月", "⺾": "艹", "⻁": "虎", "⻂": "衤", "⻄": "西", "⻅": "见", "⻆": "角", "⻈": "讠", "⻉": "贝", "⻊": "足", "⻋": "车", "⻌": "辶", "⻍": "辶", "⻏": "阝", "⻐": "钅", "⻓": "长", "⻔": "门", "⻖": "阝", "⻗": "雨", "⻘": "青", "⻙": "韦", "⻚": "页", "⻛": "风", "⻜": "飞", "⻝": "食", "⻠": "饣", "⻢": "马", "⻣": "骨", "⻤": "鬼", "⻥": "鱼", "⻦": "鸟", "⻧": "卤", "⻨": "麦", "⻩": "黄", "⻬": "齐", "⻮": "齿", "⻰": "龙", "⻳": "龟",
     # Signs
-    "‐": "-", "‑": "-", "−": "-", "‒": "-", "’": "'", "‘": "'", "“": '"', "”": '"',
+    "‐": "-", "‑": "-", "−": "-", "‒": "-", "–": "-", "’": "'", "‘": "'", "“": '"', "”": '"',
 }
 _KEPT_TAGS = ("<super>", "<sub>", "<circle>", "<fraction>", "<square>")
 #: Width forms that the JVM levels before the quick check, and what they become.
@@ -53,7 +57,7 @@ _JAMO = ((0x1100, 0x1200),)
 
 
 def _target(ch: str) -> str:
-    """What a single character becomes."""
+    """What a single character becomes, decomposed."""
     category = unicodedata.category(ch)
     if category == "Cf" or ch in "͏ᅟᅠㅤﾠ឴឵" or 0xFE00 <= ord(ch) <= 0xFE0F or 0x180B <= ord(ch) <= 0x180F or 0xE0100 <= ord(ch) <= 0xE01EF:
         return ""
@@ -61,14 +65,25 @@ def _target(ch: str) -> str:
         return " "
     if ch in LOOKALIKES:
         return LOOKALIKES[ch]
-    if unicodedata.decomposition(ch).startswith(_KEPT_TAGS):
+    kind = unicodedata.decomposition(ch)
+    if kind.startswith(_KEPT_TAGS):
         return ch
-    return "".join(LOOKALIKES.get(c, " " if unicodedata.category(c) == "Zs" else c) for c in unicodedata.normalize("NFKC", ch))
+    if kind.startswith("<"):
+        return "".join(map(_target, unicodedata.normalize("NFKD", ch)))
+    parts = unicodedata.normalize("NFD", ch)
+    return ch if parts == ch else "".join(map(_target, parts))
+
+
+def _kana() -> re.Pattern:
+    """Kana with a look-alike, also half-width, with the marks that follow them."""
+    kana = "".join(chr(cp) for cp in [*range(0x30A1, 0x30FB), *range(0xFF66, 0xFF9E)] if chr(cp) in LOOKALIKES or unicodedata.normalize("NFKC", chr(cp)) in LOOKALIKES)
+    return re.compile(f"[{kana}](?=[\u3099\u309a\uff9e\uff9f])")
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[dict[int, str], re.Pattern]:
-    """The mapping of single characters and the quick check for unstable runs.
+def _tables() -> tuple[dict[int, str], re.Pattern, re.Pattern]:
+    """The mapping of single characters after decomposition, the quick check for unstable runs,
+    and kana that keep their script because a sound mark follows.
 
     All characters beyond the basic plane count as unstable, so that the class is a bitmap.
     """
@@ -79,26 +94,62 @@ def _tables() -> tuple[dict[int, str], re.Pattern]:
         if category == "Cn":
             continue
         target = _target(ch)
-        if target != ch:
+        if target != ch and not (len(parts := unicodedata.normalize("NFD", ch)) > 1 and parts[1] in "\u3099\u309a"):
             mapping[cp] = target
-        if cp < 0x10000 and (target != ch or category in ("Mn", "Mc") or any(a <= cp < b for a, b in _JAMO)):
+        if cp < 0x10000 and (unicodedata.normalize("NFC", mapping.get(cp, ch)) != ch or category in ("Mn", "Mc") or any(a <= cp < b for a, b in _JAMO)):
             unstable.append(re.escape(ch))
-    return mapping, re.compile(f"[{''.join(unstable)}\U00010000-\U0010ffff]+")
+    return mapping, re.compile(f"[{''.join(unstable)}\U00010000-\U0010ffff]+"), _kana()
+
+
+def _level(segment: str, mapping: dict[int, str], marked: re.Pattern) -> str:
+    """A segment decomposed, mapped and composed."""
+    if not marked.search(segment):
+        return unicodedata.normalize("NFC", unicodedata.normalize("NFC", segment).translate(mapping))
+    wide = marked.sub(lambda m: unicodedata.normalize("NFKC", m.group()), segment).translate(_MARKS)
+    parts, done = [], 0
+    wide = unicodedata.normalize("NFC", wide)
+    for kana in marked.finditer(wide):
+        parts += [wide[done : kana.start()].translate(mapping), kana.group()]
+        done = kana.end()
+    return unicodedata.normalize("NFC", "".join(parts) + wide[done:].translate(mapping))
+
+
+#: Half-width sound marks as the marks they stand for.
+_MARKS = {0xFF9E: "\u3099", 0xFF9F: "\u309a"}
 
 
 def canonical(text: str | None) -> str | None:
     """The form of ``text`` that all equal-looking texts share."""
     if not text or text.isascii():
         return text
-    mapping, unstable = _tables()
+    mapping, unstable, marked = _tables()
     parts, done = [], 0
     for run in unstable.finditer(text):
         start = max(done, run.start() - 1)  # a mark composes with the character before it
-        parts += [text[done:start], unicodedata.normalize("NFC", text[start : run.end()].translate(mapping))]
+        parts += [text[done:start], _level(text[start : run.end()], mapping, marked)]
         done = run.end()
     return "".join(parts) + text[done:] if parts else text
 
 
+def aligned(text: str) -> tuple[str, list[int]]:
+    """``canonical(text)`` and, for each of its characters and for its end, the place in
+    ``text`` where its source begins."""
+    mapping, unstable, marked = _tables()
+    parts, places, done = [], [], 0
+    for run in unstable.finditer(text):
+        start, end = max(done, run.start() - 1), run.end()
+        form = _level(text[start:end], mapping, marked)
+        singles = [_level(ch, mapping, marked) for ch in text[start:end]]
+        parts += [text[done:start], form]
+        places += range(done, start)
+        if "".join(singles) == form:
+            places += [k for k, single in enumerate(singles, start) for _ in single]
+        else:
+            places += [start] * len(form)
+        done = end
+    return "".join(parts) + text[done:], [*places, *range(done, len(text) + 1)]
+
+
 def _levelled(text: Column) -> Column:
     return F.translate(F.replace(text, F.lit("℃"), F.lit("°C")), WIDE, NARROW)
 
@@ -124,16 +175,42 @@ def canonical_forms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return done.unionByName(rest).withColumnRenamed("id", id_col)
 
 
+#: Rows of either side of a group that meet in one cell of the join.
+CELL_ROWS = 2_000
+
+
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``id, look, raw, changed``: digests of the form and of the text of every row, written once;
+    and ``look, n, n_changed`` of the looks that more than one row and a changed row have."""
+    forms = canonical_forms(df, id_col, text_col).filter(F.col("text").isNotNull())
+    keyed = cut(forms.select(F.col(id_col).alias("id"), F.unhex(F.md5("canonical")).alias("look"), F.unhex(F.md5("text")).alias("raw"), (F.col("text") != F.col("canonical")).alias("changed")).distinct())
+    sizes = keyed.groupBy("look").agg(F.count(F.lit(1)).alias("n"), F.count_if("changed").alias("n_changed")).filter("n > 1 AND n_changed > 0")
+    return keyed, sizes
+
+
 def look_alike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id_a, id_b`` (``id_a < id_b``) of rows whose texts look the same but differ.
 
-    Every pair has a side that is not in canonical form. So only the digests of such rows are
-    joined with the digests of all rows; a text that many rows share unchanged forms no pair
-    by itself. NULL texts form no pairs.
+    Every pair has a side that is not in canonical form. So only such rows are joined with all
+    rows of their look; a text that many rows share unchanged forms no pair by itself. A look
+    that many rows have is cut into cells of at most ``CELL_ROWS`` rows a side, which go to
+    tasks of their own. NULL texts form no pairs.
     """
-    forms = canonical_forms(df, id_col, text_col).filter(F.col("text").isNotNull())
-    keyed = forms.select(F.col(id_col).alias("id"), F.unhex(F.md5("canonical")).alias("look"), F.unhex(F.md5("text")).alias("raw"), (F.col("text") != F.col("canonical")).alias("changed")).distinct()
-    a = keyed.filter("changed").select(F.col("id").alias("a"), "look", F.col("raw").alias("raw_a"))
-    b = keyed.select(F.col("id").alias("b"), "look", F.col("raw").alias("raw_b"))
-    pairs = a.join(b, "look").filter((F.col("raw_a") != F.col("raw_b")) & (F.col("a") != F.col("b")))
+    keyed, sizes = _keyed(df, id_col, text_col)
+    rows = keyed.join(broadcast_checked(sizes), "look")
+    down, across = F.ceil(F.col("n_changed") / CELL_ROWS), F.ceil(F.col("n") / CELL_ROWS)
+    a = rows.filter("changed").select(F.col("id").alias("a"), "look", F.col("raw").alias("raw_a"), F.pmod(F.xxhash64("id"), down).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), across - 1)).alias("j"))
+    b = rows.select(F.col("id").alias("b"), "look", F.col("raw").alias("raw_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), down - 1)).alias("i"), F.pmod(F.xxhash64("id"), across).alias("j"))
+    pairs = a.join(b, ["look", "i", "j"]).filter((F.col("raw_a") != F.col("raw_b")) & (F.col("a") != F.col("b")))
     return pairs.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
+
+
+def look_alike_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id_col, class_id, n_links``: every row whose text looks like a different one, with the
+    smallest id of its look and the number of rows it looks like but differs from."""
+    keyed, sizes = _keyed(df, id_col, text_col)
+    rows = keyed.join(broadcast_checked(sizes.select("look")), "look")
+    texts = rows.groupBy("look", "raw").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    looks = texts.groupBy("look").agg(F.sum("n").alias("all"), F.min("first").alias("class_id"), F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    known = texts.join(looks, "look").select("look", "raw", "class_id", (F.col("all") - F.col("n")).alias("n_links"))
+    return rows.join(known, ["look", "raw"]).select(F.col("id").alias(id_col), "class_id", "n_links")
