@@ -127,16 +127,21 @@ CLEAN = ["取本品粉末，加水煎煮，滤过，滤液浓缩至干燥，残
 
 
 @pytest.fixture(scope="module")
-def lexicon(spark):
+def held(spark):
     df = spark.createDataFrame([(t,) for t in [*CLEAN, None, ""]], "t string")
     return scan.build_lexicon(df, "t")
 
 
+@pytest.fixture(scope="module")
+def lexicon(held):
+    return held.lexicon()
+
+
 @pytest.mark.parametrize(
     ("raw", "clean", "noise"),
     [
         ("取本品粉末，加水煎\n煮，滤过。", "取本品粉末，加水煎煮，滤过。", {"broken_line"}), ("The resi-\r\ndue is dissolved.", "The residue is dissolved.", {"broken_line"}), ("浅渣加水榕解。", "残渣加水溶解。", {"misread"}),
-        ("滤液，\n汀南药材标准 二部\n浓缩至干燥。", "滤液，浓缩至干燥。", {"running_header"}), ("滤过。\n— 123 —\n残渣。", "滤过。\n残渣。", {"page_number"}), ("加水6Oml。", "加水60ml。", {"misread"}), ("The residue is d!sso1ved.", "The residue is dissolved.", {"misread"}),
+        ("滤液，\n汀南药材标准 二部\n浓缩至干燥。", "滤液，浓缩至干燥。", {"running_header"}), ("滤过。\n— 123 —\n残渣。", "滤过。\n残渣。", {"page_number"}), ("加水6Oml。", "加水60ml。", {"misread"}), ("128 取本品粉末，加水煎煮，滤过，滤液浓缩至干燥，残渣加水溶解，照气相色谱法测定，重量不得过，性味与归经，干燥，纺锤形，滤液浓缩至干燥。 129", "取本品粉末，加水煎煮，滤过，滤液浓缩至干燥，残渣加水溶解，照气相色谱法测定，重量不得过，性味与归经，干燥，纺锤形，滤液浓缩至干燥。", {"page_number"}), ("— 128 — 取本品粉末。", "取本品粉末。", {"page_number"}), ("取本品粉末。 第12页", "取本品粉末。", {"page_number"}), ("汀南药材标准 二部 | 取本品粉末。", "取本品粉末。", {"running_header"}), ("汀南药材标准" + " " * 80 + "二部\n取本品粉末。", "取本品粉末。", {"running_header"}), ("12 g", "12 g", set()), ("图样参见《汀南药材标准》| 第3页。", "图样参见《汀南药材标准》| 第3页。", set()), ("取本品\xa0粉末；“甲”（乙），加水榕解。", "取本品\xa0粉末；“甲”（乙），加水溶解。", {"misread"}), ("加水煎\n煮\u200b，滤过；“甲”。", "加水煎煮\u200b，滤过；“甲”。", {"broken_line"}), ("The residue is d!sso1ved.", "The residue is dissolved.", {"misread"}),
         ("参见《汀南药材标准》第3页。", "参见《汀南药材标准》第3页。", set()), ("甲 1.2 红\n乙 2.3 白", "甲 1.2 红\n乙 2.3 白", set()), ("1\n取本品。", "1\n取本品。", set()), ("名称：人参\n分类：药", "名称：人参\n分类：药", set()), ("", "", set()), (None, None, set()),
     ],
 )
@@ -159,13 +164,13 @@ def test_lexicon_counts_and_bounds(spark, lexicon):
         want.update((a, b) for a, b in zip(signs, signs[1:]) if a >= 0x4E00 or b >= 0x4E00)
     assert lexicon.pairs == {a << 16 | b: n for (a, b), n in want.items()}
     assert lexicon.titles == ["汀南药材标准"] and lexicon.words["residue"] == 30
-    empty = scan.build_lexicon(spark.createDataFrame([], "t string"), "t")
+    empty = scan.build_lexicon(spark.createDataFrame([], "t string"), "t").lexicon()
     assert scan.repair("取本\n品", empty) == ("取本\n品", set()) and empty.title is None
 
 
-def test_repair_texts(spark, lexicon):
+def test_repair_texts(spark, held):
     df = spark.createDataFrame([(1, "加水煎\n煮", "x"), (2, None, "x"), (2, None, "x")], "id int, text string, noise string")
-    got = sorted((r["id"], r["clean"], r["noise"]) for r in scan.repair_texts(df, "id", "text", lexicon).collect() if r["id"] == 1)
+    got = sorted((r["id"], r["clean"], r["noise"]) for r in scan.repair_texts(df, "id", "text", held).collect() if r["id"] == 1)
     assert got == [(1, "加水煎煮", ["broken_line"])]
 
 
@@ -179,7 +184,7 @@ def test_misread_words_of_all_kinds(spark):
     texts = ["It is determined through the column in methanol, otherwise tightly closed. The modern way of the acid."] * 40
     texts += ["It is deterrnined tlirough the colurnn in metlianol, otlierwise tiglitly closed. The modem way of thc acid, dctcrrnincd."]
     texts += ["A modem line is used for the modem of the unit."] * 30 + ["The modern way of the acid was used by modern men."] * 3
-    lexicon = scan.build_lexicon(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
+    lexicon = scan.build_lexicon(spark.createDataFrame([(t,) for t in texts], "t string"), "t").lexicon()
     want = "It is determined through the column in methanol, otherwise tightly closed. The modern way of the acid, determined."
     assert scan.repair(texts[40], lexicon) == (want, {"misread"})
     for other in (texts[0], texts[41], "A modem is used."):
@@ -193,6 +198,44 @@ def test_slips_in_typed_names_stay():
     assert scan.repair_name("Idcntification", lexicon) == ("Identification", {"misread"})
 
 
+def test_repairs_come_from_the_index(lexicon):
+    emptied = scan.Lexicon(lexicon.pairs, lexicon.words, lexicon.titles)
+    emptied.index = scan.Deletions([], [])
+    for raw in ("加水榕解。", "The rcsidue is dissolved."):
+        assert scan.repair(raw, lexicon)[1] == {"misread"} and scan.repair(raw, emptied)[1] == set()
+
+
+def test_confusions_are_learned(spark):
+    """A character outside the table, in several neighbourhoods; a rare word and a traditional form are none."""
+    usual = ["把白猫给人，那黑猫叫了，有猫的家，买黄芪一两，放黄芪三钱，看黄芪的叶，来的人说来了就来。"] * 60
+    odd = ["把白描给人，那黑描叫了，有描的家，买黄芩一两，放黄芩三钱，看黄芩的叶，來的人说來了就來。"] * 2
+    held = scan.build_lexicon(spark.createDataFrame([(t,) for t in usual + odd], "t string"), "t")
+    assert held.parts.value["learned"] == [("描", "猫")]
+    assert scan.repair("有描的家，买黄芩一两。", held.lexicon()) == ("有猫的家，买黄芩一两。", {"misread"})
+
+
+def test_letters_of_similar_shape():
+    lexicon = scan.Lexicon({}, {"extract": 900, "extracl": 1, "extracs": 1, "extracct": 1, "set": 900, "sel": 1}, [])
+    assert scan.repair("The extracl is", lexicon) == ("The extract is", {"misread"})
+    for other in ("The extracs is", "The extracct is", "The sel is"):
+        assert scan.repair(other, lexicon) == (other, set())
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ａb，“。 \u200b㎏ｶﾞ", max_size=12), st.data())
+def test_draft_splices_only_what_it_repairs(source, data):
+    view, starts = visual.aligned(source)
+    assert scan.Draft(view).text == view
+    draft = scan.Draft(view)
+    draft.apply([(0, 0, "")])
+    assert draft.spliced(source, starts) == source[starts[0] if view else len(source) :]
+    if view:
+        at = data.draw(st.integers(0, len(view) - 1))
+        draft.apply([(at, at + 1, "X")])
+        got = draft.spliced(source, starts)
+        assert visual.canonical(got) == visual.canonical(view[:at] + "X" + view[at + 1 :]) or starts[at] in (starts[at + 1], starts[max(at - 1, 0)])
+
+
 def test_looks_agree(spark):
     words = ["deterrnined", "Ieaves", "d!sso1ved", "whole", "vvool", "éclair", ""]
     df = spark.createDataFrame([(w,) for w in words], "w string")
