@@ -113,6 +113,8 @@ _MARK = rf"(?:[—–]+\s*{_D}{{1,4}}\s*[—–]+|第\s*\d{{1,4}}\s*[页頁]|/{{
 #: Page numbers at the ends of a line of sentences: decorated at one end, or plain at both.
 _AT_ENDS = re.compile(rf"^\s*({_MARK}\s+)(?=[^\W\d])|(?<=[。！？])(\s+{_MARK})\s*$")
 _BOTH_ENDS = re.compile(r"^\s*(\d{2,4}\s+)(?=[^\W\d_]).*[。！？](\s+\d{2,4})\s*$")
+#: What a line begins or ends with that has a page number at an end.
+_EDGES = frozenset("0123456789OolIZSB—–第页頁/·")
 _HYPHEN = "-¬‐\xad"
 _END = "。！？!?;；:："
 
@@ -559,7 +561,8 @@ def _line_edits(view: str, lexicon: Lexicon, noise: set[str]) -> list[Edit]:
             removed = True
             edits.append((start, min(at, len(view)), ""))
             continue
-        inside = _edge_edits(raw, start, lexicon, noise) if line else []
+        edged = line and (line[0] in _EDGES or line[-1] in _EDGES or "|" in line or "｜" in line)
+        inside = _edge_edits(raw, start, lexicon, noise) if edged else []
         begin = start + len(raw) - len(raw.lstrip(" \t　\r"))
         if current and line and not inside:
             how = _joint(current, raw, line, lexicon)
