@@ -277,6 +277,29 @@ def test_page_shares_enter_the_verdict(spark):
     assert [r["doc_id"] - 9 * len(good) for r in spam.find_spam(df).filter("spam").orderBy("doc_id").collect()] == [0, 1, 2, 3]
 
 
+def test_pages_without_listed_words(spark):
+    """Repeated lines, keywords, shop lines and links outside the word lists, and long ones."""
+    english = "The root of the plant is cut into slices and stored in closed vessels. It is dried in the shade.\n"
+    russian = "Корень растения режут на ломтики и хранят в закрытых сосудах, потому что он не любит влаги.\n"
+    products = "参片 芪粉 当归丸 枸杞酒 三七粉 黄精膏 灵芝片 石斛露"
+    long_anchor = "the dried root of the plant that grows in the high mountains, as described in the third volume of the book"
+    spam_pages = [
+        "本店多年来一直为各地的客人挑选上好的人参，厂家直销，质量是可以放心的。\n" * 300, "ginseng capsules ginseng tea astragalus pills angelica powder\n" * 40, "ginseng capsules ginseng tea astragalus pills angelica powder " * 40, (products + "\n") * 60, (products + " ") * 60,
+        "".join(f"Женьшень корень {k} г 5{k}0 руб в корзину\n" for k in range(80)), "".join(f"[{long_anchor} {k}](https://a.example/{k})\n" for k in range(100)), "".join(f'<a href="/p/{k}">{long_anchor} {k}</a>\n' for k in range(100)),
+        "#" + "参" * 60 + " #" + "芪" * 60 + " #" + "归" * 60 + " #" + "芍" * 60,
+    ]
+    good = [PROSE * 9, english * 9, russian, PROSE * 30 + "人参批发_人参供应_人参报价\n" * 3, PROSE * 12 + "".join(f"[人参 {k}](https://a.example/{k})\n" for k in range(3)), "".join(f"第{k}批{PROSE}" for k in range(40))]
+    pages = [page.replace("本品", f"第{i}批") for i, page in enumerate([*good] * 9)]
+    df = spark.createDataFrame(list(enumerate(pages + spam_pages)), "doc_id int, text string")
+    found = {r["doc_id"] for r in spam.find_spam(df).filter("spam").collect()}
+    assert found == {len(pages) + k for k in range(len(spam_pages))}
+
+
+def test_languages():
+    for text, lang in (("La raíz de la planta se seca con el tallo y se guarda para el invierno.", "es"), ("Корень растения режут на ломтики и хранят в сосудах.", "ru"), ("Женьшень дешево", "cyrillic"), ("ราก ต้นไม้", "thai"), ("植物の根を乾燥する。", "kana"), ("뿌리", "hangul"), ("12 34", "other")):
+        assert spam.features(text)["lang"] == lang
+
+
 def test_language_is_told_from_the_whole_page():
     keywords = "buy ginseng, cheap ginseng, best ginseng price\n" * 100
     english = "The root of the plant is cut into slices and stored in closed vessels. It is dried in the shade.\n"

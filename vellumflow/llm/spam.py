@@ -2,12 +2,18 @@
 
 Every line of a page is one of prose, links, menu, shop entry, tags or keywords, judged by
 link-text ratio, separator density, missing function words, and top-word and n-gram shares of
-the page. A page is spam if the lines that are no prose hold more than half of its characters
-and its share of function words is below half the median of its language. A page so short of
-function words is spam as well if two of three shares of the whole page are above their cuts:
-repeated lines, separators, and the commonest word (of letters) or pair of ideographs. All
-cuts come from medians over all pages, so that they are calibrated per language; languages are
-told by script and stop words, not by a label, of which only a bounded number exist.
+the page. A page is spam
+
+* if the lines that are no prose hold more than half of its characters and its share of
+  function words is below half the median of its language;
+* if it is that short of function words and two of four shares of the whole page are above
+  their cuts: repeated lines, separators, the commonest word (of letters) or pair of
+  ideographs, and n-grams that repeat others; the last suffices if nearly all do;
+* or if nearly all of it is lines that repeat others and advertise.
+
+All cuts come from medians over all pages, so that they are calibrated per language. Languages
+are told by script and by votes of stop words over the whole page, not by a label; there is a
+bounded number of them. For a script without a list of stop words only the other shares count.
 
 Results for odd input: NULL, empty and blank texts are no spam; equal texts get equal
 results; a table without any page gives no rows. Features are computed once, written through
@@ -34,11 +40,17 @@ FUNCTION_PART = 0.5
 #: The cut of a language is at least this, also where most of its pages are spam.
 FUNCTION_FLOOR = 0.1
 #: Cuts of the shares of a whole page: times the language's median, at least, at most.
-PAGE_CUTS = {"duplicate_lines": (2.0, 0.3, 0.5), "separators": (2.0, 0.08, 0.25), "top_word": (3.0, 0.15, 0.4)}
+PAGE_CUTS = {"duplicate_lines": (2.0, 0.3, 0.5), "separators": (2.0, 0.08, 0.25), "top_word": (3.0, 0.15, 0.4), "repeats": (2.0, 0.6, 0.8)}
+#: Of a page short of function words, n-grams that repeat others may hold this share at most.
+REPEATS = 0.9
+#: A page of which repeated lines that advertise hold more than this share is spam, sentences or not.
+ONE_LINE = 0.8
 #: A word or line that occurs less often on a page is not repeated.
 REPEATED = 8
 #: Function share of a line from which it is prose without a closer look.
 PROSE_LINE = 0.06
+#: Characters of a line without a stop for each price or button, and of a segment for each keyword.
+OFFER, KEYED = 120, 24
 #: Without evidence of selling, stuffing needs so many segments.
 MIN_SEGMENTS = 4
 
@@ -46,14 +58,27 @@ MIN_SEGMENTS = 4
 SELLING = "批发|哪里买|哪里有卖|供应|多少钱|报价|代理|图片|招商|行情|价格|直销|厂家|包邮|优惠|现货|特价|促销|折扣|正品|官网|热卖|加盟|品牌|下单|购买|团购|秒杀|货源|采购|旗舰店|客服|免费|低价|排行榜|怎么样|推荐"
 MENU = "首页|登录|注册|返回|联系|更多|下一页|上一页|产品中心|关于我们|网站地图|购物车|Home|Login|Contact|Next|Back|Menu|Products|Startseite|Anmelden|Accueil|Connexion"
 BUTTON = re.compile(r"加入购物车|立即购买|收藏|已售\s*\d+|月销\s*\d+|add to cart|buy now|in den Warenkorb|ajouter au panier|sold", re.I)
-LATIN_SELLING = frozenset("buy cheap sale price prices order online wholesale best top free discount shop deal deals offer offers root extract kaufen günstig billig preis bestellen angebot rabatt versand acheter prix cher vente soldes promo livraison gratuit commander comprar barato precio oferta".split())
+LATIN_SELLING = frozenset("buy cheap sale price prices order online wholesale best top free discount shop deal deals offer offers kaufen günstig billig preis bestellen angebot rabatt versand acheter prix cher vente soldes promo livraison gratuit commander comprar barato precio oferta купить цена дешево дёшево доставка заказать скидка скидки недорого магазин".split())
 #: Characters and words that carry grammar.
-FUNCTION_WIDE = frozenset("的了在为与及不等以取加至可约含和或者置用经过后每本品按起其此该这那是很都也就还而且但若如则并被把将从到对由使得会能要没无所之")
-FUNCTION_LATIN = frozenset("the of and is are in to with for not be by at from this that it was which an a on as unless per than der die das und ist sind den von mit wird werden für nicht zu bei auf dem des ein eine etwa vor le la les des est sont dans de du et une un ne pas pour à avec être en on doit pendant el los las son del y que se para con il lo di che è o os do da não".split())
-
-_LINK = re.compile(r"\[[^\]\n]{0,60}\]\([^)\s]+\)|<a\s[^>]*>[^<]{0,80}</a>|(?:https?:)?//[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+", re.I)
-_TAGS = re.compile(r"#[^\s#]{1,40}")
-_PRICE = re.compile(r"[￥¥$€£]\s?\d|\d\s?(?:元|USD|EUR)(?!\w)")
+FUNCTION_WIDE = frozenset("的了在为与及不等以取至可约含和或者置用经过后每本按起其此该这那是很都也就还而且但若如则并被把将从到对由使得会能要没无所之")
+FUNCTION_WORDS = {
+    "en": "the of and is are in to with for not be by at from this that it was which an a on as unless per than",
+    "de": "der die das und ist sind den von mit wird werden für nicht zu bei auf dem des ein eine etwa vor",
+    "fr": "le la les des est sont dans de du et une un ne pas pour à avec être en on doit pendant",
+    "es": "el la los las es son del y que se para con una por su más como pero",
+    "it": "il lo la gli le è sono di del della che e per con una non si nel",
+    "pt": "o a os as é são do da dos das em um uma não para com que se ao",
+    "nl": "de het een en van is zijn met wordt voor niet te bij op dat aan",
+    "pl": "i w na z do się nie jest to że jak po od dla przez oraz",
+    "tr": "ve bir bu için ile da de olarak olan gibi daha çok",
+    "ru": "и в не на с что это как по из к для у от за о при же или так его она они был была все",
+    "el": "και το της η ο του την τα με για στο στη από που είναι δεν",
+}
+FUNCTION_LATIN = frozenset(" ".join(FUNCTION_WORDS.values()).split())
+
+_LINK = re.compile(r"\[[^\[\]\n]*\]\([^)\s]+\)|<a\s[^<>]*>[^<]*</a>|(?:https?:)?//[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+", re.I)
+_TAGS = re.compile(r"#[^\s#]+")
+_PRICE = re.compile(r"[$¢-¥₠-⃀￥￡]\s?\d|\d\s?(?:[$€£₽₴₺₹]|(?:元|円|원|USD|EUR|CHF|GBP|PLN|RUB|руб|грн|zł|kr|TL)(?!\w)|р\.)", re.I)
 _SEPARATOR = re.compile(r"[_|/;；、，,·•\s。!！>»：:~\-]+")
 _SELLING = re.compile(SELLING)
 _MENU = re.compile(MENU)
@@ -66,7 +91,7 @@ _STOP = re.compile(r"[。！？]|[.!?](?:\s|$)")
 KINDS = ("links", "menu", "shop", "tags", "keywords")
 #: Counts of ideographs, function characters and blanks share an integer of 21 bits each.
 _BITS, _MASK = 21, (1 << 21) - 1
-_MARKS = re.compile(r"[#>￥¥$€£]|//|www\.")
+_MARKS = re.compile(r"[#>￥￡$¢-¥₠-⃀]|//|www\.|\d\s?(?:руб|р\.|грн|zł|kr|TL|元|円|원)")
 
 
 def _weight_table() -> np.ndarray:
@@ -109,11 +134,34 @@ def _top_word(words: Counter) -> float:
     return most / words.total() if most >= REPEATED else 0.0
 
 
-def _latin_language(low: Counter) -> str:
-    """Vote of the stop words among all words of a page."""
-    votes = {"en": sum(low[w] for w in ("the", "of", "and", "is", "to")), "de": sum(low[w] for w in ("der", "die", "und", "wird", "mit")), "fr": sum(low[w] for w in ("la", "le", "et", "est", "dans"))}
+def _repeats(codes: np.ndarray) -> tuple[int, int]:
+    """Number of quadruples of ideographs that follow each other, whatever parts them, and of
+    those that repeat another one."""
+    wide = codes[(codes >= 0x4E00) & (codes < 0xA000)].astype(np.uint64)
+    n = len(wide) - 3
+    if n < 1:
+        return 0, 0
+    four = wide[:n] << np.uint64(48) | wide[1 : n + 1] << np.uint64(32) | wide[2 : n + 2] << np.uint64(16) | wide[3:]
+    return n, n - len(np.unique(four))
+
+
+_LISTS = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
+#: Scripts that are told by the first letter of a word, each with its first and last letter.
+SCRIPTS = (("greek", "Ͱ", "Ͽ"), ("cyrillic", "Ѐ", "ԯ"), ("hebrew", "֐", "׿"), ("arabic", "؀", "ۿ"), ("devanagari", "ऀ", "ॿ"), ("thai", "฀", "๿"), ("kana", "぀", "ヿ"), ("hangul", "가", "힣"))
+
+
+def language(low: Counter) -> str:
+    """Vote of the stop words among all words of a page, else its commonest script."""
+    if not low:
+        return "other"
+    votes = {lang: sum(low[w] for w in words) for lang, words in _LISTS.items()}
     best = max(votes, key=votes.get)
-    return best if votes[best] else "latin" if low else "other"
+    if votes[best]:
+        return best
+    scripts = Counter()
+    for word, n in low.items():
+        scripts[next((name for name, first, last in SCRIPTS if first <= word[0] <= last), "latin")] += n
+    return scripts.most_common(1)[0][0]
 
 
 def _line_kind(line: str, wide: int, share: float, stuffed: frozenset[str]) -> str | None:
@@ -124,7 +172,8 @@ def _line_kind(line: str, wide: int, share: float, stuffed: frozenset[str]) -> s
             return "links"
     if line.count(">") >= 2 and not _STOP.search(line):
         return "menu"
-    if (_PRICE.search(line) or BUTTON.search(line)) and not _STOP.search(line) and len(line) <= 120:
+    offers = max(len(_PRICE.findall(line)), len(BUTTON.findall(line)))
+    if offers and len(line) <= OFFER * offers and not _STOP.search(line):
         return "shop"
     tags = _TAGS.findall(line)
     if len(tags) >= 3 and sum(map(len, tags)) * 2 > len(line):
@@ -137,11 +186,11 @@ def _line_kind(line: str, wide: int, share: float, stuffed: frozenset[str]) -> s
             return None
         keyed = plain = 0
         for s in segments:
-            if len(s) > 24 or _DIGIT.search(s) or len(_FUNCTION.findall(s)) > 1:
+            if _DIGIT.search(s) or len(_FUNCTION.findall(s)) > 1:
                 continue
-            if _SELLING.search(s) or _MENU.fullmatch(s):
+            if len(_SELLING.findall(s)) * KEYED >= len(s) or _MENU.fullmatch(s):
                 keyed += len(s)
-            elif any(s[i : i + 3] in stuffed for i in range(max(1, len(s) - 2))):
+            elif sum(s[i : i + 3] in stuffed for i in range(max(1, len(s) - 2))) * KEYED >= len(s):
                 plain += len(s)
         total = sum(map(len, segments))
         if (keyed + plain) * 2 > total and (keyed or len(segments) >= MIN_SEGMENTS or len(stuffed) > 0):
@@ -155,9 +204,14 @@ def _line_kind(line: str, wide: int, share: float, stuffed: frozenset[str]) -> s
     return None
 
 
+def _advertises(line: str) -> bool:
+    """Whether a line holds a word of selling, a price, a button or a link."""
+    return any(p.search(line) for p in (_SELLING, _PRICE, BUTTON, _LINK)) or not LATIN_SELLING.isdisjoint(_WORD.findall(line.lower()))
+
+
 def _stuffed(text: str) -> frozenset[str]:
     """Three-character words that begin or end a large part of the page's short segments."""
-    segments = [s for s in _SEPARATOR.split(text) if 2 <= len(s) <= 24 and "一" <= s[0] <= "鿿"]
+    segments = [s for s in _SEPARATOR.split(text) if len(s) >= 2 and "一" <= s[0] <= "鿿"]
     if len(segments) < 2 * MIN_SEGMENTS:
         return frozenset()
     grams = Counter()
@@ -170,7 +224,7 @@ def _stuffed(text: str) -> frozenset[str]:
 
 def features(text: str | None) -> dict:
     """Shares by which a page is judged; all 0 for a page without text."""
-    out = {"lang": "other", "n": 0, "function_share": 0.0, "duplicate_lines": 0.0, "separators": 0.0, "top_word": 0.0} | {k: 0.0 for k in KINDS}
+    out = {"lang": "other", "n": 0, "function_share": 0.0, "duplicate_lines": 0.0, "separators": 0.0, "top_word": 0.0, "repeats": 0.0, "advertised": 0.0} | {k: 0.0 for k in KINDS}
     if not text or text.isspace():
         return out
     lines = text.split("\n")
@@ -189,7 +243,7 @@ def features(text: str | None) -> dict:
     marked = _MARKS.search(text) is not None
     look = (length > 0) & (~ideographic | (function < PROSE_LINE * wide) | marked)
     units, grammar = int((wide * ideographic).sum()), int((function * ideographic).sum())
-    suspects, words = [], Counter()
+    suspects, words, runs = [], Counter(), []
     for k in np.flatnonzero(look).tolist():
         line = lines[k].strip()
         if ideographic[k]:
@@ -197,6 +251,7 @@ def features(text: str | None) -> dict:
         else:
             own = _WORD.findall(line.lower())
             words.update(own)
+            runs += own
             f, u = _latin_shares(own)
             grammar, units = grammar + f, units + u
         share = f / max(u, 1)
@@ -209,11 +264,21 @@ def features(text: str | None) -> dict:
             kind = _line_kind(line, w, share, stuffed)
             if kind:
                 kinds[kind] += len(line) - len(re.findall(r"\s", line))
-    repeated = 0
+    repeated = advertised = 0
     if len(lines) > 2:
-        repeated = sum((len(line) - sum(map(str.isspace, line))) * (k - 1) for line, k in Counter(lines).items() if k > 1)
-    out |= {"lang": "zh" if int(wide.sum()) * 3 >= n else _latin_language(words), "n": n, "function_share": grammar / max(units, 1)}
-    out |= {"duplicate_lines": repeated / max(n, 1), "top_word": _top_pair(codes, int(wide.sum())) if out["lang"] == "zh" else _top_word(words)}
+        for line, k in Counter(lines).items():
+            if k > 1:
+                size = len(line) - sum(map(str.isspace, line))
+                repeated += size * (k - 1)
+                advertised += size * k if _advertises(line) else 0
+    ideographs, kana = int(wide.sum()), int(((codes >= 0x3040) & (codes < 0x3100)).sum())
+    lang = "kana" if kana and kana * 2 >= ideographs and (kana + ideographs) * 3 >= n else "zh" if ideographs * 3 >= n else language(words)
+    out |= {"lang": lang, "n": n, "function_share": grammar / max(units, 1)}
+    quads, again = _repeats(codes)
+    triples = max(0, len(runs) - 2)
+    if quads + triples >= 3 * REPEATED:
+        out["repeats"] = (again + triples - len(set(zip(runs, runs[1:], runs[2:])))) / (quads + triples)
+    out |= {"duplicate_lines": repeated / max(n, 1), "advertised": advertised / max(n, 1), "top_word": _top_pair(codes, ideographs) if out["lang"] == "zh" else _top_word(words)}
     out |= {"separators": int(_IS_SIGN[np.minimum(codes, 0xFFFF)].sum() - 1) / max(n, 1)}
     return out | {k: kinds[k] / max(n, 1) for k in KINDS}
 
@@ -240,7 +305,9 @@ def find_spam(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     page_cuts = [F.least(F.greatest(F.percentile_approx(c, 0.5) * times, F.lit(least)), F.lit(most)).alias(f"{c}_cut") for c, (times, least, most) in PAGE_CUTS.items()]
     cuts = pages.filter("n > 0").groupBy("lang").agg(F.greatest(F.percentile_approx("function_share", 0.5) * FUNCTION_PART, F.lit(FUNCTION_FLOOR)).alias("function_cut"), *page_cuts)
     judged = pages.join(F.broadcast(cuts), "lang", "left").withColumn("other_share", other)  # a handful of languages
-    spam = (F.col("other_share") > SHARE) & ((F.col("function_share") <= F.col("function_cut")) | F.col("lang").isin("latin", "other") | (F.col("links") + F.col("shop") + F.col("menu") > SHARE))
+    short = F.col("function_share") <= F.col("function_cut")
+    unlisted = ~F.col("lang").isin("zh", *FUNCTION_WORDS)
+    spam = (F.col("other_share") > SHARE) & (short | unlisted | (F.col("links") + F.col("shop") + F.col("menu") > SHARE))
     above = sum((F.col(c) > F.col(f"{c}_cut")).cast("int") for c in PAGE_CUTS)
-    stuffed = (F.col("function_share") <= F.col("function_cut")) & (F.col("top_word") > 0) & (above >= 2)
-    return judged.withColumn("spam", F.coalesce(spam | stuffed, F.lit(False)))
+    stuffed = short & (F.greatest("top_word", "repeats") > 0) & ((above >= 2) | (F.col("repeats") > REPEATS))
+    return judged.withColumn("spam", F.coalesce(spam | stuffed | (F.least("duplicate_lines", "advertised") > ONE_LINE), F.lit(False)))
