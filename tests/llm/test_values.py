@@ -81,3 +81,22 @@ def test_whole_match_of_one_shard_beats_part_match_of_another(spark):
     assert near[0]["canon_id"] == 20
     for shard_forms in (1, 2, 3, 4):
         assert c.map_values(df, "id", "value", ref, max_forms=3, shard_forms=shard_forms).collect() == near
+
+
+def test_two_ideographs_match_another_word_only_by_shape():
+    matcher = c.Matcher([(k, 0, form) for k, form in enumerate(["性状", "处方", "规格", "来源", "注意", "检查", "制法", "用途", "贮藏"])])
+    for word in ("性别", "处理", "规则", "来信", "注射", "检修", "制度", "用品"):
+        assert matcher.best(word) is None
+    for word, canon in (("性伏", 0), ("状性", 0), ("来沅", 3), ("捡查", 5), ("杳检", None), ("贮葴", 8)):
+        assert (matcher.best(word) or (None,) * 3)[2] == canon
+
+
+def test_shards_agree_on_random_forms(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdef|药材 ") for _ in range(rng.randint(1, 14))) for _ in range(160)]
+    forms = [(k % 25, k % 3, w) for k, w in enumerate(words[:80])]
+    values = [(k, w if k % 2 else words[k % 80][:-1] + "b | " + w) for k, w in enumerate(words)]
+    df, ref = spark.createDataFrame(values, "id int, value string"), spark.createDataFrame(forms, "canon_id bigint, tier int, form string")
+    near = sorted(c.map_values(df, "id", "value", ref).collect())
+    for shard_forms in (7, 30):
+        assert sorted(c.map_values(df, "id", "value", ref, max_forms=3, shard_forms=shard_forms).collect()) == near

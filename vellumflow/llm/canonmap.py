@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import CONFUSIONS
+
 UNMATCHED = -1
 #: Reference forms that may be broadcast; beyond, the list is sharded.
 MAX_FORMS = 50_000
@@ -38,6 +41,7 @@ VALUE_CACHE = 200_000
 
 #: Traditional characters, each with its simplified form.
 TRADITIONAL = "來来 狀状 鑒鉴 鑑鉴 別别 檢检 測测 與与 歸归 經经 製制 處处 貯贮 規规 徵征 圖图 譜谱 紋纹 鹼碱 對对 時时 農农 藥药 殘残 屬属 應应 臨临 條条 實实 驗验 劑剂 質质 標标 準准 備备 氣气 號号 診诊 療疗 說说 現现 雜杂 試试 組组 裝装 溫温 葉叶 種种 類类 據据 後后 滿满 產产 發发 體体 無无 個个 為为 術术 驟骤 選选 項项 續续 壓压 濕湿 熱热 濃浓 縮缩 過过 濾滤 簡简 稱称 純纯 淨净 漿浆 學学 監监 線线 長长 寬宽 樣样 計计 數数 結结 論论 內内 餘余 碼码 門门 貨货 價价 醫医 總总 則则 範范 節节 錄录 編编 註注 釋释 劃划 覽览 詳详 細细 動动 風风 黃黄 龍龙 馬马 開开 關关 間间 區区 單单 雙双 層层 點点 積积 極极 構构 營营 養养 衛卫 護护 複复 變变"
+_ALIKE = frozenset((pair[0], pair[1]) for pair in CONFUSIONS.split())
 _FOLD = str.maketrans({pair[0]: pair[1] for pair in TRADITIONAL.split()})
 
 _INVISIBLE = re.compile(r"[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿]")
@@ -132,6 +136,14 @@ def reach_of(key: str) -> int:
     return max(1, len(key) // 6) if key.isascii() else max(1, len(key) // 5)
 
 
+def other_word(key: str, form: str) -> bool:
+    """Whether two words of two ideographs differ in one that is no misreading of the other: so
+    short, most of what is one edit away is another word."""
+    if len(key) != 2 or len(form) != 2 or key.isascii() or form.isascii() or key == form[::-1]:
+        return False
+    return any(a != b and (a, b) not in _ALIKE for a, b in zip(key, form))
+
+
 class Matcher:
     """Reference forms ``(id, tier, form)``; a lower tier wins among equal distances."""
 
@@ -162,7 +174,7 @@ class Matcher:
             if key in self.owners:
                 found = [(0, *self.owners[key])]
             else:
-                found = [(d, *self.owners[form]) for d, form in self.tree.within(key, reach_of(key)) if d < max(len(key), 2)]
+                found = [(d, *self.owners[form]) for d, form in self.tree.within(key, reach_of(key)) if d < max(len(key), 2) and not other_word(key, form)]
             if found:
                 d, tier, owner = min(found)
                 winner = min(filter(None, [winner, (no > 0, d + (no > 0), tier, owner)]))
@@ -187,11 +199,19 @@ def map_values(df: DataFrame, id_col: str, value_col: str, reference: DataFrame,
     return _map_sharded(source, reference, shard_forms).withColumnRenamed("id", id_col)
 
 
+#: The matcher of a worker process under the key of its list: one tree for all its tasks, with
+#: the values that it has met.
+_BUILT: dict = {}
+
+
 def _map_narrow(source: DataFrame, forms: list[tuple[int, int, str]]) -> DataFrame:
     kind = source.schema["id"].dataType.simpleString()
+    sent, name = source.sparkSession.sparkContext.broadcast(forms), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(forms)
+        if _BUILT.get("name") != name:
+            _BUILT.update(name=name, matcher=Matcher(sent.value))
+        matcher = _BUILT["matcher"]
         for batch in batches:
             canon, far = [], []
             for value in batch.column(1).to_pylist():
