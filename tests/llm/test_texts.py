@@ -106,6 +106,22 @@ def test_defects(prompt, response, defect):
     assert pairs.defect(prompt, response) == defect
 
 
+ENGLISH = "What is the storage of the root?"
+
+
+@pytest.mark.parametrize(
+    ("prompt", "response", "defect"),
+    [
+        (Q, "该药不能提供给儿童使用。", None), (Q, "本品不能与含相同成分的药物同时使用，医生会提供建议。", None), (Q, "不能给出处方的药店无法提供该药。", None), (Q, "患者不能自行讨论用量，应遵医嘱。", None), (Q, "我不便对此发表看法。", "refusal"), (Q, "很抱歉，" + "人参" * 60 + "的内容我不便提供。", "refusal"),
+        (Q, "性味：甘，温\n归经：肺、脾经", None), (Q, "性味：甘，温\n归经：肺、", "truncated"), (Q, "黄芪 30g\n当归 15g\n甘草 6g", None), (Q, "黄芪 30g\n当归 15g\n甘草", "truncated"), (Q, "置通风干燥处，防蛀", None), (Q, "置通风干燥处，防", "truncated"), (Q, "密闭，避光，有效期62", "truncated"),
+        (Q, "هذا الدواء يحفظ في مكان بارد وجاف بعيدا عن الضوء.", "other_language"), (Q, "Το φάρμακο φυλάσσεται σε δροσερό και ξηρό μέρος.", "other_language"), (Q, "Bu ilaç serin ve kuru bir yerde saklanır ve ışıktan korunur.", "other_language"), (Q, "ยานี้ควรเก็บในที่แห้งและเย็น", "other_language"), (Q, "यह दवा ठंडी और सूखी जगह पर रखी जानी चाहिए।", "other_language"),
+        (ENGLISH, "Consérvese en un envase cerrado, protegido de la luz.", "other_language"), ("How do I restart?", "Press the button and hold it for five seconds.", None), ("请用希腊文或英文回答：" + Q, "Keep it in a dry place, away from the light and from the heat.", None),
+    ],
+)
+def test_defects_of_other_kinds(prompt, response, defect):
+    assert pairs.defect(prompt, response) == defect
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="ab甲", max_size=9), st.text(alphabet="ab甲", max_size=12))
 def test_suffix_automaton_against_brute_force(a, b):
