@@ -78,8 +78,8 @@ def assemble_context(items: DataFrame, item_cap: int = ITEM_CAP, total_cap: int
 def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None = None, embed: Callable[[Column], Column] | None = None, id_col: str = "chunk_seq", name_col: str = "drug_name", section_col: str = "section", category_col: str = "category", text_col: str = "content", k: int = RERANK_K, enable_reranker: bool = True, enable_filter: bool = True, given_names: DataFrame | None = None) -> DataFrame:
     """End to end: ``qid, rank, id, score, rrf_score, sources, name, section, category, content``.
 
-    ``vectors`` (``id, embedding``) may be a stored index; otherwise documents are embedded
-    by ``embed``. With ``enable_filter`` off neither path is filtered. ``given_names``
+    ``vectors`` (``id, embedding``, with ``name, category`` if they are stored beside) may be a
+    stored index; otherwise documents are embedded by ``embed``. With ``enable_filter`` off neither path is filtered. ``given_names``
     (``qid, name``) replaces the names found in the queries.
     """
     embed = embed or models.embed
@@ -93,16 +93,12 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None
     words = post_filter(word_recall(index, parsed), parsed, docs, allowed, id_col, name_col, category_col)
     meta = docs.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"), F.col(section_col).alias("section"), F.col(category_col).alias("category"), F.col(text_col).alias("content"))
 
-    def table(ids: DataFrame | None) -> DataFrame:
-        """Vectors of all documents, or of some: only those are embedded."""
-        if vectors is not None:
-            return vectors if ids is None else vectors.join(ids, "id", "left_semi")
-        rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        rows = rows if ids is None else rows.join(ids, "id", "left_semi")
-        return rows.select("id", embed(F.col("text")).alias("embedding"))
-
+    if vectors is None:
+        table = docs.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"), F.col(category_col).alias("category"), embed(F.coalesce(F.col(text_col), F.lit(""))).alias("embedding"))
+    else:
+        table = vectors if {"name", "category"} <= set(vectors.columns) else vectors.join(meta.select("id", "name", "category"), "id")
     asked = cut(parsed.select("qid", embed(F.col("query")).alias("embedding")))
-    near = filtered_vector_recall(table, asked, parsed, allowed, meta)
+    near = filtered_vector_recall(table, asked, parsed, allowed)
     fused = fusion.fuse({"vector": near, "bm25": words})
     enriched = fused.join(meta, "id", "left").join(parsed.select("qid", "query"), "qid")
     if not enable_reranker:
@@ -116,21 +112,15 @@ def contexts(results: DataFrame) -> DataFrame:
     return assemble_context(results.select("qid", "rank", item.alias("item")))
 
 
-def filtered_vector_recall(table: Callable[[DataFrame | None], DataFrame], asked: DataFrame, parsed: DataFrame, allowed: DataFrame, meta: DataFrame, k: int = VECTOR_K) -> DataFrame:
-    """Filter below the limit: queries without a filter rank all vectors; for the others only
-    vectors of allowed names and categories are scored. ``table`` gives the vectors of all
-    documents (None) or of some ids."""
-    free = parsed.filter("name_filter IS NULL AND category IS NULL").select("qid")
-    open_lists = vector.top_k(table(None), asked.join(free, "qid", "left_semi"), k).select("qid", "id", "score", "rank")
-    bound = parsed.filter("name_filter IS NOT NULL OR category IS NOT NULL").select("qid", F.col("name_filter").isNotNull().alias("named"), F.col("category").alias("wanted"))
-    by_name = allowed.join(bound.filter("named"), "qid").join(meta.select("id", "name", F.col("category").alias("stored")), "name")
-    stored = broadcast_checked(meta.select(F.col("category").alias("stored")).filter("stored IS NOT NULL").distinct())
-    wanted = bound.filter("NOT named").join(stored, F.contains("stored", F.col("wanted")))  # a few categories by a few words
-    by_category = wanted.join(meta.select("id", F.col("category").alias("stored")), "stored")
-    candidates = by_name.select("qid", "id", "wanted", "stored").unionByName(by_category.select("qid", "id", "wanted", "stored"))
-    candidates = candidates.filter(queryparse.category_matches(F.coalesce("stored", F.lit("")), F.col("wanted"))).select("qid", "id")
-    candidates = cut(candidates)
-    scored = candidates.join(table(candidates.select("id").distinct()), "id").join(asked.select("qid", F.col("embedding").alias("q")), "qid").withColumn("score", vector.dot(F.col("embedding"), F.col("q")))
-    order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "id")
-    bound_lists = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "id", "score", "rank")
-    return open_lists.unionByName(bound_lists)
+def filtered_vector_recall(table: DataFrame, asked: DataFrame, parsed: DataFrame, allowed: DataFrame, k: int = VECTOR_K) -> DataFrame:
+    """``qid, id, score, rank``: filter below the limit. ``table`` has ``id, name, category,
+    embedding``; a query's allowed names and categories go with its vector as two arrays, and
+    one pass over the vectors ranks for all queries, filtered or not."""
+    names = allowed.groupBy("qid").agg(F.collect_set("name").alias("_names"))
+    stored = broadcast_checked(table.select(F.col("category").alias("stored")).filter("stored IS NOT NULL").distinct())
+    wanted = parsed.select("category").filter("category IS NOT NULL").distinct()  # a few words
+    matching = wanted.join(stored, queryparse.category_matches(F.col("stored"), F.col("category"))).groupBy("category").agg(F.collect_set("stored").alias("_categories"))
+    filters = parsed.select("qid", F.col("name_filter").isNotNull().alias("named"), "category").join(names, "qid", "left").join(F.broadcast(matching), "category", "left")
+    none = F.array().cast("array<string>")
+    filters = filters.select("qid", F.when(F.col("named"), F.coalesce("_names", none)).alias("names"), F.when(F.col("category").isNotNull(), F.coalesce("_categories", none)).alias("categories"))
+    return vector.top_k(table, asked.join(filters, "qid"), k, within={"name": "names", "category": "categories"})

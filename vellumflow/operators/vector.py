@@ -1,21 +1,26 @@
-"""Exact inner-product search over a table of vectors.
+"""Exact inner-product search over a table of vectors, also filtered per query.
 
-Queries are processed in blocks that are sent to the workers; every batch of vectors is one
-matrix product, of which only the ``k`` best per query leave the worker. What is shuffled
-does not grow with the vectors but with batches times ``k``.
+Every slice of vectors meets a block of queries in one matrix product; what a query's filter
+excludes is masked in the scores, so no row per (query, vector) is ever written, and only the
+``k`` best per query leave a task. Queries are sent to the workers if a count shows that they
+fit one block. More of them are cut into blocks and the vectors into shards, which meet in a
+cogroup; the results are the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors sent to the workers at once.
-QUERY_BLOCK = 4_096
+#: Query vectors, and values allowed by their filters, that are sent to the workers at once.
+QUERY_BLOCK, BLOCK_VALUES = 4_096, 1_000_000
+#: Vectors of a shard, and of one matrix product.
+SHARD_ROWS, SLICE = 50_000, 1_024
 
 
 def normalise(vector: Column) -> Column:
@@ -29,43 +34,129 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 15, id_col: str = "id", vector_col: str = "embedding", where: Column | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 15, id_col: str = "id", vector_col: str = "embedding", where: Column | None = None, within: Mapping[str, str] | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """``qid, id, score, rank`` of the ``k`` largest inner products per query; ties by id.
 
-    ``queries`` has ``qid, embedding``; ``where`` filters the vectors before ranking, and
-    Catalyst pushes it into the scan. Queries are read in blocks of ``block``, and every
-    block passes all vectors.
+    ``queries`` has ``qid, embedding``; ``where`` filters the vectors for all queries, and
+    Catalyst pushes it into the scan. ``within`` names, for columns of the vectors, the column
+    of the queries that holds the array of values a query allows; NULL allows all.
     """
+    within = dict(within or {})
     if where is not None:
         vectors = vectors.filter(where)
-    asked = [(r["qid"], r["embedding"]) for r in queries.select("qid", "embedding").toLocalIterator()]
-    source = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding"))
+    source = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding"), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(within)]).filter("embedding IS NOT NULL")
+    asked = queries.select("qid", "embedding", *[F.col(c).alias(f"_q{i}") for i, c in enumerate(within.values())]).filter("embedding IS NOT NULL")
     kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, id {source.schema['id'].dataType.simpleString()}, score double"
-    if not asked:
-        return source.sparkSession.createDataFrame([], kinds + ", rank int")
-    found = None
-    for first in range(0, len(asked), block):
-        part = _block_top(source, asked[first : first + block], k, kinds)
-        found = part if found is None else found.unionByName(part)
+    values = sum((F.coalesce(F.greatest(F.size(f"_q{i}"), F.lit(0)), F.lit(0)) for i in range(len(within))), F.lit(0))
+    n, n_values = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(values), F.lit(0))).first()
+    if n <= block and n_values <= BLOCK_VALUES:
+        found = _broadcast_top(source, asked, k, len(within), kinds)
+    else:
+        found = _sharded_top(source, asked, k, len(within), kinds, -(-max(n, n_values * block // BLOCK_VALUES) // block))
     order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _block_top(source: DataFrame, asked: list, k: int, kinds: str) -> DataFrame:
-    qids = [q for q, _ in asked]
-    matrix = np.array([v for _, v in asked], dtype=np.float64).reshape(len(asked), -1)
+def _broadcast_top(source: DataFrame, asked: DataFrame, k: int, filters: int, kinds: str) -> DataFrame:
+    sent = source.sparkSession.sparkContext.broadcast(asked.toArrow())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = BlockTop(sent.value, k, filters)
         for batch in batches:
-            ids, vectors = batch.column(0), batch.column(1)
-            if not len(ids) or not len(qids):
+            best.add(batch)
+        yield best.result()
+
+    return source.mapInArrow(run, kinds)
+
+
+def _sharded_top(source: DataFrame, asked: DataFrame, k: int, filters: int, kinds: str, blocks: int) -> DataFrame:
+    shards = max(1, -(-source.count() // SHARD_ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    v = source.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("_block", every(blocks))
+    q = asked.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("_shard", every(shards))
+
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        best = BlockTop(queries, k, filters)
+        for batch in vectors.to_batches():
+            best.add(batch)
+        return pa.Table.from_batches([best.result()])
+
+    return v.groupBy("_shard", "_block").cogroup(q.groupBy("_shard", "_block")).applyInArrow(run, kinds)
+
+
+class BlockTop:
+    """The ``k`` best vectors so far for each query of a block."""
+
+    def __init__(self, queries: pa.Table, k: int, filters: int):
+        self.k, self.qids = k, queries.column("qid").combine_chunks()
+        flat = queries.column("embedding").combine_chunks()
+        flat = pc.list_flatten(flat).to_numpy(zero_copy_only=False).astype(np.float64)
+        self.matrix = flat.reshape(len(self.qids), -1) if len(self.qids) else np.zeros((0, 0))
+        self.floor = np.full(len(self.qids), -np.inf)  # the k-th best score of each query
+        self.filters = [self._filter(queries.column(f"_q{i}").to_pylist()) for i in range(filters)]
+        self.held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        self.n_held = 0
+        self.id_type: pa.DataType | None = None
+
+    @staticmethod
+    def _filter(allowed: list[list | None]) -> tuple[np.ndarray, dict]:
+        """Queries that allow all values, and for each value the queries that allow it."""
+        holders: dict = {}
+        for q, values in enumerate(allowed):
+            for value in values or ():
+                holders.setdefault(value, []).append(q)
+        return np.array([values is None for values in allowed], dtype=bool), holders
+
+    def _open(self, batch: pa.RecordBatch) -> np.ndarray | None:
+        """Which vectors of a batch each query lets through; None if all do."""
+        out = None
+        for i, (free, holders) in enumerate(self.filters):
+            if free.all():
                 continue
-            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            scores = matrix @ flat.reshape(len(ids), -1).T
-            take = min(k, len(ids))
+            coded = batch.column(batch.schema.get_field_index(f"_v{i}")).dictionary_encode()
+            codes = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
+            lets = np.repeat(free[:, None], len(coded.dictionary) + 1, axis=1)
+            for u, value in enumerate(coded.dictionary.to_pylist()):
+                lets[holders.get(value, []), u] = True
+            out = lets[:, codes] if out is None else out & lets[:, codes]
+        return out
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.id_type = batch.schema.field("id").type
+        for first in range(0, len(batch), SLICE) if len(self.qids) else ():
+            part = batch.slice(first, SLICE)
+            flat = part.column(part.schema.get_field_index("embedding")).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            scores = self.matrix @ flat.reshape(len(part), -1).T
             rounded = np.round(scores, 9)
-            kth = -np.partition(-rounded, take - 1, axis=1)[:, take - 1 : take]
-            q, v = np.nonzero(rounded >= kth)  # ties of the last place stay, they are cut by id later
-            yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in q]), ids.take(pa.array(v)), pa.array(scores[q, v])], ["qid", "id", "score"])
-
-    return source.filter("embedding IS NOT NULL").mapInArrow(run, kinds)
+            lets = self._open(part)
+            if lets is not None:
+                rounded[~lets] = -np.inf
+            take = min(self.k, len(part))
+            least = -np.partition(-rounded, take - 1, axis=1)[:, take - 1]
+            q, v = np.nonzero((rounded >= np.maximum(least, self.floor)[:, None]) & (rounded > -np.inf))  # ties of the last place stay
+            self.held.append((q, part.column(part.schema.get_field_index("id")).take(pa.array(v)), scores[q, v]))
+            self.n_held += len(q)
+            if self.n_held > 4 * self.k * len(self.qids) + 10_000:
+                self._reduce()
+
+    def _reduce(self) -> None:
+        if not self.held:
+            return
+        q, score = np.concatenate([h[0] for h in self.held]), np.concatenate([h[2] for h in self.held])
+        ids = pa.chunked_array([h[1] for h in self.held]).combine_chunks()
+        rows = pa.table({"q": q, "s": -np.round(score, 9), "id": ids})
+        order = pc.sort_indices(rows, [("q", "ascending"), ("s", "ascending"), ("id", "ascending")]).to_numpy()
+        q, score = q[order], score[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = place < self.k
+        last = place == self.k - 1
+        self.floor[q[last]] = np.round(score[last], 9)
+        self.held = [(q[kept], ids.take(pa.array(order[kept])), score[kept])]
+        self.n_held = int(kept.sum())
+
+    def result(self) -> pa.RecordBatch:
+        self._reduce()
+        if not self.held:
+            return pa.RecordBatch.from_arrays([self.qids.slice(0, 0), pa.array([], self.id_type or pa.int64()), pa.array([], pa.float64())], ["qid", "id", "score"])
+        q, ids, score = self.held[0]
+        return pa.RecordBatch.from_arrays([self.qids.take(pa.array(q)), ids, pa.array(score)], ["qid", "id", "score"])
