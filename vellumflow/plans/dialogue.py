@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellumflow.operators import answer, dialogue, models, sessions
+from vellumflow.operators import answer, dialogue, models, pipeline, sessions
 from vellumflow.session import latest, read_table
 from vellumflow.streaming import sessions as streams
 
 from .common import SPACE, any_sql, quoted, strip_sql
+from .ranking import HYBRID_CTES, _docs
 
 
 def _replies(spark, folder):
@@ -131,12 +132,25 @@ def a07_validation(spark, folder):
     return r.select("response_id", ok.alias("ok"))
 
 
+def g01_guard_words(spark, folder):
+    """All replies' questions by the full word lists."""
+    asked = turns(spark, folder).filter("role = 'user'")
+    return dialogue.guard(asked).select("conv_id", "turn", "verdict", "reason")
+
+
+def g17_answer(spark, folder):
+    """Every question of the replies from guard to checked answer, over all chunks."""
+    r = _replies(spark, folder).select(F.col("response_id").alias("qid"), F.col("session_id").alias("conv_id"), F.col("response_id").alias("turn"), F.col("query").alias("text"))
+    found = pipeline.answer_questions(r, _docs(spark, folder))
+    return found.select("qid", "resolved", "verdict", "reason", "n_sources", "raw_answer", "answer", F.array_join("citations", ";").alias("citations"), F.array_join("issues", ";").alias("issues"), "has_disclaimer")
+
+
 def g17_event_rows(spark, folder):
     rows = streams.event_rows(_replies(spark, folder).filter("raw_answer <> ''"), "response_id", "raw_answer")
     return rows.filter("kind = 'content'").select("response_id", "seq", "payload")
 
 
-QUERIES = {f.__name__: f for f in (g01_guard, g02_model_guard, g04_trim_history, g05_context_window, g06_pointer_detect, g07_pointer_resolve, g08_last_user, g09_turns, g10_prompt, g10_messages, g11_generate, g12_beautify, g13_citations, g14_numeric_check, g15_disclaimer, g16_post_process, g17_event_rows, a04_sessions, a05_session_expiry, a05_session_windows, a06_preview, a07_validation)}
+QUERIES = {f.__name__: f for f in (g01_guard, g01_guard_words, g02_model_guard, g04_trim_history, g05_context_window, g06_pointer_detect, g07_pointer_resolve, g08_last_user, g09_turns, g10_prompt, g10_messages, g11_generate, g12_beautify, g13_citations, g14_numeric_check, g15_disclaimer, g16_post_process, g17_answer, g17_event_rows, a04_sessions, a05_session_expiry, a05_session_windows, a06_preview, a07_validation)}
 
 _REPLIES = "(SELECT * FROM gen_responses QUALIFY row_number() OVER (PARTITION BY response_id ORDER BY loaded_at DESC) = 1)"
 _TURNS = f"(SELECT session_id AS conv_id, response_id * 2 AS turn, 'user' AS role, query AS text FROM {_REPLIES} WHERE session_id IS NOT NULL UNION ALL SELECT session_id, response_id * 2 + 1, 'assistant', raw_answer FROM {_REPLIES} WHERE session_id IS NOT NULL)"
@@ -173,7 +187,36 @@ def _disclaim(x: str) -> str:
 
 _CONTENTS = "array_to_string(list_transform(names, lambda n: n || ' 6g 3次'), ' ')"
 
+def _verdicts(turns: str, key: str) -> str:
+    """``reason`` and ``verdict`` by the full lists of ``key, conv_id, turn, text`` rows."""
+    on, off = any_sql("lower(t)", [w.lower() for w in dialogue.ON_TOPIC]), any_sql("lower(t)", dialogue.OFF_TOPIC)
+    return f"""SELECT *, CASE WHEN reason IN ('empty', 'off_topic') THEN 'reject' ELSE 'pass' END AS verdict FROM (
+SELECT {key}, conv_id, turn, text, CASE WHEN t = '' THEN 'empty' WHEN {on} THEN 'on_topic' WHEN {off} THEN 'off_topic' WHEN tr = 1 THEN 'trusted' ELSE 'default' END AS reason FROM (
+SELECT *, coalesce(max(CASE WHEN t <> '' AND {on} THEN 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tr FROM (SELECT *, coalesce(trim(text), '') AS t FROM ({turns}))))"""
+
+
+_USER = quoted("user")
+_POINTER = "|".join(sorted(dialogue.POINTERS, key=len, reverse=True))
+_PER_SOURCE = "'[' || rank || '] 药品：' || coalesce(name, '') || CASE WHEN coalesce(section, '') <> '' THEN '，章节：' || section ELSE '' END || chr(10) || " + strip_sql("coalesce(content, '')")
+_LISTED = _cite("raw1").replace(_CITES, "cites")
+_ANSWER = f"""WITH qs AS (SELECT response_id AS qid, coalesce(session_id, 'qid ' || response_id) AS conv_id, response_id AS turn, coalesce(query, '') AS text FROM {_REPLIES}),
+en AS (SELECT DISTINCT drug_name AS name FROM chunks WHERE drug_name <> ''), ef AS (SELECT qid, name FROM qs, en WHERE contains(lower(text), name)),
+eo AS (SELECT qid, name FROM ef WHERE NOT EXISTS (SELECT 1 FROM ef AS g WHERE g.qid = ef.qid AND length(g.name) > length(ef.name) AND contains(g.name, ef.name)) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY length(name) DESC, name) = 1),
+ju AS ({_verdicts('SELECT * FROM qs', 'qid')}),
+la AS (SELECT ju.*, last_value(eo.name IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM ju LEFT JOIN eo USING (qid)),
+re AS (SELECT *, CASE WHEN {any_sql('text', dialogue.POINTERS)} AND l IS NOT NULL AND length(regexp_replace(text, '{_POINTER}', l, 'g')) < 3 * length(text) THEN regexp_replace(text, '{_POINTER}', l, 'g') ELSE text END AS resolved FROM la),
+pq AS (SELECT qid, resolved AS query FROM re WHERE verdict = 'pass'),
+{HYBRID_CTES.replace('@asked', 'pq')},
+so AS (SELECT qid, count(*) AS n, string_agg({_PER_SOURCE}, chr(10) || chr(10) ORDER BY rank) AS context, string_agg(coalesce(content, ''), ' ' ORDER BY rank) AS contents, list('药典-' || name || CASE WHEN coalesce(section, '') <> '' THEN '-' || section ELSE '' END ORDER BY rank) FILTER (coalesce(name, '') <> '') AS c0 FROM found GROUP BY qid),
+rw AS (SELECT pq.qid, coalesce(n, 0) AS n_sources, contents, list_filter(coalesce(c0, []), lambda c, i: list_position(c0, c) = i) AS cites, '根据参考资料：' || right('system: ' || {quoted(pipeline.SYSTEM)} || chr(10) || chr(10) || 'user: 【参考资料】' || chr(10) || coalesce(context, {quoted(answer.NO_CONTEXT)}) || chr(10) || chr(10) || '【问题】' || chr(10) || query, 200) AS raw_answer FROM pq LEFT JOIN so USING (qid)),
+r1 AS (SELECT *, {_beauty('raw_answer')} AS raw1 FROM rw), r2 AS (SELECT *, {_LISTED} AS listed FROM r1), r3 AS (SELECT *, {_disclaim('listed')} AS final FROM r2)
+SELECT re.qid, CASE WHEN verdict = 'pass' THEN resolved ELSE text END AS resolved, verdict, reason, coalesce(n_sources, 0)::INT AS n_sources, CASE WHEN verdict = 'pass' THEN raw_answer ELSE {quoted(pipeline.REJECTED)} END AS raw_answer,
+CASE WHEN verdict <> 'pass' THEN {quoted(pipeline.REJECTED)} WHEN n_sources = 0 THEN raw_answer ELSE final END AS answer, CASE WHEN n_sources > 0 THEN array_to_string(cites, ';') ELSE '' END AS citations,
+CASE WHEN n_sources > 0 THEN array_to_string({_issues('listed', 'contents')}, ';') ELSE '' END AS issues, coalesce(n_sources > 0 AND contains(final, {quoted(answer.DISCLAIMER)}), false) AS has_disclaimer FROM re LEFT JOIN r3 USING (qid)"""
+
 SQL = {
+    "g01_guard_words": f"SELECT conv_id, turn, verdict, reason FROM ({_verdicts(f'SELECT 0 AS k, * FROM {_TURNS} WHERE role = {_USER}', 'k')})",
+    "g17_answer": _ANSWER,
     "g01_guard": f"""WITH a AS (SELECT conv_id, turn, coalesce(trim(text), '') AS t FROM {_TURNS} WHERE role = 'user'), b AS (SELECT *, coalesce(max(CASE WHEN t <> '' AND {_ON} THEN 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tr FROM a),
 c AS (SELECT conv_id, turn, CASE WHEN t = '' THEN 'empty' WHEN {_ON} THEN 'on_topic' WHEN {_OFF} THEN 'off_topic' WHEN tr = 1 THEN 'trusted' ELSE 'default' END AS reason FROM b) SELECT *, CASE WHEN reason IN ('empty', 'off_topic') THEN 'reject' ELSE 'pass' END AS verdict FROM c""",
     "g02_model_guard": f"""WITH a AS (SELECT conv_id, turn, text, coalesce(trim(text), '') AS t FROM {_TURNS} WHERE role = 'user'), b AS (SELECT *, coalesce(max(CASE WHEN contains(t, '性状') THEN 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tr FROM a),
@@ -186,6 +229,7 @@ c AS (SELECT conv_id, turn, CASE WHEN t = '' THEN 'empty' WHEN contains(t, '性
     "g09_turns": f"SELECT conv_id, count(*) // 2 AS n_turns FROM {_TURNS} GROUP BY 1",
     "g10_prompt": f"SELECT result_id, CASE WHEN len(names) > 0 THEN array_to_string(list_transform(names, lambda n, i: '[' || i || '] 药品：' || coalesce(n, '') || CASE WHEN coalesce(section, '') <> '' THEN '，章节：' || section ELSE '' END || chr(10) || n || ' 6g 3次'), chr(10) || chr(10)) ELSE {quoted(answer.NO_CONTEXT)} END AS context FROM {_SOURCED}",
     "g10_messages": f"SELECT result_id, 3 AS n, '【参考资料】' || chr(10) || '资料' || chr(10) || chr(10) || '【问题】' || chr(10) || query AS last FROM {_SOURCED}",
+    "g11_generate": f"SELECT response_id, '根据参考资料：' || right(coalesce(query, ''), 200) AS answer, NULL::VARCHAR AS error FROM {_REPLIES}",
     "g12_beautify": f"SELECT response_id, {_beauty('raw_answer')} AS answer FROM {_REPLIES}",
     "g13_citations": f"SELECT result_id, array_to_string({_CITES}, ';') AS citations, {_cite('answer')} AS answer FROM {_SOURCED}",
     "g14_numeric_check": f"SELECT result_id, array_to_string({_issues('answer', _CONTENTS)}, ';') AS issues FROM {_SOURCED}",

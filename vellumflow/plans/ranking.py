@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellumflow.operators import bm25, fusion, models, queryparse, retrieve, tokens, vector
 from vellumflow.operators.matching import contained_names, longest_names, related_names
-from vellumflow.session import latest, read_table, spread
+from vellumflow.session import latest, read_table
 
 from .common import any_sql, list_sql, quoted, strip_sql
 
@@ -16,7 +16,7 @@ EVERY = 20
 
 
 def _docs(spark, folder):
-    return latest(spread(read_table(spark, folder, "chunks").select("chunk_seq", "loaded_at", "content", "drug_name", "section", "category")), "chunk_seq")
+    return latest(read_table(spark, folder, "chunks").select("chunk_seq", "loaded_at", "content", "drug_name", "section", "category"), "chunk_seq")
 
 
 def _asked(spark, folder):
@@ -52,12 +52,21 @@ def b04_bm25_topk(spark, folder):
     return _bm25(spark, folder).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
+#: Fixed value: the instruction that the embedding model takes before a query.
+QUERY_PREFIX = "为这个句子生成表示以用于检索相关文章："
+
+
+def _printed(embedding):
+    """A vector as thousandths in one string."""
+    return F.array_join(F.transform(embedding, lambda x: F.round(x.cast("double") * 1000).cast("bigint").cast("string")), " ").alias("embedding")
+
+
 def v01_embed(spark, folder):
-    return read_table(spark, folder, "chunks").select("chunk_seq", models.embed(F.col("content")).alias("embedding"))
+    return read_table(spark, folder, "chunks").select("chunk_seq", _printed(models.embed(F.col("content"))))
 
 
 def v02_embed_query(spark, folder):
-    return _asked(spark, folder).select("qid", models.embed(F.col("query"), prefix="为这个句子生成表示以用于检索相关文章：").alias("embedding"))
+    return _asked(spark, folder).select("qid", _printed(models.embed(F.col("query"), prefix=QUERY_PREFIX)))
 
 
 def v03_normalise(spark, folder):
@@ -93,6 +102,17 @@ def v06_lookup(spark, folder):
     return _vectors(spark, folder).filter("id = 42").select("id", "label", F.size("embedding").alias("dim"))
 
 
+def r04_vector_recall(spark, folder):
+    """Vectors ranked below the queries' filters: every third query allows two labels as names,
+    every fifth a category, some both, the others everything."""
+    stored = _vectors(spark, folder).select("id", "embedding", F.concat(F.lit("n"), F.col("label")).alias("name"), F.concat(F.lit("分类"), F.col("label") % 3, F.lit("部")).alias("category"))
+    asked = stored.filter(F.col("id") % EVERY == 0).withColumnRenamed("id", "qid")
+    named, own = F.col("qid") % 3 == 0, F.substring("name", 2, 1).cast("int")
+    parsed = asked.select("qid", F.when(named, F.array("name")).alias("name_filter"), F.when(F.col("qid") % 100 == 0, F.concat(F.lit("分类"), (own + 1) % 3)).alias("category"))
+    allowed = asked.filter(named).select("qid", F.explode(F.array("name", F.concat(F.lit("n"), (own + 1) % 10))).alias("name"))
+    return _rounded(retrieve.filtered_vector_recall(stored, asked.select("qid", "embedding"), parsed, allowed))
+
+
 def _by_label(spark, folder):
     """A second ranking: the nearest ids of the same label."""
     v = _vectors(spark, folder).select("id", "label")
@@ -211,10 +231,10 @@ def r14_format(spark, folder):
 def r16_hybrid_search(spark, folder):
     """End to end over all chunks: names, filters, both recalls, fusion, rerank."""
     found = retrieve.hybrid_search(_asked(spark, folder), _docs(spark, folder))
-    return found.select("qid", "rank", "id", F.round("score", 6).alias("score"), F.round("rrf_score", 9).alias("rrf_score"), "sources", "name", "section", "category")
+    return found.select("qid", "rank", "id", F.round("score", 6).alias("score"), F.round("rrf_score", 9).alias("rrf_score"), F.array_join("sources", ",").alias("sources"), "name", "section", "category")
 
 
-QUERIES = {f.__name__: f for f in (b01_tokens, b02_lexicon_tokens, b03_bm25_build, b04_bm25_topk, v01_embed, v02_embed_query, v03_normalise, v04_ip_topk, v05_filtered_topk, v05_in_filter_topk, v06_lookup, f01_rrf, q01_entities, q02_sections, q03_intent, q04_keywords, q05_name_filter, q06_listing, q07_category, q08_parse, r01_override, r02_expand_filter, r05_overfetch, r06_postfilter, r07_category_filter, r09_enrich, r10_rerank, r13_context_budget, r14_format, r16_hybrid_search)}
+QUERIES = {f.__name__: f for f in (b01_tokens, b02_lexicon_tokens, b03_bm25_build, b04_bm25_topk, v01_embed, v02_embed_query, v03_normalise, v04_ip_topk, v05_filtered_topk, v05_in_filter_topk, v06_lookup, r04_vector_recall, f01_rrf, q01_entities, q02_sections, q03_intent, q04_keywords, q05_name_filter, q06_listing, q07_category, q08_parse, r01_override, r02_expand_filter, r05_overfetch, r06_postfilter, r07_category_filter, r09_enrich, r10_rerank, r13_context_budget, r14_format, r16_hybrid_search)}
 
 
 def _tokens(x: str) -> str:
@@ -223,15 +243,16 @@ def _tokens(x: str) -> str:
 
 _DOCS = "(SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_seq ORDER BY loaded_at DESC) = 1)"
 _ASKED = f"(SELECT DISTINCT result_id AS qid, query FROM query_results WHERE result_id % {EVERY} = 0)"
-_BM25_CTES = f"""
+_BM25 = f"""
 t AS (SELECT chunk_seq AS id, {_tokens('content')} AS tok FROM {_DOCS} WHERE content IS NOT NULL UNION ALL SELECT chunk_seq, [] FROM {_DOCS} WHERE content IS NULL),
 st AS (SELECT count(*) AS n, avg(len(tok)) AS avgdl FROM t),
 po AS (SELECT id, term, len_tok AS dl, count(*) AS tf FROM (SELECT id, len(tok) AS len_tok, unnest(tok) AS term FROM t) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM po, st GROUP BY term),
 di AS (SELECT term, df, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM df) ELSE raw END AS idf FROM df),
-qt AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({_tokens('query')}) AS term FROM {_ASKED}) GROUP BY ALL),
+qt AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({_tokens('query')}) AS term FROM @asked) GROUP BY ALL),
 sc AS (SELECT qid, id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN di USING (term) JOIN po USING (term), st GROUP BY ALL),
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sc) WHERE rank <= 60 AND score > 0)"""
+_BM25_CTES = _BM25.replace("@asked", _ASKED)
 _DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
 
 
@@ -240,7 +261,7 @@ def _top(where: str) -> str:
 
 
 def _names_sql() -> str:
-    return "(SELECT DISTINCT drug_name AS name FROM drug_entries WHERE drug_name IS NOT NULL AND length(drug_name) >= 2)"
+    return "(SELECT DISTINCT drug_name AS name FROM drug_entries WHERE drug_name <> '')"
 
 
 _FOUND = f"SELECT DISTINCT result_id AS qid, name FROM query_results, {_names_sql()} WHERE contains(lower(query), name)"
@@ -259,7 +280,56 @@ _ITEM = "'【检索结果 ' || rank || '】' || CASE WHEN coalesce(drug_name, ''
 _ITEMS = f"SELECT chunk_seq, drug_name, rank, {_ITEM.replace('{c}', strip_sql('content'))} AS item FROM (SELECT *, row_number() OVER (PARTITION BY drug_name ORDER BY chunk_seq) AS rank FROM {_DOCS} WHERE drug_name IS NOT NULL AND content IS NOT NULL)"
 _ALLOWED = f"SELECT DISTINCT f.qid, n.name FROM ({_LONGEST}) AS f, {_names_sql()} AS n WHERE f.name <> '' AND (contains(n.name, f.name) OR contains(f.name, n.name))"
 
+def _embedded(source: str) -> str:
+    """``id, slot, x``: the slots other than 0 of the stand-in embedding of ``id, text`` rows."""
+    return f"""SELECT id, slot, (v::FLOAT / sqrt(sum(v * v) OVER (PARTITION BY id))::FLOAT)::FLOAT AS x FROM (
+SELECT id, ((m // 1048576) % 64)::INT AS slot, sum((m // 9223372036854775808) * 2 - 1)::BIGINT AS v FROM (
+SELECT id, ((unicode(substr(t, i, 1))::HUGEINT * 1000003 + unicode(substr(t, i + 1, 1))) * 11400714819323198485::HUGEINT) % 18446744073709551616::HUGEINT AS m FROM (
+SELECT id, t, unnest(range(1, length(t)))::INT AS i FROM (SELECT id, CASE WHEN length(coalesce(text, '')) < 2 THEN rpad(coalesce(text, ''), 2, ' ') ELSE text END AS t FROM ({source})))) GROUP BY id, slot)"""
+
+
+def _printed_sql(source: str, key: str) -> str:
+    return f"""WITH e AS ({_embedded(source)}), a AS (SELECT id, s::INT AS slot FROM (SELECT DISTINCT id FROM e), range(64) AS r(s))
+SELECT {key}, string_agg(round(coalesce(x, 0)::DOUBLE * 1000)::BIGINT::VARCHAR, ' ' ORDER BY slot) AS embedding FROM a LEFT JOIN e USING (id, slot) GROUP BY id"""
+
+
+_OVERLAP = "len(list_filter(list_distinct(string_split(query, '')), lambda c: contains(substr(content, 1, 1024), c)))::DOUBLE / len(list_distinct(string_split(query, '')))"
+_CHUNK_NAMES = f"(SELECT DISTINCT drug_name AS name FROM {_DOCS} WHERE drug_name <> '')"
+HYBRID_CTES = f"""{_BM25},
+q AS (SELECT * FROM @asked), nm AS {_CHUNK_NAMES}, fo AS (SELECT qid, name FROM q, nm WHERE contains(lower(query), name)),
+lo AS (SELECT * FROM fo WHERE NOT EXISTS (SELECT 1 FROM fo AS g WHERE g.qid = fo.qid AND length(g.name) > length(fo.name) AND contains(g.name, fo.name))),
+al AS (SELECT DISTINCT lo.qid, nm.name FROM lo, nm WHERE contains(nm.name, lo.name) OR contains(lo.name, nm.name)),
+pa AS (SELECT qid, query, qid IN (SELECT qid FROM lo) AS named, CASE WHEN qid NOT IN (SELECT qid FROM lo) AND {_listing('query')} THEN {_CATEGORY} END AS wanted FROM q),
+d AS {_DOCS},
+ok AS (SELECT pa.qid, d.chunk_seq AS id FROM pa, d WHERE (NOT named OR EXISTS (SELECT 1 FROM al WHERE al.qid = pa.qid AND al.name = d.drug_name)) AND (wanted IS NULL OR contains(coalesce(category, ''), wanted))),
+wo AS (SELECT bm.qid, bm.id, row_number() OVER (PARTITION BY bm.qid ORDER BY bm.rank, bm.id) AS rank FROM bm JOIN pa USING (qid) JOIN ok USING (qid, id) WHERE bm.rank <= CASE WHEN named THEN 60 ELSE 15 END),
+de AS ({_embedded('SELECT chunk_seq AS id, content AS text FROM d')}), qe AS ({_embedded('SELECT qid AS id, query AS text FROM q')}),
+dt AS (SELECT qe.id AS qid, de.id, sum(qe.x::DOUBLE * de.x::DOUBLE) AS score FROM qe JOIN de USING (slot) GROUP BY ALL),
+ve AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(coalesce(score, 0), 9) DESC, id) AS rank FROM ok LEFT JOIN dt USING (qid, id) QUALIFY rank <= 15),
+u AS (SELECT qid, id, rank, 0 AS no, 'vector' AS source FROM ve UNION ALL SELECT qid, id, rank, 1, 'bm25' FROM wo),
+g AS (SELECT qid, id, sum(1.0::DOUBLE / (60 + rank)) AS rrf_score, min(no * 1000 + rank) AS seen, string_agg(source, ',' ORDER BY no) AS sources FROM u GROUP BY ALL),
+f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf_score, 12) DESC, seen, id) AS before FROM g QUALIFY before <= 30),
+r AS (SELECT f.*, query, drug_name AS name, section, category, content, {_OVERLAP.replace('content', "coalesce(content, '')")} AS score FROM f JOIN d ON d.chunk_seq = f.id JOIN q ON q.qid = f.qid),
+found AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, before, id) AS rank, id, round(score, 6) AS score, round(rrf_score, 9) AS rrf_score, sources, name, section, category, content FROM r QUALIFY rank <= 5)"""
+_HYBRID = f"WITH {HYBRID_CTES.replace('@asked', _ASKED)} SELECT * EXCLUDE (content) FROM found"
+_RECALL = f"""WITH v AS (SELECT vec_id AS id, embedding, label, 'n' || label AS name, '分类' || (label % 3) || '部' AS category FROM embeddings),
+s AS (SELECT a.id AS qid, b.id, {_DOT} AS score FROM v AS a, v AS b WHERE a.id % {EVERY} = 0 AND (a.id % 3 <> 0 OR b.label IN (a.label, (a.label + 1) % 10)) AND (a.id % 100 <> 0 OR contains(b.category, '分类' || ((a.label + 1) % 3))))
+SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM s QUALIFY rank <= 15"""
+_WORDS = "(SELECT DISTINCT drug_name AS w FROM drug_entries WHERE length(drug_name) >= 2)"
+_LEXICON = f"""WITH RECURSIVE t AS (SELECT DISTINCT response_id AS id, coalesce(query, '') AS text FROM gen_responses),
+w AS (SELECT id, text, p::INT AS p, max(length(w)) AS n FROM t, range(1, 2000) AS r(p), {_WORDS} WHERE p <= length(text) AND contains(text, w) AND substr(text, p, length(w)) = w GROUP BY ALL),
+c AS (SELECT id, text, 1 AS p, []::VARCHAR[] AS tokens FROM t
+UNION ALL SELECT id, text, p + k, CASE WHEN latin OR k > 1 OR regexp_matches(substr(text, p, 1), '[一-鿿]') THEN list_append(tokens, substr(text, p, k)) ELSE tokens END FROM (
+SELECT c.id, c.text, c.p, tokens, regexp_matches(substr(c.text, c.p, 1), '[A-Za-z0-9]') AS latin, CASE WHEN regexp_matches(substr(c.text, c.p, 1), '[A-Za-z0-9]') THEN length(regexp_extract(substr(c.text, c.p), '^[A-Za-z0-9]+')) ELSE coalesce(n, 1) END::INT AS k FROM c LEFT JOIN w ON w.id = c.id AND w.p = c.p WHERE c.p <= length(c.text)))
+SELECT id AS response_id, array_to_string(tokens, ' ') AS tokens FROM c WHERE p > length(text)"""
+
 SQL = {
+    "b02_lexicon_tokens": _LEXICON,
+    "v01_embed": f"SELECT chunk_seq, embedding FROM (SELECT chunk_seq, row_number() OVER (ORDER BY chunk_seq, loaded_at, content) AS id FROM chunks) JOIN ({_printed_sql('SELECT row_number() OVER (ORDER BY chunk_seq, loaded_at, content) AS id, content AS text FROM chunks', 'id')}) USING (id)",
+    "v02_embed_query": _printed_sql(f"SELECT qid AS id, {quoted(QUERY_PREFIX)} || query AS text FROM {_ASKED}", "id AS qid"),
+    "r04_vector_recall": _RECALL,
+    "r10_rerank": f"WITH {_BM25_CTES}, r AS (SELECT bm.qid, bm.id, bm.rank AS before, {_OVERLAP.replace('content', chr(99) + 'oalesce(d.content, ' + chr(39) * 2 + ')')} AS score FROM bm JOIN {_DOCS} AS d ON d.chunk_seq = bm.id JOIN {_ASKED} AS q ON q.qid = bm.qid WHERE rank <= 15) SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, before, id) AS rank, round(score, 6) AS score FROM r QUALIFY rank <= 5",
+    "r16_hybrid_search": _HYBRID,
     "b01_tokens": f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string({_tokens('text')}, ' ') END AS tokens FROM documents",
     "b03_bm25_build": f"WITH {_BM25_CTES} SELECT term, df, round(idf, 6) AS idf FROM di",
     "b04_bm25_topk": f"WITH {_BM25_CTES} SELECT qid, id, round(score, 6) AS score, rank FROM bm",
