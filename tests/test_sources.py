@@ -3,7 +3,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from vellumflow.session import broadcast_checked, checkpoint_dir, cut, latest, spread
+from vellumflow.session import broadcast_checked, checkpoint_dir, cut, latest
 from vellumflow.sources import blocks, stores
 from vellumflow.streaming import sessions as streams
 
@@ -54,16 +54,6 @@ def test_latest_and_cut(spark):
     assert cut(df).count() == 5 and checkpoint_dir(spark)
 
 
-def test_small_input_is_spread_and_large_is_not(spark, tmp_path):
-    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
-    df = spark.read.parquet(str(tmp_path / "t"))
-    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
-    assert "RoundRobin" in spread(df)._jdf.queryExecution().executedPlan().toString()
-    assert plan(spread(df, task_bytes=1)) == plan(df)
-    assert "broadcast" in plan(spark.range(5).join(broadcast_checked(df), "id")).lower()
-    assert "strategy=broadcast" not in plan(spark.range(5).join(broadcast_checked(df, 10), "id"))
-
-
 def test_session_stream(spark, tmp_path):
     rows = [("u", "2024-01-01 00:00:00"), ("u", "2024-01-01 03:00:00"), ("u", "2024-01-03 00:00:00"), ("w", "2024-01-01 01:00:00"), ("z", "2024-02-01 00:00:00")]
     df = spark.createDataFrame(rows, "user string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -92,3 +82,17 @@ def test_event_rows(spark):
     assert [r["kind"] for r in rows] == ["content"] * 3 + ["metadata"] and json.loads(rows[-1]["payload"]) == {"length": 120}
     line = streams.sse_lines(spark.createDataFrame([(1, "content", "y")], "seq int, kind string, payload string")).first()["line"]
     assert line.startswith("data: ") and json.loads(line[6:]) == {"kind": "content", "payload": "y"}
+
+
+def test_broadcast_is_checked(spark, tmp_path):
+    df = spark.range(1000)
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(spark.range(5).join(broadcast_checked(df), "id"))
+    assert "strategy=broadcast" not in plan(spark.range(5).join(broadcast_checked(df, 10), "id"))
+
+
+def test_word_files_from_any_file_system(spark, tmp_path):
+    word_file(tmp_path / "b.docx")
+    got = blocks.word_blocks(spark, f"file://{tmp_path}").orderBy("block_idx").collect()
+    assert [(r["doc_id"], r["kind"], r["text"]) for r in got] == [("b.docx", "para", "人参"), ("b.docx", "table", None), ("b.docx", "para", "正文")]
+    assert got[1]["cells"] == [["a", "b"], ["1\n2"]]

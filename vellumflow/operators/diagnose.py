@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumflow.session import broadcast_checked
-
-from .matching import GRAM, grams, related_names
+from .matching import contained_names, related_names
 
 
 def missing_names(expected: DataFrame, catalog: DataFrame, name_col: str, suffix: str = "-饮片") -> DataFrame:
@@ -49,13 +47,12 @@ def neighbours(blocks: DataFrame, suspect: Column, reach: int = 1) -> DataFrame:
 
 
 def term_scan(texts: DataFrame, id_col: str, text_col: str, terms: DataFrame, longest: int | None = None) -> DataFrame:
-    """``id_col, term, n``: occurrences of each term of two characters or more, found by an
-    equi-join on n-grams; ``longest`` restricts to short texts."""
+    """``id_col, term, n``: occurrences of each term, found by an equi-join on n-grams;
+    ``longest`` restricts to short texts."""
     rows = texts.filter(F.length(text_col) < longest) if longest else texts
-    keyed = terms.select("term").filter(F.length("term") >= GRAM).distinct().withColumn("gram", F.substring("term", 1, GRAM))
-    asked = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).distinct().select("_id", "_text", F.explode(grams(F.col("_text"))).alias("gram"))
+    rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).distinct().select(F.struct("_id", "_text").alias("at"), "_text")
+    found = contained_names(rows, terms, "at", "_text", "term").select("at.*", F.col("name").alias("term"))
     n = (F.length("_text") - F.length(F.replace(F.col("_text"), F.col("term"), F.lit("")))) / F.length("term")
-    found = asked.join(broadcast_checked(keyed), "gram").filter(F.contains("_text", F.col("term")))
     return found.select(F.col("_id").alias(id_col), "term", n.cast("bigint").alias("n"))
 
 

@@ -21,14 +21,25 @@ def grams(text: Column, n: int = GRAM) -> Column:
 
 
 def contained_names(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_col: str, n: int = GRAM) -> DataFrame:
-    """``id_col, name`` for every name of at least ``n`` characters inside a text.
+    """``id_col, name`` for every name inside a text; empty names stand in none.
 
     Few names are broadcast, so that the texts are not shuffled; many are joined by gram.
+    Names shorter than ``n`` characters are grams themselves and have a join of their own, if
+    there are any.
     """
-    keyed = names.select(F.col(name_col).alias("name")).filter(F.length("name") >= n).distinct().withColumn("gram", F.substring("name", 1, n))
+    keyed = names.select(F.col(name_col).alias("name")).filter("name <> ''").distinct().withColumn("gram", F.substring("name", 1, n))
     rows = texts.select(F.col(id_col), F.col(text_col).alias("_inside"))
-    asked = rows.select(id_col, "_inside", F.explode(grams(F.col("_inside"), n)).alias("gram"))
-    return asked.join(broadcast_checked(keyed), "gram").filter(F.contains("_inside", F.col("name"))).select(id_col, "name").distinct()
+
+    def found(length: int, some: DataFrame) -> DataFrame:
+        asked = rows.select(id_col, "_inside", F.explode(grams(F.col("_inside"), length)).alias("gram"))
+        return asked.join(broadcast_checked(some), "gram").filter(F.contains("_inside", F.col("name"))).select(id_col, "name")
+
+    out = found(n, keyed.filter(F.length("name") >= n))
+    for length in range(1, n):
+        short = keyed.filter(F.length("name") == length)
+        if not short.isEmpty():
+            out = out.unionByName(found(length, short))
+    return out.distinct()
 
 
 def longest_names(found: DataFrame, id_col: str) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellumflow.operators import chunk as k
-from vellumflow.session import read_table, spread
+from vellumflow.session import read_table
 
-from .common import SECTIONS_SQL, sections_of, strip_sql
+from .common import SECTIONS_SQL, SPACE, sections_of, strip_sql
 
 HEADING = "^(?:取|照)"
 
@@ -56,7 +56,7 @@ def k09_sentences(spark, folder):
 
 
 def k10_sliding_window(spark, folder):
-    return spread(read_table(spark, folder, "documents")).select("doc_id", F.posexplode(k.sliding_windows(k.sentences(F.col("text")))).alias("pos", "content"))
+    return read_table(spark, folder, "documents").select("doc_id", F.posexplode(k.sliding_windows(k.sentences(F.col("text")))).alias("pos", "content"))
 
 
 def k11_fixed_slices(spark, folder):
@@ -107,6 +107,32 @@ def _spread(source: str, key: str, lst: str, value: str) -> str:
     return f"SELECT {key}, (i - 1)::INT AS pos, v AS {value} FROM (SELECT {key}, unnest(generate_series(1, len(x))) AS i, unnest(x) AS v FROM (SELECT {key}, {lst} AS x FROM {source}))"
 
 
+_TEXT = strip_sql("coalesce(content, '')")
+_COMPONENT = k.COMPONENT.removeprefix("^").replace("\\s", SPACE)
+_HEADS = f"string_split(regexp_replace(t, '(?m)^({_COMPONENT})', chr(1) || '\\1', 'g'), chr(1))"
+_PARTED = f"CASE WHEN len(p) >= 3 THEN CASE WHEN {strip_sql('p[1]')} <> '' THEN [{strip_sql('p[1]')} || chr(10) || {strip_sql('p[2]')}] || list_transform(p[3:], lambda x: {strip_sql('x')}) ELSE list_transform(p[2:], lambda x: {strip_sql('x')}) END ELSE [t] END"
+_ITEMISED = f"""SELECT entry_id, nth, list(piece ORDER BY no) FILTER (length({strip_sql('piece')}) > {k.LEAST_ITEM}) AS kept, count(*) AS n FROM (
+SELECT entry_id, nth, no, string_agg(line, chr(10) ORDER BY i) AS piece FROM (
+SELECT *, sum(CASE WHEN i > 1 AND regexp_matches({strip_sql('line')}, '^(?:{_ITEM})') THEN 1 ELSE 0 END) OVER (PARTITION BY entry_id, nth ORDER BY i) AS no FROM (
+SELECT entry_id, nth, unnest(generate_series(1, len(l))) AS i, unnest(l) AS line FROM (SELECT entry_id, nth, string_split(t, chr(10)) AS l FROM de WHERE name = '检查' AND length(full_text) > 1500))) GROUP BY ALL) GROUP BY ALL"""
+_OF_T = _SENTENCES.replace("regexp_extract_all(text,", "regexp_extract_all(t,")
+_SECTION_ROWS = f"""SELECT entry_id, i - 1 AS nth, coalesce(x.section_name, '') AS name, x.content AS content, x.table_markdown AS tab0, {_ROUTE.replace("coalesce(section_name, '')", "coalesce(x.section_name, '')").replace("coalesce(content, '')", "coalesce(x.content, '')").replace("coalesce(table_markdown, '')", "coalesce(x.table_markdown, '')")} AS way FROM (SELECT entry_id, unnest(generate_series(1, len(sections))) AS i, unnest(sections) AS x FROM e WHERE NOT whole)"""
+_CHUNKS = f"""WITH e AS (SELECT *, {_LEN} <= 1500 AND coalesce(len(sections), 0) <= 8 AS whole FROM drug_entries QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY loaded_at) = 1),
+s AS ({_SECTION_ROWS}),
+de AS (SELECT entry_id, nth, name, {_TEXT} AS t, coalesce(tab0, '') AS tab, CASE WHEN coalesce(tab0, '') = '' THEN {_TEXT} WHEN {_TEXT} = '' THEN tab0 ELSE {_TEXT} || chr(10) || chr(10) || tab0 END AS full_text FROM s WHERE way = 'detailed'),
+it AS ({_ITEMISED}),
+dw AS (SELECT de.*, CASE WHEN length(full_text) <= 1500 THEN 'detailed' WHEN name = '含量测定' AND len({_PARTED.replace('len(p)', f'len({_HEADS})').replace('p[', f'{_HEADS}[')}) >= 2 THEN 'assay_component' WHEN name = '检查' AND n >= 2 AND len(kept) >= 2 THEN 'check_item' ELSE 'window' END AS kind,
+CASE WHEN length(full_text) <= 1500 THEN [full_text] WHEN name = '含量测定' AND len({_PARTED.replace('len(p)', f'len({_HEADS})').replace('p[', f'{_HEADS}[')}) >= 2 THEN {_PARTED.replace('len(p)', f'len({_HEADS})').replace('p[', f'{_HEADS}[')} WHEN name = '检查' AND n >= 2 AND len(kept) >= 2 THEN kept
+WHEN len({_OF_T}) <= 1 THEN [substr(t, i + 1, 1500) for i in range(0, length(t), 1500)] ELSE list_transform([{_fold(_OF_T, 'right(a.o, 100)')}], lambda r: CASE WHEN r.o = '' THEN r.d ELSE list_append(r.d, r.o) END)[1] END AS pieces, len({_OF_T}) <= 1 AS sliced FROM de LEFT JOIN it USING (entry_id, nth)),
+cl AS (SELECT entry_id, list('【' || name || '】' || {_TEXT} ORDER BY nth) AS items FROM s WHERE way = 'clinical' AND {_TEXT} <> '' GROUP BY entry_id),
+cp AS (SELECT entry_id, list_transform([{_PACK.replace("list_filter(string_split(text, chr(10)), lambda p: p <> '')", "items")}], lambda r: CASE WHEN len(r.o) > 0 THEN list_append(r.d, array_to_string(r.o, chr(10))) ELSE r.d END)[1] AS packed FROM cl),
+a AS (SELECT entry_id, 0 AS part, 0 AS nth, 0 AS piece, '完整条目' AS section, 'whole_entry' AS chunk_type, (@whole) AS content FROM e WHERE whole
+UNION ALL SELECT entry_id, 0, 0, 0, '药品概要', 'summary', content FROM (@summary) WHERE content IS NOT NULL AND entry_id IN (SELECT entry_id FROM e WHERE NOT whole)
+UNION ALL SELECT entry_id, 1, nth, unnest(generate_series(1, len(pieces))), CASE WHEN kind = 'window' AND sliced THEN name || '-段' || unnest(generate_series(1, len(pieces))) ELSE name END, kind, unnest(pieces) FROM dw
+UNION ALL SELECT entry_id, 2, 0, unnest(generate_series(1, len(packed))), '临床应用', 'clinical', unnest(packed) FROM cp),
+b AS (SELECT * EXCLUDE (content), {strip_sql('content')} AS content FROM a)
+SELECT chunk_seq, 'chunk_' || lpad(chunk_seq::VARCHAR, 6, '0') AS chunk_id, entry_id, section, chunk_type, content, length(content)::INT AS char_count FROM (SELECT *, row_number() OVER (ORDER BY entry_id, part, nth, piece) - 1 AS chunk_seq FROM b WHERE content <> '')"""
+
 SQL = {
     "k01_router": f"SELECT entry_id, {_LEN}::INT AS length, {_LEN} <= 1500 AND coalesce(len(sections), 0) <= 8 AS whole FROM drug_entries",
     "k02_whole_entry": f"SELECT entry_id, array_to_string(CASE WHEN {_INTRO} <> '' THEN [{_INTRO}] ELSE []::VARCHAR[] END || {_PARTS}, chr(10)) AS content FROM drug_entries",
@@ -126,3 +152,4 @@ UNION ALL SELECT section_id, 0, content FROM ({SECTIONS_SQL}) AS s WHERE content
     "k12_sequential_ids": f"SELECT doc_id, pos, 'chunk_' || lpad((row_number() OVER (ORDER BY doc_id, pos) - 1)::VARCHAR, 6, '0') AS chunk_id FROM ({_spread('documents WHERE text IS NOT NULL', 'doc_id', _SENTENCES, 's')})",
     "k13_chunk_stats": "SELECT chunk_type, count(*) AS n, min(char_count) AS shortest, max(char_count) AS longest, round(avg(char_count), 6) AS mean, quantile_cont(char_count, 0.5)::DOUBLE AS median, count(*) FILTER (char_count >= 0 AND char_count < 100) AS below_100, count(*) FILTER (char_count >= 100 AND char_count < 300) AS below_300, count(*) FILTER (char_count >= 300 AND char_count < 600) AS below_600, count(*) FILTER (char_count >= 600 AND char_count < 1000) AS below_1000, count(*) FILTER (char_count >= 1000 AND char_count <= 1500) AS up_to_1500 FROM chunks WHERE char_count IS NOT NULL GROUP BY 1",
 }
+SQL["k12_chunk_entries"] = _CHUNKS.replace("@whole", SQL["k02_whole_entry"].removeprefix("SELECT entry_id, ").removesuffix(" AS content FROM drug_entries")).replace("@summary", SQL["k03_summary"].replace("FROM drug_entries", "FROM e"))

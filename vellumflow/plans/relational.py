@@ -178,8 +178,10 @@ def x07_top_customers(spark, folder):
 
 
 def x08_failure_classes(spark, folder):
-    cases = _results(spark, folder).select(F.col("result_id").alias("key"), F.coalesce("hit", F.lit(False)).alias("hit"), F.col("retrieved_drugs").alias("retrieved"), F.col("retrieved_drugs").alias("expected"))
-    return diagnose.failure_classes(cases, read_table(spark, folder, "drug_entries"), "drug_name")
+    """Misses by cause; the names of the question are expected."""
+    names = q01_entities(spark, folder).groupBy(F.col("qid").alias("key")).agg(F.collect_set("name").alias("expected"))
+    cases = _results(spark, folder).select(F.col("result_id").alias("key"), F.coalesce("hit", F.lit(False)).alias("hit"), F.col("retrieved_drugs").alias("retrieved"))
+    return diagnose.failure_classes(cases.join(names, "key", "left"), read_table(spark, folder, "drug_entries"), "drug_name")
 
 
 def _metrics(rows):
@@ -228,6 +230,7 @@ SQL = {
     "s08_append": "SELECT chunk_seq, loaded_at FROM chunks UNION ALL SELECT chunk_seq, loaded_at FROM chunks WHERE loaded_at > created_at + INTERVAL 1 DAY",
     "s09_upsert": "WITH n AS (SELECT chunk_seq, loaded_at, -1 AS char_count FROM chunks WHERE loaded_at >= TIMESTAMPTZ '2024-07-01 00:00:00+00' QUALIFY row_number() OVER (PARTITION BY chunk_seq ORDER BY loaded_at DESC) = 1) SELECT chunk_seq, loaded_at, char_count FROM chunks WHERE loaded_at < TIMESTAMPTZ '2024-07-01 00:00:00+00' AND chunk_seq NOT IN (SELECT chunk_seq FROM n) UNION ALL SELECT * FROM n",
     "s11_eval_cases": "SELECT result_id, query, query_type FROM query_results WHERE query_type = '多轮对话' ORDER BY result_id, loaded_at LIMIT 50",
+    "s12_report_json": f"SELECT query_type, '{{\"n\":' || count(*) || ',\"hit_at_1\":' || CASE WHEN h = floor(h) THEN h::BIGINT || '.0' ELSE h::VARCHAR END || '}}' AS json FROM (SELECT query_type, round(avg(CASE WHEN f BETWEEN 1 AND 1 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY query_type), 6) AS h FROM {_RANKS}) GROUP BY query_type, h",
     "a01_post_topk_filter": f"WITH {_BM25_CTES} SELECT qid, id, rank, substr(content, 1, 500) AS content FROM bm JOIN {_DOCS} AS d ON d.chunk_seq = bm.id WHERE rank <= 5 AND section = '性状'",
     "a02_catalog": "WITH n AS (SELECT DISTINCT drug_name FROM chunks WHERE contains(drug_name, '白') AND drug_name IN (SELECT drug_name FROM chunks WHERE category = '药材和饮片')) SELECT drug_name, (SELECT count(*) FROM n) AS total FROM n ORDER BY drug_name LIMIT 20",
     "a03_stats": "SELECT (SELECT count(*) FROM chunks) AS n_chunks, (SELECT count(DISTINCT drug_name) FROM chunks) AS n_names, (SELECT count(*) FROM embeddings) AS n_vectors",
@@ -248,7 +251,7 @@ SQL = {
     "x06_term_scan": "SELECT DISTINCT chunk_seq, section_name AS term, ((length(content) - length(replace(content, section_name, ''))) / length(section_name))::BIGINT AS n FROM chunks, section_catalog WHERE contains(content, section_name)",
     "x07_top_groups": "SELECT drug_name, count(*) AS n FROM chunks WHERE drug_name IS NOT NULL GROUP BY 1 ORDER BY n DESC, drug_name LIMIT 10",
     "x07_top_customers": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 20",
-    "x08_failure_classes": f"WITH m AS (SELECT result_id, unnest(CASE WHEN len(retrieved_drugs) > 0 THEN retrieved_drugs ELSE [NULL] END) AS name, retrieved_drugs AS r FROM {_R} WHERE NOT coalesce(hit, false)), c AS (SELECT result_id, bool_or(name IN (SELECT drug_name FROM drug_entries WHERE drug_name IS NOT NULL) AND name IS NOT NULL) AS known, bool_or(coalesce(list_contains(r, name), false)) AS got FROM m GROUP BY 1), g AS (SELECT CASE WHEN NOT coalesce(known, false) THEN 'missing_from_data' WHEN NOT got THEN 'not_retrieved' ELSE 'section_mismatch' END AS failure, count(*) AS n FROM c GROUP BY 1) SELECT failure, n, round(n * 100.0 / sum(n) OVER (), 6) AS percent FROM g",
+    "x08_failure_classes": f"WITH m AS (SELECT result_id, x.name, retrieved_drugs AS r FROM {_R} LEFT JOIN ({_LONGEST}) AS x ON x.qid = result_id WHERE NOT coalesce(hit, false)), c AS (SELECT result_id, bool_or(name IN (SELECT drug_name FROM drug_entries WHERE drug_name IS NOT NULL) AND name IS NOT NULL) AS known, bool_or(coalesce(list_contains(r, name), false)) AS got FROM m GROUP BY 1), g AS (SELECT CASE WHEN NOT coalesce(known, false) THEN 'missing_from_data' WHEN NOT got THEN 'not_retrieved' ELSE 'section_mismatch' END AS failure, count(*) AS n FROM c GROUP BY 1) SELECT failure, n, round(n * 100.0 / sum(n) OVER (), 6) AS percent FROM g",
     "x09_delta": f"WITH a AS (SELECT query_type AS metric, round(avg(keyword_coverage), 6) AS before FROM {_R} WHERE run_id < 'run_010' GROUP BY 1), b AS (SELECT query_type AS metric, round(avg(keyword_coverage), 6) AS after FROM {_R} WHERE run_id >= 'run_010' GROUP BY 1) SELECT metric, before, after, round(after - before, 6) AS change FROM a FULL JOIN b USING (metric)",
     "x10_case_join": f"SELECT result_id, response_id, hit FROM {_R} AS r JOIN (SELECT * FROM gen_responses QUALIFY row_number() OVER (PARTITION BY response_id ORDER BY loaded_at DESC) = 1) AS g ON r.query = g.query",
     "x11_view_aggregates": f"SELECT result_id, CASE WHEN retrieval_latency * 1000 < 1000 THEN 'fast' WHEN retrieval_latency * 1000 < 3000 THEN 'usual' ELSE 'slow' END AS tier, least(greatest(round(keyword_coverage * 100), 5), 100)::INT AS bar FROM {_R} WHERE retrieval_latency IS NOT NULL",

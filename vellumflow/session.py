@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("VELLUM_DRIVER_MEMORY", "8g"))
     )
     for key, value in conf.items():
@@ -38,6 +41,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="vellum-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
@@ -58,17 +62,6 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return df
 
 
-def spread(df: DataFrame, task_bytes: int = 4 << 20) -> DataFrame:
-    """Small input, which may lie in a single row group, over all cores.
-
-    Decided by the scan's size statistic: input of ``task_bytes`` or more per core is left as
-    it is and never shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * task_bytes else df
-
-
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -77,13 +70,16 @@ def latest(df: DataFrame, key: str, at: str = "loaded_at", max_rows: int = BROAD
     """One row per ``key``: the one with the last ``at``.
 
     Only keys delivered more than once need work, so the wide rows are not shuffled: the
-    repeated keys come from a scan of two columns and are joined back (broadcast if few).
-    Rows with equal key and equal ``at`` that remain are reduced by ``dropDuplicates`` on
-    the repeated keys only. A NULL key is kept as it is.
+    repeated keys come from a scan of two columns, are written once, and are joined back
+    (broadcast if few) in one pass over the rows. Only for keys whose last ``at`` itself is
+    repeated are rows compared, by ``dropDuplicates``. A NULL key is kept as it is.
     """
-    again = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max(at).alias("_at")).filter(F.col("_n") > 1).filter(F.col(key).isNotNull())
-    again = again.select(F.col(key).alias("_key"), "_at")
+    times = df.filter(F.col(key).isNotNull()).groupBy(key, at).agg(F.count(F.lit(1)).alias("n"))
+    last = times.groupBy(F.col(key).alias("_key")).agg(F.sum("n").alias("n"), F.max(F.struct(F.col(at).alias("at"), "n")).alias("last"))
+    again = cut(last.filter("n > 1").select("_key", F.col("last.at").alias("_at"), (F.col("last.n") > 1).alias("_tied")))
     joined = df.join(broadcast_checked(again, max_rows), F.col(key) == F.col("_key"), "left")
-    once = joined.filter(F.col("_key").isNull()).select(*df.columns)
-    repeated = joined.filter(F.col("_key").isNotNull() & F.col(at).eqNullSafe(F.col("_at"))).select(*df.columns)
-    return once.unionByName(repeated.dropDuplicates([key]))
+    kept = joined.filter(F.col("_key").isNull() | F.col(at).eqNullSafe(F.col("_at")))
+    if again.filter("_tied").isEmpty():
+        return kept.select(*df.columns)
+    tied = F.coalesce("_tied", F.lit(False))
+    return kept.filter(~tied).select(*df.columns).unionByName(kept.filter(tied).select(*df.columns).dropDuplicates([key]))
