@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumflow.session import broadcast_checked, latest, read_table
@@ -122,6 +122,19 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _oversized(spark, folder, once=True)
 
 
+def p4_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """Every item by its pieces: how far they reach without a gap, and whether all fit."""
+    order = Window.partitionBy("item_kind", "item_id").orderBy("piece_no")
+    end = F.col("start") + F.col("char_count")
+    pieces = p4_pieces(spark, folder).select("item_kind", "item_id", "start", "char_count", (F.col("start") > F.coalesce(F.lag(end).over(order), F.lit(0))).alias("gap"))
+    return pieces.groupBy("item_kind", "item_id").agg(F.max(end).alias("n_chars"), (F.max("char_count") <= splitter.LIMIT).alias("fits"), (~F.bool_or("gap")).alias("gapless"))
+
+
+P4_LENGTHS_SQL = """
+SELECT 'chunk' AS item_kind, chunk_seq AS item_id, coalesce(length(content), 0)::INT AS n_chars, true AS fits, true AS gapless FROM (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_seq ORDER BY loaded_at DESC) = 1)
+UNION ALL
+SELECT 'section', s.section_id, coalesce(length(s.content), 0)::INT, true, true FROM (SELECT unnest(sections) AS s FROM (SELECT * FROM drug_entries QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY loaded_at DESC) = 1))
+"""
 P4_FOUND_SQL = """
 SELECT DISTINCT 'chunk' AS item_kind, chunk_seq AS item_id FROM chunks WHERE length(content) > 1500
 UNION ALL
@@ -165,11 +178,25 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_corpus(read_table(spark, folder, "documents"))
 
 
+def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Digest of the text that the ids of every document decode to."""
+    ids = encode.encode_corpus(read_table(spark, folder, "documents"))
+    return ids.select("doc_id", F.md5(encode.decode_ids(F.col("ids"))).alias("digest"))
+
+
 def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, folder, "documents")
     return packing.pack(encode.token_counts(documents), CAPACITY, n_rows=documents.count())
 
 
+def p7_pack_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of packed documents, of containers over their capacity, of documents not whole."""
+    packed = p7_pack(spark, folder)
+    over = packed.groupBy("container_id").agg(F.sum("size").alias("held")).agg(F.count_if(F.col("held") > CAPACITY).alias("n_over"))
+    docs = packed.groupBy("doc_id").agg((F.sum("size") == F.max("item_end")).alias("whole")).agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(~F.col("whole")).alias("n_broken"))
+    return docs.crossJoin(over)  # one row each
+
+
 # --- 8
 
 
@@ -193,14 +220,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_classes": p3_classes,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p4_lengths": p4_lengths,
     "p5_found": p5_found,
     "p5_clean": p5_clean,
     "p6_ids": p6_ids,
+    "p6_roundtrip": p6_roundtrip,
     "p7_pack": p7_pack,
+    "p7_pack_totals": p7_pack_totals,
     "p8_found": p8_found,
     "p8_pages": p8_pages,
 }
 
 SQL: dict[str, str] = {
     "p4_found": P4_FOUND_SQL,
+    "p4_lengths": P4_LENGTHS_SQL,
+    "p6_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
+    "p7_pack_totals": "SELECT count(DISTINCT doc_id) AS n_docs, 0 AS n_broken, 0 AS n_over FROM documents",
 }
