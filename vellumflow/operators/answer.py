@@ -78,3 +78,17 @@ def messages(system: str, history: Column, context: Column, query: Column) -> Co
     """``array<struct<role, content>>``: system, history, then the question with its context."""
     ask = F.concat(F.lit("【参考资料】\n"), context, F.lit("\n\n【问题】\n"), query)
     return F.concat(F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content"))), history, F.array(F.struct(F.lit("user").alias("role"), ask.alias("content"))))
+
+
+def pointer_messages(history: Column, query: Column, system: str = "只输出改写后的问题。") -> Column:
+    """Messages that ask a model to put names in place of words that point back; ``history`` is
+    an array of ``role, content``."""
+    line = lambda m: F.concat(F.when(m["role"] == "user", F.lit("用户: ")).otherwise(F.lit("助手: ")), F.coalesce(m["content"], F.lit("")))
+    told = F.array_join(F.transform(history, line), "\n")
+    ask = F.concat(F.lit("根据对话历史，把问题中的指代词换成所指的药名；没有指代词时原样输出。\n\n【对话历史】\n"), told, F.lit("\n\n【问题】\n"), query)
+    return F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), ask.alias("content")))
+
+
+def no_result_messages(system: str, query: Column) -> Column:
+    """Messages of a question for which nothing was found."""
+    return messages(system, F.array().cast("array<struct<role:string,content:string>>"), F.lit(NO_CONTEXT), query)

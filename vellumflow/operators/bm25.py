@@ -2,7 +2,7 @@
 
 Building is one aggregation by (document, term) and one by term; searching joins the query
 terms, which are few, with the postings, so the corpus is not moved: query terms are
-broadcast after a check of their number, and partial sums and the per-query limit run before
+broadcast after a check of their number (more are joined with salted terms), and partial sums and the per-query limit run before
 the final merge.
 """
 
@@ -13,9 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumflow.session import broadcast_checked, cut
+from vellumflow.session import BROADCAST_ROWS, cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Parts into which the postings of a term are cut where terms are too many to be broadcast.
+SALTS = 16
 
 
 @dataclass
@@ -30,6 +32,10 @@ class Bm25Index:
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
+    def counts(self) -> DataFrame:
+        """``n_docs, n_terms, n_postings`` in one row."""
+        return self.stats.select("n_docs").crossJoin(self.terms.agg(F.count(F.lit(1)).alias("n_terms"))).crossJoin(self.postings.agg(F.count(F.lit(1)).alias("n_postings")))  # one row each
+
     @staticmethod
     def load(spark, path: str) -> Bm25Index:
         return Bm25Index(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "stats")))
@@ -53,15 +59,23 @@ def build(docs: DataFrame, tokens: Column, id_col: str = "id") -> Bm25Index:
     return Bm25Index(postings, terms, stats)
 
 
-def search(index: Bm25Index, query_terms: DataFrame, k: int | Column = 15, k1: float = K1, b: float = B) -> DataFrame:
+def _hits(postings: DataFrame, weighted: DataFrame, most: int) -> DataFrame:
+    """Postings of the queries' terms. Up to ``most`` of them are broadcast; more are joined by
+    term, with a salt from the document, because a frequent term has very many postings."""
+    if weighted.limit(most + 1).count() <= most:
+        return postings.join(F.broadcast(weighted), "term")
+    salted = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return postings.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["term", "_salt"]).drop("_salt")
+
+
+def search(index: Bm25Index, query_terms: DataFrame, k: int | Column = 15, k1: float = K1, b: float = B, most: int = BROADCAST_ROWS) -> DataFrame:
     """``qid, id, score, rank``: the ``k`` best documents per query; ties by id.
 
     ``query_terms`` has ``qid, term`` with one row per token, so that a repeated token counts
     as often. Scores of 0 or below are dropped after the cut.
     """
     asked = query_terms.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-    weighted = broadcast_checked(asked.join(index.terms, "term"))
-    hits = index.postings.join(weighted, "term").crossJoin(F.broadcast(index.stats))  # one row
+    hits = _hits(index.postings, asked.join(index.terms, "term"), most).crossJoin(F.broadcast(index.stats))  # one row
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("qid", "id").agg(F.sum(part).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "id")))

@@ -87,3 +87,14 @@ def delta(before: DataFrame, after: DataFrame, metric: str = "metric", value: st
     """Differences of two reports, a metric per row; a metric of one report only has NULL."""
     a, b = before.select(metric, F.col(value).alias("before")), after.select(metric, F.col(value).alias("after"))
     return a.join(b, metric, "full").withColumn("change", F.round(F.col("after") - F.col("before"), 6))
+
+
+def type_view(report: DataFrame) -> DataFrame:
+    """A breakdown by type, the largest first, with its place."""
+    return report.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), "query_type")))  # a few types
+
+
+def first_rows(cases: DataFrame, flag: Column, order: str, k: int) -> DataFrame:
+    """The first ``k`` flagged cases, each with the number of all of them."""
+    rows = cases.filter(flag)
+    return rows.orderBy(order).limit(k).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n_all"))))  # one row

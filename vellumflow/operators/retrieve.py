@@ -61,9 +61,10 @@ def assemble_context(items: DataFrame, item_cap: int = ITEM_CAP, total_cap: int
     """``qid, context, n_items``: items in order while they fit; the first that does not is
     cut to what is left if that is more than ``least``, and nothing comes after it.
 
-    ``items`` has ``qid, rank, item``.
+    ``items`` has ``qid, rank, item``, ranks from 1 without gaps. Every item has a character, so
+    ranks above the budget are left out before anything is moved.
     """
-    cut_item = items.withColumn("item", F.substring("item", 1, item_cap))
+    cut_item = items.filter(F.col("rank") <= total_cap).withColumn("item", F.substring("item", 1, item_cap))
     before = F.coalesce(F.sum(F.length("item")).over(Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = cut_item.withColumn("before", before).filter(F.col("before") <= total_cap)
     over = F.col("before") + F.length("item") > total_cap

@@ -26,3 +26,18 @@ def valid_request(question: Column, temperature: Column, max_tokens: Column, top
     """Bounds of a request; NULL parameters take their defaults and are valid."""
     ok = lambda c, lo, hi: F.coalesce(c.between(lo, hi), F.lit(True))
     return F.coalesce(F.length(question).between(1, 500), F.lit(False)) & ok(temperature, 0, 2) & ok(max_tokens, 100, 8192) & ok(top_k, 1, 30)
+
+
+def get(sessions: DataFrame, ids: DataFrame, key: str = "session_id") -> DataFrame:
+    """The sessions asked for; an unknown one gives no row."""
+    return sessions.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def delete(sessions: DataFrame, ids: DataFrame, key: str = "session_id") -> DataFrame:
+    """The sessions that are left."""
+    return sessions.join(ids.select(key).distinct(), key, "left_anti")
+
+
+def cleanup(sessions: DataFrame, now: Column, lifetime: str = LIFETIME) -> DataFrame:
+    """The sessions that have not expired."""
+    return expired(sessions, now, lifetime).filter("NOT is_expired").drop("is_expired")

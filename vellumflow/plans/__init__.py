@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import blocks, chunking, dialogue, ranking, relational, texts
+from . import blocks, chunking, dialogue, ranking, relational, stores, texts
 
-MODULES = (texts, blocks, chunking, ranking, relational, dialogue)
+MODULES = (texts, blocks, chunking, ranking, relational, dialogue, stores)
 
 
 def all_queries() -> dict:

@@ -79,6 +79,18 @@ def g10_messages(spark, folder):
     return _sourced(spark, folder).select("result_id", F.size(m).alias("n"), m[2]["content"].alias("last"))
 
 
+def g10_pointer_prompt(spark, folder):
+    """The prompt that asks a model to resolve pointers, after the last messages of the session."""
+    last = dialogue.trim_history(turns(spark, folder), 1).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("h"))
+    talk = answer.pointer_messages(F.transform("h", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))), F.lit("它的贮藏"))
+    return last.select("conv_id", talk[1]["content"].alias("prompt"))
+
+
+def g10_no_result(spark, folder):
+    m = answer.no_result_messages("规则", F.col("query"))
+    return _sourced(spark, folder).select("result_id", F.size(m).alias("n"), m[1]["content"].alias("last"))
+
+
 def g11_generate(spark, folder):
     return models.generate(_replies(spark, folder).select("response_id", "query"), "response_id", "query")
 
@@ -113,6 +125,33 @@ def a04_sessions(spark, folder):
     return s.select("user_id", sessions.session_id(F.col("user_id")).alias("session_id"), "created_at", "last_active", "n_events")
 
 
+def _sessions(spark, folder):
+    s = sessions.last_active(read_table(spark, folder, "events"), "user_id", "ts")
+    return s.withColumn("session_id", sessions.session_id(F.col("user_id")))
+
+
+def a04_session_delete(spark, folder):
+    """Sessions of users whose number ends in 7 are deleted."""
+    s = _sessions(spark, folder)
+    return sessions.delete(s, s.filter("user_id % 10 = 7")).select("user_id", "session_id")
+
+
+def a04_session_get(spark, folder):
+    s = _sessions(spark, folder)
+    return sessions.get(s, s.filter("user_id IN (3, 4, 5)").select("session_id")).select("user_id", "n_events")
+
+
+def a05_cleanup(spark, folder):
+    return sessions.cleanup(_sessions(spark, folder), F.lit("2024-01-31 00:00:00").cast("timestamp")).select("user_id")
+
+
+def a06_history(spark, folder):
+    """Previews of the messages of one session."""
+    t = turns(spark, folder)
+    first = t.agg(F.min("conv_id").alias("conv_id"))
+    return dialogue.preview(t.join(F.broadcast(first), "conv_id")).select("turn", "role", "preview")  # one row
+
+
 def a05_session_expiry(spark, folder):
     s = sessions.last_active(read_table(spark, folder, "events"), "user_id", "ts")
     return sessions.expired(s, F.lit("2024-01-31 00:00:00").cast("timestamp")).select("user_id", "is_expired")
@@ -150,7 +189,7 @@ def g17_event_rows(spark, folder):
     return rows.filter("kind = 'content'").select("response_id", "seq", "payload")
 
 
-QUERIES = {f.__name__: f for f in (g01_guard, g01_guard_words, g02_model_guard, g04_trim_history, g05_context_window, g06_pointer_detect, g07_pointer_resolve, g08_last_user, g09_turns, g10_prompt, g10_messages, g11_generate, g12_beautify, g13_citations, g14_numeric_check, g15_disclaimer, g16_post_process, g17_answer, g17_event_rows, a04_sessions, a05_session_expiry, a05_session_windows, a06_preview, a07_validation)}
+QUERIES = {f.__name__: f for f in (g01_guard, g01_guard_words, g02_model_guard, g04_trim_history, g05_context_window, g06_pointer_detect, g07_pointer_resolve, g08_last_user, g09_turns, g10_prompt, g10_messages, g10_pointer_prompt, g10_no_result, g11_generate, g12_beautify, g13_citations, g14_numeric_check, g15_disclaimer, g16_post_process, g17_answer, g17_event_rows, a04_sessions, a04_session_delete, a04_session_get, a05_cleanup, a06_history, a05_session_expiry, a05_session_windows, a06_preview, a07_validation)}
 
 _REPLIES = "(SELECT * FROM gen_responses QUALIFY row_number() OVER (PARTITION BY response_id ORDER BY loaded_at DESC) = 1)"
 _TURNS = f"(SELECT session_id AS conv_id, response_id * 2 AS turn, 'user' AS role, query AS text FROM {_REPLIES} WHERE session_id IS NOT NULL UNION ALL SELECT session_id, response_id * 2 + 1, 'assistant', raw_answer FROM {_REPLIES} WHERE session_id IS NOT NULL)"
@@ -217,6 +256,12 @@ CASE WHEN n_sources > 0 THEN array_to_string({_issues('listed', 'contents')}, ';
 SQL = {
     "g01_guard_words": f"SELECT conv_id, turn, verdict, reason FROM ({_verdicts(f'SELECT 0 AS k, * FROM {_TURNS} WHERE role = {_USER}', 'k')})",
     "g17_answer": _ANSWER,
+    "g10_pointer_prompt": f"SELECT conv_id, '根据对话历史，把问题中的指代词换成所指的药名；没有指代词时原样输出。' || chr(10) || chr(10) || '【对话历史】' || chr(10) || string_agg(CASE WHEN role = 'user' THEN '用户: ' ELSE '助手: ' END || coalesce(text, ''), chr(10) ORDER BY turn) || chr(10) || chr(10) || '【问题】' || chr(10) || '它的贮藏' AS prompt FROM (SELECT * FROM {_TURNS} QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2) GROUP BY 1",
+    "g10_no_result": f"SELECT result_id, 2 AS n, '【参考资料】' || chr(10) || {quoted(answer.NO_CONTEXT)} || chr(10) || chr(10) || '【问题】' || chr(10) || query AS last FROM {_SOURCED}",
+    "a04_session_delete": "SELECT DISTINCT user_id, 'sess_' || substr(sha256(user_id::VARCHAR), 1, 12) AS session_id FROM events WHERE user_id % 10 <> 7",
+    "a04_session_get": "SELECT user_id, count(*) AS n_events FROM events WHERE user_id IN (3, 4, 5) GROUP BY 1",
+    "a05_cleanup": "SELECT user_id FROM events GROUP BY 1 HAVING TIMESTAMP '2024-01-31 00:00:00' - max(ts)::TIMESTAMP <= INTERVAL 24 HOURS",
+    "a06_history": f"SELECT turn, role, substr(text, 1, 200) AS preview FROM {_TURNS} WHERE conv_id = (SELECT min(conv_id) FROM {_TURNS})",
     "g01_guard": f"""WITH a AS (SELECT conv_id, turn, coalesce(trim(text), '') AS t FROM {_TURNS} WHERE role = 'user'), b AS (SELECT *, coalesce(max(CASE WHEN t <> '' AND {_ON} THEN 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tr FROM a),
 c AS (SELECT conv_id, turn, CASE WHEN t = '' THEN 'empty' WHEN {_ON} THEN 'on_topic' WHEN {_OFF} THEN 'off_topic' WHEN tr = 1 THEN 'trusted' ELSE 'default' END AS reason FROM b) SELECT *, CASE WHEN reason IN ('empty', 'off_topic') THEN 'reject' ELSE 'pass' END AS verdict FROM c""",
     "g02_model_guard": f"""WITH a AS (SELECT conv_id, turn, text, coalesce(trim(text), '') AS t FROM {_TURNS} WHERE role = 'user'), b AS (SELECT *, coalesce(max(CASE WHEN contains(t, '性状') THEN 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tr FROM a),

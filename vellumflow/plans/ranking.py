@@ -42,6 +42,10 @@ def b03_bm25_build(spark, folder):
     return bm25.build(_docs(spark, folder), tokens.mixed_tokens(F.col("content")), "chunk_seq").terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+def b05_count(spark, folder):
+    return bm25.build(_docs(spark, folder), tokens.mixed_tokens(F.col("content")), "chunk_seq").counts()
+
+
 def _bm25(spark, folder):
     index = bm25.build(_docs(spark, folder), tokens.mixed_tokens(F.col("content")), "chunk_seq")
     terms = _asked(spark, folder).select("qid", F.explode(tokens.mixed_tokens(F.col("query"))).alias("term"))
@@ -214,27 +218,41 @@ def r10_rerank(spark, folder):
     return retrieve.rerank(found).select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
-def _items(spark, folder):
+def _items(spark, folder, most=None):
+    """Chunks of each name in order; only the first ``most``, which Spark then picks before it shuffles."""
     docs = _docs(spark, folder).filter("drug_name IS NOT NULL AND content IS NOT NULL")
     ranked = docs.withColumn("rank", F.row_number().over(Window.partitionBy("drug_name").orderBy("chunk_seq")))
+    ranked = ranked.filter(F.col("rank") <= most) if most else ranked
     return ranked.withColumn("item", retrieve.format_item(F.col("rank"), F.col("drug_name"), F.col("section"), F.col("category"), F.col("content")))
 
 
 def r13_context_budget(spark, folder):
-    return retrieve.assemble_context(_items(spark, folder).select(F.col("drug_name").alias("qid"), "rank", "item")).select("qid", F.md5("context").alias("context"), "n_items")
+    return retrieve.assemble_context(_items(spark, folder, retrieve.TOTAL_CAP).select(F.col("drug_name").alias("qid"), "rank", "item")).select("qid", F.md5("context").alias("context"), "n_items")
 
 
 def r14_format(spark, folder):
     return _items(spark, folder).select("chunk_seq", "item")
 
 
+def r11_no_reranker(spark, folder):
+    """The search without reranking: the fused order decides."""
+    found = retrieve.hybrid_search(_asked(spark, folder), _docs(spark, folder), enable_reranker=False)
+    return found.select("qid", "rank", "id", F.round("score", 9).alias("score"), F.array_join("sources", ",").alias("sources"), "name")
+
+
+def r15_contexts(spark, folder):
+    """The assembled context of every question."""
+    found = retrieve.contexts(retrieve.hybrid_search(_asked(spark, folder), _docs(spark, folder)))
+    return found.select("qid", F.md5("context").alias("context"), "n_items")
+
+
 def r16_hybrid_search(spark, folder):
     """End to end over all chunks: names, filters, both recalls, fusion, rerank."""
     found = retrieve.hybrid_search(_asked(spark, folder), _docs(spark, folder))
     return found.select("qid", "rank", "id", F.round("score", 6).alias("score"), F.round("rrf_score", 9).alias("rrf_score"), F.array_join("sources", ",").alias("sources"), "name", "section", "category")
 
 
-QUERIES = {f.__name__: f for f in (b01_tokens, b02_lexicon_tokens, b03_bm25_build, b04_bm25_topk, v01_embed, v02_embed_query, v03_normalise, v04_ip_topk, v05_filtered_topk, v05_in_filter_topk, v06_lookup, r04_vector_recall, f01_rrf, q01_entities, q02_sections, q03_intent, q04_keywords, q05_name_filter, q06_listing, q07_category, q08_parse, r01_override, r02_expand_filter, r05_overfetch, r06_postfilter, r07_category_filter, r09_enrich, r10_rerank, r13_context_budget, r14_format, r16_hybrid_search)}
+QUERIES = {f.__name__: f for f in (b01_tokens, b02_lexicon_tokens, b03_bm25_build, b04_bm25_topk, b05_count, v01_embed, v02_embed_query, v03_normalise, v04_ip_topk, v05_filtered_topk, v05_in_filter_topk, v06_lookup, r04_vector_recall, f01_rrf, q01_entities, q02_sections, q03_intent, q04_keywords, q05_name_filter, q06_listing, q07_category, q08_parse, r01_override, r02_expand_filter, r05_overfetch, r06_postfilter, r07_category_filter, r09_enrich, r10_rerank, r13_context_budget, r14_format, r11_no_reranker, r15_contexts, r16_hybrid_search)}
 
 
 def _tokens(x: str) -> str:
@@ -330,6 +348,11 @@ SQL = {
     "r04_vector_recall": _RECALL,
     "r10_rerank": f"WITH {_BM25_CTES}, r AS (SELECT bm.qid, bm.id, bm.rank AS before, {_OVERLAP.replace('content', chr(99) + 'oalesce(d.content, ' + chr(39) * 2 + ')')} AS score FROM bm JOIN {_DOCS} AS d ON d.chunk_seq = bm.id JOIN {_ASKED} AS q ON q.qid = bm.qid WHERE rank <= 15) SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, before, id) AS rank, round(score, 6) AS score FROM r QUALIFY rank <= 5",
     "r16_hybrid_search": _HYBRID,
+    "b05_count": f"WITH {_BM25_CTES} SELECT (SELECT n FROM st) AS n_docs, (SELECT count(*) FROM di) AS n_terms, (SELECT count(*) FROM po) AS n_postings",
+    "r11_no_reranker": f"WITH {HYBRID_CTES.replace('@asked', _ASKED)} SELECT qid, before AS rank, id, round(rrf_score, 9) AS score, sources, name FROM r WHERE before <= 5",
+    "r15_contexts": f"""WITH {HYBRID_CTES.replace('@asked', _ASKED)}, i AS (SELECT qid, rank, substr({_ITEM.replace('{c}', strip_sql("coalesce(content, '')")).replace('drug_name', 'name')}, 1, 800) AS item FROM found), b4 AS (SELECT *, coalesce(sum(length(item)) OVER (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM i),
+o AS (SELECT *, before + length(item) > 4000 AS over, sum((before + length(item) > 4000)::INT) OVER (PARTITION BY qid ORDER BY rank) AS overs FROM b4 WHERE before <= 4000)
+SELECT qid, md5(string_agg(CASE WHEN over THEN substr(item, 1, (4000 - before)::INT) ELSE item END, chr(10) || '---' || chr(10) ORDER BY rank)) AS context, count(*) AS n_items FROM o WHERE overs = 0 OR (over AND overs = 1 AND 4000 - before > 50) GROUP BY qid""",
     "b01_tokens": f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string({_tokens('text')}, ' ') END AS tokens FROM documents",
     "b03_bm25_build": f"WITH {_BM25_CTES} SELECT term, df, round(idf, 6) AS idf FROM di",
     "b04_bm25_topk": f"WITH {_BM25_CTES} SELECT qid, id, round(score, 6) AS score, rank FROM bm",

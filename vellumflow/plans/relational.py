@@ -134,6 +134,22 @@ def e08_report_views(spark, folder):
     return r.orderBy("coverage", "result_id").limit(10).crossJoin(F.broadcast(r.agg(F.count(F.lit(1)).alias("n_low"))))  # one row
 
 
+def e08_types(spark, folder):
+    report = evaluate.retrieval_report(_ranks(spark, folder), ["query_type"])
+    return evaluate.type_view(report).select("query_type", "n", "place")
+
+
+def e08_misses(spark, folder):
+    r = _results(spark, folder)
+    found = evaluate.first_rows(r, ~F.coalesce("hit", F.lit(False)), "result_id", 20)
+    return found.select("result_id", "query", F.array_join(F.slice("retrieved_drugs", 1, 3), ",").alias("found"), "n_all")
+
+
+def e08_issues(spark, folder):
+    found = evaluate.first_rows(_results(spark, folder), F.coalesce("has_consistency_issues", F.lit(False)), "result_id", 5)
+    return found.select("result_id", F.substring("query", 1, 40).alias("query"), "n_all")
+
+
 def x01_audit_missing(spark, folder):
     asked = read_table(spark, folder, "query_results").select(F.explode("retrieved_drugs").alias("name")).distinct()
     some = read_table(spark, folder, "drug_entries").filter("is_yinpian = false")
@@ -207,7 +223,7 @@ def x12_misses(spark, folder):
     return _results(spark, folder).filter("hit = false").select("result_id", "query", F.size("retrieved_drugs").alias("n"), any_of(F.col("query"), ("性状", "鉴别")).alias("identity"))
 
 
-QUERIES = {f.__name__: f for f in (m01_point_lookup, m02_multi_lookup, m03_dynamic_filter, m04_distinct_names, m05_count, m06_stats, s08_append, s09_upsert, s11_eval_cases, s12_report_json, a01_post_topk_filter, a02_catalog, a03_stats, e01_hit, e02_first_rank, e03_hit_mrr, e04_percentile, e05_by_type, e06_coverage, e06_generation_report, e08_report_views, x01_audit_missing, x02_membership, x03_prefix, x04_residual_list, x05_neighbours, x05_style_histogram, x06_term_scan, x07_top_groups, x07_top_customers, x08_failure_classes, x09_delta, x10_case_join, x11_view_aggregates, x12_misses)}
+QUERIES = {f.__name__: f for f in (m01_point_lookup, m02_multi_lookup, m03_dynamic_filter, m04_distinct_names, m05_count, m06_stats, s08_append, s09_upsert, s11_eval_cases, s12_report_json, a01_post_topk_filter, a02_catalog, a03_stats, e01_hit, e02_first_rank, e03_hit_mrr, e04_percentile, e05_by_type, e06_coverage, e06_generation_report, e08_report_views, e08_types, e08_misses, e08_issues, x01_audit_missing, x02_membership, x03_prefix, x04_residual_list, x05_neighbours, x05_style_histogram, x06_term_scan, x07_top_groups, x07_top_customers, x08_failure_classes, x09_delta, x10_case_join, x11_view_aggregates, x12_misses)}
 
 _K = ", ".join(KEY)
 _R = "(SELECT * FROM query_results QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY loaded_at DESC) = 1)"
@@ -242,6 +258,9 @@ SQL = {
     "e06_coverage": f"SELECT result_id, round(CASE WHEN len(retrieved_sections) > 0 THEN len(list_filter(retrieved_sections, lambda k: contains(lower(answer), lower(k)))) / len(retrieved_sections) ELSE 1.0 END, 6) AS coverage, contains(answer, '遵医嘱') OR contains(answer, '具体用药') AS disclaimer FROM {_R}",
     "e06_generation_report": f"SELECT query_type, count(*) AS n, round(avg(keyword_coverage), 6) AS coverage, round(avg(has_citations::INT), 6) AS citation_rate, round(avg(has_consistency_issues::INT), 6) AS issue_rate, round(avg(has_medical_disclaimer::INT), 6) AS disclaimer_rate, round(avg(generation_latency), 6) AS generation_latency, round(avg(CASE WHEN retrieval_latency > 0 THEN retrieval_latency END), 6) AS retrieval_latency FROM {_R} GROUP BY 1",
     "e08_report_views": f"SELECT result_id, round(keyword_coverage, 6) AS coverage, count(*) OVER () AS n_low FROM {_R} WHERE keyword_coverage < 0.3 ORDER BY coverage, result_id LIMIT 10",
+    "e08_types": f"SELECT query_type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, query_type)::INT AS place FROM {_R} GROUP BY 1",
+    "e08_misses": f"SELECT result_id, query, array_to_string(retrieved_drugs[1:3], ',') AS found, count(*) OVER () AS n_all FROM {_R} WHERE NOT coalesce(hit, false) ORDER BY result_id LIMIT 20",
+    "e08_issues": f"SELECT result_id, substr(query, 1, 40) AS query, count(*) OVER () AS n_all FROM {_R} WHERE has_consistency_issues ORDER BY result_id LIMIT 5",
     "x01_audit_missing": f"WITH c AS (SELECT DISTINCT drug_name AS name FROM drug_entries WHERE is_yinpian = false), m AS (SELECT name FROM {_ASKED_NAMES} WHERE name NOT IN (SELECT name FROM c WHERE name IS NOT NULL) AND regexp_replace(name, '-饮片$', '') NOT IN (SELECT name FROM c WHERE name IS NOT NULL)) SELECT a.name, (SELECT c.name FROM c WHERE length(c.name) >= 2 AND length(a.name) >= 2 AND {_RELATED} ORDER BY length(c.name), c.name LIMIT 1) AS suggestion FROM m AS a",
     "x02_membership": f"WITH c AS (SELECT DISTINCT drug_name AS name FROM drug_entries WHERE drug_name IS NOT NULL) SELECT name, CASE WHEN name IN (SELECT name FROM c) THEN 'exact' WHEN EXISTS (SELECT 1 FROM c WHERE contains(c.name, a.name) AND c.name <> a.name) THEN 'contained' ELSE 'absent' END AS found FROM {_ASKED_NAMES} AS a",
     "x03_prefix": "SELECT DISTINCT drug_name FROM chunks WHERE starts_with(drug_name, '白') OR starts_with(drug_name, '黄') OR starts_with(drug_name, '金')",

@@ -28,6 +28,18 @@ def write_vectors(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").parquet(path)
 
 
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def create_chunk_table(spark: SparkSession, name: str, path: str | None = None, buckets: int = 0, by: str = "drug_name") -> None:
+    """An empty table of chunks in the catalog, if it is not there; bucketed by ``by`` on
+    request, so that joins and filters on it need no shuffle."""
+    where = f" LOCATION '{path}'" if path else ""
+    clustered = f" CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS" if buckets else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({CHUNKS}) USING parquet{clustered}{where}")
+
+
 def truncate(spark: SparkSession, path: str) -> None:
     """Empty the table at ``path`` and keep its schema."""
     schema = spark.read.parquet(path).schema
