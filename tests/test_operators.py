@@ -287,3 +287,71 @@ def test_catalog_and_sessions(spark):
     have = spark.createDataFrame([("人参",), ("黄连片",)], "n string")
     asked = spark.createDataFrame([("人参-饮片",), ("黄连",), ("无此药",)], "name string")
     assert {r["name"]: r["suggestion"] for r in diagnose.missing_names(asked, have, "n").collect()} == {"黄连": "黄连片", "无此药": None}
+
+
+def test_filtered_vectors_against_brute_force(spark):
+    import numpy as np
+
+    rng = random.Random(11)
+    rows = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)], rng.choice(["a", "b", "c", None]), rng.choice(["x", "y"])) for i in range(3_000)]
+    asked = [(q, [rng.choice([-1.0, 1.0]) for _ in range(4)], rng.choice([None, [], ["a"], ["b", "z"]]), rng.choice([None, None, ["y"]])) for q in range(25)]
+    v = spark.createDataFrame(rows, "id bigint, embedding array<float>, name string, kind string").repartition(3)
+    q = spark.createDataFrame(asked, "qid bigint, embedding array<float>, names array<string>, kinds array<string>")
+
+    def brute(qv, names, kinds):
+        fits = [(round(-float(np.dot(qv, e)), 9), i) for i, e, n, k in rows if (names is None or n in names) and (kinds is None or k in kinds)]
+        return [i for _, i in sorted(fits)[:7]]
+
+    want = {(qid, i, r + 1) for qid, e, n, k in asked for r, i in enumerate(brute(e, n, k))}
+    for block in (100, 4):
+        got = vector.top_k(v, q, 7, within={"name": "names", "kind": "kinds"}, block=block).select("qid", "id", "rank").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_block_top_keeps_the_best_over_many_batches():
+    import pyarrow as pa
+
+    queries = pa.table({"qid": ["p", "q"], "embedding": pa.array([[1.0], [-1.0]], pa.list_(pa.float32()))})
+    best = vector.BlockTop(queries, 3, 0)
+    for first in range(0, 40_000, 1_000):
+        ids = pa.array(range(first, first + 1_000))
+        best.add(pa.RecordBatch.from_arrays([ids, pa.array([[float(i % 500)] for i in range(first, first + 1_000)], pa.list_(pa.float32()))], ["id", "embedding"]))
+    got = best.result().to_pydict()
+    assert got["qid"] == ["p"] * 3 + ["q"] * 3 and got["id"] == [499, 999, 1499, 0, 500, 1000]
+
+
+def test_names_of_one_character(spark):
+    texts = spark.createDataFrame([(1, "姜和生姜"), (2, "参"), (3, ""), (4, None)], "id int, t string")
+    names = spark.createDataFrame([("姜",), ("生姜",), ("参",), ("",), (None,)], "n string")
+    got = {tuple(r) for r in matching.contained_names(texts, names, "id", "t", "n").collect()}
+    assert got == {(1, "姜"), (1, "生姜"), (2, "参")}
+    scanned = {(r["id"], r["term"], r["n"]) for r in diagnose.term_scan(texts, "id", "t", names.toDF("term")).collect()}
+    assert scanned == {(1, "姜", 2), (1, "生姜", 1), (2, "参", 1)}
+
+
+def test_many_query_terms_give_the_same_hits(spark):
+    docs = spark.createDataFrame([(i, "人参 性状 " * (i % 3) + f"甘草{i}") for i in range(40)], "id int, t string")
+    index = bm25.build(docs, tokens.mixed_tokens(F.col("t")))
+    asked = spark.createDataFrame([(q, t) for q in range(5) for t in ("人参", "性状", "甘草")], "qid int, term string")
+    few, many = (sorted(bm25.search(index, asked, 4, most=most).collect()) for most in (1_000, 2))
+    assert few == many and len(few) == 20
+
+
+def test_answer_questions(spark):
+    from vellumflow.operators import pipeline
+
+    docs = spark.createDataFrame([(1, "人参", "贮藏", "药材和饮片", "置阴凉干燥处，每次3g。"), (2, "黄连", "性状", "药材和饮片", "断面黄色。")], "chunk_seq bigint, drug_name string, section string, category string, content string")
+    rows = [(1, "s", 1, "人参的性状"), (2, "s", 2, "它怎么样"), (3, None, 3, "今天股票"), (4, None, 4, None), (5, "t", 5, "它怎么样")]
+    asked = spark.createDataFrame(rows, "qid bigint, conv_id string, turn bigint, text string")
+    got = {r["qid"]: r for r in pipeline.answer_questions(asked, docs, chat=lambda: lambda prompt: "用量9g。").collect()}
+    assert [got[i]["verdict"] for i in range(1, 6)] == ["pass", "pass", "reject", "reject", "pass"]
+    assert got[2]["resolved"] == "人参怎么样" and got[5]["resolved"] == "它怎么样"
+    assert got[1]["citations"][0] == "药典-人参-贮藏" and got[1]["issues"] == ["9g"] and got[1]["has_disclaimer"]
+    assert got[3]["answer"] == got[4]["answer"] == pipeline.REJECTED and got[3]["n_sources"] == 0
+    assert pipeline.answer_questions(asked.filter("false"), docs).count() == 0
+
+
+def test_session_table(spark):
+    s = spark.createDataFrame([("a", 1), ("b", 2)], "session_id string, n int")
+    asked = spark.createDataFrame([("a",), ("z",), ("a",)], "session_id string")
+    assert [r["n"] for r in sessions.get(s, asked).collect()] == [1] and [r["n"] for r in sessions.delete(s, asked).collect()] == [2]
