@@ -168,15 +168,20 @@ def _opened(text: str) -> str:
 _INTRODUCTION = re.compile(r"(?:您|你|我|的|问题|提问|问|题目|题|是|想|知道|了解|关于|原|收到|好的|答|即|为|所|一下|重复|复述|再次|在|这个|该|就|说|请|your|you|asked|question|is|was|the|q|a|re|about|regarding|want|to|know|so)+")
 
 
+@lru_cache(maxsize=64)
+def _prompt_letters(prompt: str) -> str:
+    return _letters(prompt)
+
+
 @lru_cache(maxsize=1_024)
 def _prompt_automaton(asked: str) -> SuffixAutomaton:
     return SuffixAutomaton(asked)
 
 
-def uncovered(prompt: str, response: str) -> tuple[str, float]:
+def uncovered(prompt: str, response: str, given: str | None = None) -> tuple[str, float]:
     """Letters of the response outside matches with the prompt, and the covered share (0 where
-    it is below a half for certain)."""
-    asked, given = _letters(prompt), _letters(response)
+    it is below a half for certain); ``given`` are its letters if they are known."""
+    asked, given = _prompt_letters(prompt), _letters(response) if given is None else given
     if not asked or not given:
         return given, 0.0
     if 2 * sum(map(frozenset(asked).__contains__, given)) < len(given):
@@ -191,8 +196,8 @@ def uncovered(prompt: str, response: str) -> tuple[str, float]:
     return re.sub(r"\n+", "\n", rest).strip("\n"), sum(inside) / len(given)
 
 
-def is_copy(prompt: str, response: str) -> bool:
-    rest, share = uncovered(prompt, response)
+def is_copy(prompt: str, response: str, given: str | None = None) -> bool:
+    rest, share = uncovered(prompt, response, given)
     if share < 0.5:
         return False
     left = [part for part in rest.split("\n") if part and not _INTRODUCTION.fullmatch(part)]
@@ -200,6 +205,8 @@ def is_copy(prompt: str, response: str) -> bool:
 
 
 def is_refusal(text: str) -> bool:
+    if not _has(_UNABLE, text.lower()):
+        return False
     refused = other = 0
     for sentence in _SENTENCE.findall(text):
         low = sentence.lower()
@@ -248,7 +255,8 @@ def languages(text: str) -> frozenset[str]:
         return frozenset(["ja"])
     if hangul >= 4 and hangul >= wide:
         return frozenset(["ko"])
-    words = [w.lower() for w in _WORD.findall(text) if w[0] < "ɐ" or "Ḁ" <= w[0] <= "ỿ"] if counts["latin"] else []
+    few = 2 * counts["latin"] <= wide and wide >= 4  # words of so few letters cannot outvote the ideographs
+    words = [w.lower() for w in _WORD.findall(text) if w[0] < "ɐ" or "Ḁ" <= w[0] <= "ỿ"] if counts["latin"] and not few else []
     votes: dict[str, int] = {}
     for word in words:
         for part in word.replace("’", "'").split("'"):
@@ -256,7 +264,7 @@ def languages(text: str) -> frozenset[str]:
                 votes[lang] = votes.get(lang, 0) + 1
     most = max(votes.values(), default=0)
     latin = len(words) if most >= 2 or len(words) >= 4 and most else 0
-    for script in ("cyrillic", "greek", "armenian", "hebrew", "arabic", "indic", "thai", "lao", "tibetan", "burmese", "georgian", "ethiopic", "khmer"):
+    for script in () if sum(counts.values()) - counts[""] - counts["latin"] - wide < LEAST_LETTERS else ("cyrillic", "greek", "armenian", "hebrew", "arabic", "indic", "thai", "lao", "tibetan", "burmese", "georgian", "ethiopic", "khmer"):
         n = counts[script]
         if n >= LEAST_LETTERS and n > wide and n > 4 * latin:
             return frozenset(["ru" if script == "cyrillic" else script])
@@ -344,11 +352,12 @@ def defect(prompt: str | None, response: str | None) -> str | None:
     if response is None:
         return "empty"
     text = proper(response)
-    if _letters(text) in PLACEHOLDERS:
+    letters = _letters(text)
+    if letters in PLACEHOLDERS:
         return "empty"
     prompt = prompt or ""
     core = _opened(text)
-    if prompt and (is_copy(prompt, text) or core and core != text and is_copy(prompt, core)):
+    if prompt and (is_copy(prompt, text, letters) or core and core != text and is_copy(prompt, core)):
         return "copied_question"
     if is_refusal(text):
         return "refusal"
