@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumflow.session import broadcast_checked, cut
+from vellumflow.session import broadcast_checked, cut, only
 
 from . import bm25, fusion, models, queryparse, vector
 from .matching import related_names
@@ -34,8 +34,11 @@ def word_recall(index: bm25.Bm25Index, parsed: DataFrame, k: int = WORD_K, overf
 
 def post_filter(ranked: DataFrame, parsed: DataFrame, meta: DataFrame, allowed: DataFrame, id_col: str, name_col: str, category_col: str) -> DataFrame:
     """Filter above the limit: rows of allowed names and of the wanted category; ranks are
-    renumbered, the list is not filled up again."""
-    rows = ranked.join(meta.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"), F.col(category_col).alias("category")), "id", "left")
+    renumbered, the list is not filled up again. The lists are written, and only the documents
+    in them are looked at further."""
+    ranked = cut(ranked)
+    known = only(meta.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"), F.col(category_col).alias("category")), ranked, "id")
+    rows = ranked.join(known, "id", "left")
     asked = parsed.select("qid", F.col("name_filter").isNotNull().alias("filtered"), F.col("category").alias("wanted"))
     rows = rows.join(asked, "qid").join(allowed.withColumn("ok", F.lit(True)), ["qid", "name"], "left")
     kept = rows.filter((~F.col("filtered") | F.coalesce("ok", F.lit(False))) & queryparse.category_matches(F.coalesce("category", F.lit("")), F.col("wanted")))
@@ -100,8 +103,8 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None
         table = vectors if {"name", "category"} <= set(vectors.columns) else vectors.join(meta.select("id", "name", "category"), "id")
     asked = cut(parsed.select("qid", embed(F.col("query")).alias("embedding")))
     near = filtered_vector_recall(table, asked, parsed, allowed)
-    fused = fusion.fuse({"vector": near, "bm25": words})
-    enriched = fused.join(meta, "id", "left").join(parsed.select("qid", "query"), "qid")
+    fused = cut(fusion.fuse({"vector": near, "bm25": words}))
+    enriched = fused.join(only(meta, fused, "id"), "id", "left").join(parsed.select("qid", "query"), "qid")
     if not enable_reranker:
         return enriched.filter(F.col("rank") <= k).withColumn("score", F.col("rrf_score")).drop("query")
     return rerank(enriched, k).drop("query")

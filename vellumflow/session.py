@@ -68,6 +68,12 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return df
 
 
+def only(df: DataFrame, few: DataFrame, key: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of ``df`` whose key stands in ``few``, without a shuffle of ``df`` where the keys
+    may be broadcast. ``few`` is counted, so it should be written or cheap."""
+    return df.join(broadcast_checked(few.select(key).distinct(), max_rows), key, "left_semi")
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
