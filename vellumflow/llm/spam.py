@@ -145,7 +145,11 @@ def _repeats(codes: np.ndarray) -> tuple[int, int]:
     return n, n - len(np.unique(four))
 
 
-_LISTS = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
+#: The languages of a stop word.
+_VOTES: dict[str, tuple[str, ...]] = {}
+for _lang, _words in FUNCTION_WORDS.items():
+    for _word in _words.split():
+        _VOTES[_word] = (*_VOTES.get(_word, ()), _lang)
 #: Scripts that are told by the first letter of a word, each with its first and last letter.
 SCRIPTS = (("greek", "Ͱ", "Ͽ"), ("cyrillic", "Ѐ", "ԯ"), ("hebrew", "֐", "׿"), ("arabic", "؀", "ۿ"), ("devanagari", "ऀ", "ॿ"), ("thai", "฀", "๿"), ("kana", "぀", "ヿ"), ("hangul", "가", "힣"))
 
@@ -154,7 +158,10 @@ def language(low: Counter) -> str:
     """Vote of the stop words among all words of a page, else its commonest script."""
     if not low:
         return "other"
-    votes = {lang: sum(low[w] for w in words) for lang, words in _LISTS.items()}
+    votes = dict.fromkeys(FUNCTION_WORDS, 0)
+    for word in _VOTES.keys() & low.keys():
+        for lang in _VOTES[word]:
+            votes[lang] += low[word]
     best = max(votes, key=votes.get)
     if votes[best]:
         return best
