@@ -3,7 +3,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from vellumflow.session import broadcast_checked, checkpoint_dir, cut, latest
+from vellumflow.session import broadcast_checked, checkpoint_dir, cut, latest, only
 from vellumflow.sources import blocks, stores
 from vellumflow.streaming import sessions as streams
 
@@ -96,3 +96,28 @@ def test_word_files_from_any_file_system(spark, tmp_path):
     got = blocks.word_blocks(spark, f"file://{tmp_path}").orderBy("block_idx").collect()
     assert [(r["doc_id"], r["kind"], r["text"]) for r in got] == [("b.docx", "para", "人参"), ("b.docx", "table", None), ("b.docx", "para", "正文")]
     assert got[1]["cells"] == [["a", "b"], ["1\n2"]]
+
+
+def test_chunk_table(spark, tmp_path):
+    try:
+        for buckets in (0, 4):
+            name = f"vellum_chunks_{buckets}"
+            stores.create_chunk_table(spark, name, buckets=buckets)
+            stores.create_chunk_table(spark, name, buckets=buckets)  # there already
+            spark.createDataFrame([("c1", "人参")], "chunk_id string, drug_name string").selectExpr("chunk_id", "'t' content", "drug_name", "'' pinyin_name", "'' latin_name", "'' category", "'' section", "'' chunk_type", "false is_yinpian", "false is_sub_formulation", "'' parent_drug", "'' table_markdown", "1 char_count").write.insertInto(name)
+            assert [r["drug_name"] for r in spark.table(name).collect()] == ["人参"]
+    finally:
+        for buckets in (0, 4):
+            spark.sql(f"DROP TABLE IF EXISTS vellum_chunks_{buckets}")
+
+
+def test_only_keeps_rows_of_few_keys(spark):
+    df, few = spark.range(10), spark.createDataFrame([(3,), (3,), (20,), (None,)], "id bigint")
+    for bound in (0, 100):
+        assert [r["id"] for r in only(df, few, "id", bound).collect()] == [3]
+
+
+def test_vectors_are_read_back(spark, tmp_path):
+    v = spark.createDataFrame([(1, [0.5])], "id int, embedding array<float>")
+    stores.write_vectors(v, str(tmp_path / "v"))
+    assert stores.read_vectors(spark, str(tmp_path / "v")).collect() == v.collect()

@@ -109,7 +109,14 @@ def parse13_stats(spark, folder):
     return names.filter("name IS NOT NULL").orderBy(F.col("n").desc(), "name").limit(15)
 
 
-QUERIES = {f.__name__: f for f in (s01_block_scan, s02_block_index, s03_table_markdown, parse01_predicates, parse04_lookahead, parse05_boundary, parse06_segments, parse07_parent_propagation, parse08_sections, parse09_name_slots, parse11_tables, parse12_category, parse13_stats)}
+def parse14_entries(spark, folder):
+    """The whole parse of the documents."""
+    found = segment.parse_entries(block_stream(spark, folder))
+    held = F.transform("sections", lambda x: F.concat_ws("|", x["section_name"], x["content"], F.coalesce(x["table_markdown"], F.lit(""))))
+    return found.select("doc_id", "entry_no", "drug_name", "parent_drug", "pinyin_name", "latin_name", "intro_text", "category_hint", "para_start", "para_end", F.size("sections").alias("n_sections"), F.md5(F.array_join(held, "#")).alias("sections"))
+
+
+QUERIES = {f.__name__: f for f in (s01_block_scan, s02_block_index, s03_table_markdown, parse01_predicates, parse04_lookahead, parse05_boundary, parse06_segments, parse07_parent_propagation, parse08_sections, parse09_name_slots, parse11_tables, parse12_category, parse13_stats, parse14_entries)}
 
 _T = strip_sql("text")
 _LATIN_CLASS = "[A-Za-z\\-" + SPACE[1:]
@@ -172,3 +179,13 @@ SELECT doc_id, coalesce(n[1], '') AS pinyin_name, coalesce(n[2], '') AS latin_na
     "parse12_category": "SELECT entry_id, CASE WHEN is_yinpian THEN '药材和饮片' WHEN list_has_any(n, ['处方', '规格']) THEN '成方制剂和单味制剂' WHEN list_has_any(n, ['来源', '性味与归经']) THEN '药材和饮片' WHEN regexp_matches(drug_name, '流浸膏|浸膏|提取物') THEN '植物油脂和提取物' WHEN is_sub_formulation THEN '成方制剂和单味制剂' ELSE '药材和饮片' END AS category FROM (SELECT *, list_transform(sections, lambda s: s.section_name) AS n FROM drug_entries)",
     "parse13_stats": "SELECT s.section_name AS name, count(*) AS n, count(*) FILTER (coalesce(s.table_markdown, '') <> '') AS n_tables FROM (SELECT unnest(sections) AS s FROM drug_entries) WHERE s.section_name IS NOT NULL GROUP BY 1 ORDER BY n DESC, name LIMIT 15",
 }
+_MARK_PATTERN = "'^[【〔](.+?)[】〕]'"
+SQL["parse14_entries"] = f"""WITH e0 AS ({_ENTRIES}), m AS (SELECT *, coalesce(kind = 'para' AND bound = '' AND regexp_matches({_T}, {_MARK_PATTERN}), false) AS mark, {_T} AS t FROM e0),
+n AS (SELECT doc_id, entry_no, block_idx, kind, bound, entry_name, parent, entry_kind, sum(mark::INT) OVER w AS section_no, last_value(CASE WHEN mark THEN regexp_extract(t, {_MARK_PATTERN}, 1) END IGNORE NULLS) OVER w AS section_name, CASE WHEN mark THEN {strip_sql(f"regexp_replace(t, {_MARK_PATTERN}, '')")} ELSE t END AS line
+FROM m WINDOW w AS (PARTITION BY doc_id, entry_no ORDER BY block_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+se AS (SELECT doc_id, entry_no, section_no, max(section_name) AS name, coalesce(string_agg(line, chr(10) ORDER BY block_idx) FILTER (kind = 'para' AND line <> ''), '') AS content, coalesce(string_agg(line, chr(10) || chr(10) ORDER BY block_idx) FILTER (kind = 'table'), '') AS tab FROM n WHERE section_no > 0 GROUP BY ALL),
+ss AS (SELECT doc_id, entry_no, count(*) AS c, list(name) AS names, string_agg(name || '|' || content || '|' || tab, '#' ORDER BY section_no) AS held FROM se GROUP BY ALL),
+io AS (SELECT doc_id, entry_no, string_agg(line, chr(10) ORDER BY block_idx) AS intro FROM n WHERE section_no = 0 AND bound = '' AND kind = 'para' AND line <> '' GROUP BY ALL),
+he AS (SELECT doc_id, entry_no, max(entry_name) AS drug_name, max(parent) AS parent_drug, max(entry_kind) AS k, min(block_idx) AS para_start, max(block_idx) AS para_end FROM n GROUP BY ALL)
+SELECT he.doc_id, he.entry_no::BIGINT AS entry_no, drug_name, parent_drug, '' AS pinyin_name, '' AS latin_name, coalesce(intro, '') AS intro_text, CASE WHEN k = 'slice' THEN '药材和饮片' WHEN list_has_any(coalesce(names, []), ['处方', '规格']) THEN '成方制剂和单味制剂' WHEN list_has_any(coalesce(names, []), ['来源', '性味与归经']) THEN '药材和饮片' WHEN regexp_matches(drug_name, '流浸膏|浸膏|提取物') THEN '植物油脂和提取物' WHEN k = 'sub' THEN '成方制剂和单味制剂' ELSE '药材和饮片' END AS category_hint,
+para_start, para_end, coalesce(c, 0)::INT AS n_sections, md5(coalesce(held, '')) AS sections FROM he LEFT JOIN ss USING (doc_id, entry_no) LEFT JOIN io USING (doc_id, entry_no)"""
