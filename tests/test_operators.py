@@ -337,6 +337,46 @@ def test_many_query_terms_give_the_same_hits(spark):
     assert few == many and len(few) == 20
 
 
+def test_index_of_a_text_counts_its_mixed_tokens(spark):
+    texts = ["人参 性状ab人a参3人参", "人", "", None, "一鿿。丁", "a\nb人\n参", "x😀人😀参黄", "AB12人参人参人参", "é人ａ１"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    slow, fast = bm25.build(docs, tokens.mixed_tokens(F.col("t"))), bm25.build_mixed(docs, "t")
+    assert sorted(slow.postings.collect()) == sorted(fast.postings.collect()) and slow.stats.first() == fast.stats.first()
+
+
+def test_pruned_search_gives_the_lists_of_a_whole_one(spark, monkeypatch):
+    import math
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(bm25, "LEAST_POSTINGS", 300)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [[rng.choice(words[: rng.choice((2, 8, 60))]) for _ in range(rng.randrange(40))] for _ in range(400)]
+    asked = [rng.sample(words, rng.randrange(1, 6)) for _ in range(60)]
+    asked += [asked[0], asked[0] * 2, ["w0"], ["w0", "none"]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id bigint, t string")
+    terms = spark.createDataFrame([(q, t) for q, a in enumerate(asked) for t in a], "qid bigint, term string")
+    index = bm25.build(docs, F.filter(F.split("t", " "), lambda x: x != ""))
+    lists, members = bm25.search_groups(index, terms, 7)
+    assert members.count() == len(asked) and members.select("gid").distinct().count() < len(asked) - 1
+    got = {}
+    for r in members.join(lists, "gid").collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["id"], round(r["score"], 6)))
+
+    df = Counter(t for x in texts for t in set(x))
+    raw = {t: math.log(len(texts) - n + 0.5) - math.log(n + 0.5) for t, n in df.items()}
+    floor, mean = sum(raw.values()) / len(raw) * bm25.EPSILON, sum(map(len, texts)) / len(texts)
+    for q, a in enumerate(asked):
+        score = {}
+        for d, x in enumerate(texts):
+            for t in a:
+                if n := x.count(t):
+                    score[d] = score.get(d, 0) + (floor if raw[t] < 0 else raw[t]) * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * len(x) / mean))
+        best = sorted((-round(s, 9), d) for d, s in score.items())[:7]
+        assert sorted(got.get(q, [])) == [(i + 1, d, round(-s, 6)) for i, (s, d) in enumerate(best) if s < 0], q
+
+
 def test_answer_questions(spark):
     from vellumflow.operators import pipeline
 

@@ -93,7 +93,7 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None
     if not enable_filter:
         parsed = parsed.withColumn("name_filter", F.lit(None).cast("array<string>")).withColumn("category", F.lit(None).cast("string"))
     allowed = cut(allowed_names(parsed, names, name_col))
-    index = bm25.build(docs, mixed_tokens(F.col(text_col)), id_col)
+    index = bm25.build_mixed(docs, text_col, id_col)
     words = post_filter(word_recall(index, parsed), parsed, docs, allowed, id_col, name_col, category_col)
     meta = docs.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"), F.col(section_col).alias("section"), F.col(category_col).alias("category"), F.col(text_col).alias("content"))
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,31 @@ def mixed_tokens(text: Column) -> Column:
     return F.concat(latin_tokens(text), F.regexp_extract_all(text, F.lit(_GRAM), F.lit(1)))
 
 
+def mixed_counts(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """``row, term, count`` of the distinct ``mixed_tokens`` of every text, and the number of
+    tokens of every text, over all characters of a batch at once."""
+    rows = [t or "" for t in texts.to_pylist()]
+    whole = "\n".join(rows) + "\n"
+    code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(rows)), [len(t) + 1 for t in rows])
+    ideograph = (code >= 0x4E00) & (code <= 0x9FFF)
+    two = np.flatnonzero(ideograph[:-1] & ideograph[1:])
+    beside = np.append(False, ideograph[:-1]) | np.append(ideograph[1:], False)
+    lone = np.flatnonzero(ideograph & ~beside)
+    latin = ((code >= 48) & (code <= 57)) | ((code >= 65) & (code <= 90)) | ((code >= 97) & (code <= 122))
+    edge = np.flatnonzero(np.diff(latin.astype(np.int8), prepend=0))
+    first, end = edge[::2], edge[1::2]
+    words = pa.array([whole[a:b] for a, b in zip(first.tolist(), end.tolist())], pa.string()).dictionary_encode()
+    # a pair is below 2^32, a lone ideograph below 2^16, words are numbered from 2^32
+    keys = np.concatenate([code[two] << 16 | code[two + 1], code[lone], words.indices.to_numpy().astype(np.int64) + (1 << 32)])
+    at = np.concatenate([row[two], row[lone], row[first]])
+    found, times = np.unique(at << 34 | keys, return_counts=True)
+    kinds, kind = np.unique(found & ((1 << 34) - 1), return_inverse=True)
+    listed = words.dictionary.to_pylist()
+    names = pa.array([listed[k - (1 << 32)] if k >> 32 else (chr(k >> 16) if k >> 16 else "") + chr(k & 0xFFFF) for k in kinds.tolist()], pa.string())
+    return found >> 34, names.take(pa.array(kind)), times, np.bincount(at, minlength=len(rows))
+
+
 class LongestMatch:
     """Segmentation by the longest entry of a lexicon; an ideograph outside is a token."""
 

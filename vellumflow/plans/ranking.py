@@ -39,15 +39,15 @@ def b02_lexicon_tokens(spark, folder):
 
 
 def b03_bm25_build(spark, folder):
-    return bm25.build(_docs(spark, folder), tokens.mixed_tokens(F.col("content")), "chunk_seq").terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25.build_mixed(_docs(spark, folder), "content", "chunk_seq").terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def b05_count(spark, folder):
-    return bm25.build(_docs(spark, folder), tokens.mixed_tokens(F.col("content")), "chunk_seq").counts()
+    return bm25.build_mixed(_docs(spark, folder), "content", "chunk_seq").counts()
 
 
 def _bm25(spark, folder):
-    index = bm25.build(_docs(spark, folder), tokens.mixed_tokens(F.col("content")), "chunk_seq")
+    index = bm25.build_mixed(_docs(spark, folder), "content", "chunk_seq")
     terms = _asked(spark, folder).select("qid", F.explode(tokens.mixed_tokens(F.col("query"))).alias("term"))
     return bm25.search(index, terms, 60)
 
@@ -187,7 +187,7 @@ def r02_expand_filter(spark, folder):
 
 def r05_overfetch(spark, folder):
     """Lengths of the word lists: four times as long where the question has a name."""
-    index = bm25.build(_docs(spark, folder), tokens.mixed_tokens(F.col("content")), "chunk_seq")
+    index = bm25.build_mixed(_docs(spark, folder), "content", "chunk_seq")
     parsed = queryparse.parse(_asked(spark, folder), _names(spark, folder), "drug_name")
     return retrieve.word_recall(index, parsed).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last"))
 

@@ -31,7 +31,7 @@ def s05_chunks_store(spark, folder):
 def s06_index_store(spark, folder):
     """A saved and loaded index answers as a fresh one does."""
     path = shared_path(spark)
-    bm25.build(_docs(spark, folder), tokens.mixed_tokens(F.col("content")), "chunk_seq").save(path)
+    bm25.build_mixed(_docs(spark, folder), "content", "chunk_seq").save(path)
     terms = _asked(spark, folder).select("qid", F.explode(tokens.mixed_tokens(F.col("query"))).alias("term"))
     return bm25.search(bm25.Bm25Index.load(spark, path), terms, 5).select("qid", "id", "rank")
 

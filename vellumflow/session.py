@@ -60,6 +60,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: like ``cut``, but in compressed
+    columns, for what is large. A local folder is removed at the end; on a cluster it is left."""
+    path = shared_path(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count shows at most ``max_rows`` rows, else ``df``
     as it is, so that the join shuffles. The count stops at the bound."""
