@@ -391,6 +391,47 @@ def test_answer_questions(spark):
     assert pipeline.answer_questions(asked.filter("false"), docs).count() == 0
 
 
+def test_filtered_lists_and_once_searched_texts(spark):
+    """Many queries of few texts: the lists of words are filtered as after the search, and the
+    answers of equal questions are equal."""
+    from vellumflow.operators import pipeline
+
+    docs = spark.createDataFrame([(i, ("人参", "黄连", "红参")[i % 3], "性状", "药材和饮片", "人参断面" * (i % 5) + f"黄连色{i}") for i in range(60)], "chunk_seq bigint, drug_name string, section string, category string, content string")
+    asked = spark.createDataFrame([(q, f"{('人参', '黄连', '人参黄连', '')[q % 4]}的断面") for q in range(12)], "qid bigint, query string")
+    names = docs.select("drug_name").distinct()
+    parsed = queryparse.parse(asked, names, "drug_name").cache()
+    allowed = retrieve.allowed_names(parsed, names, "drug_name").cache()
+    index = bm25.build_mixed(docs, "content", "chunk_seq")
+    by = [parsed, docs, allowed, "chunk_seq", "drug_name", "category"]
+    slow = retrieve.post_filter(retrieve.word_recall(index, parsed, 5, 2), *by)
+    fast = retrieve.filtered_word_recall(index, *by, 5, 2)
+    key = lambda df: sorted((r["qid"], r["id"], r["rank"]) for r in df.collect())
+    assert key(slow) == key(fast) and fast.count() > 30
+    turns = asked.select("qid", F.lit(None).cast("string").alias("conv_id"), F.col("qid").alias("turn"), F.col("query").alias("text"))
+    got = {r["qid"]: r for r in pipeline.answer_questions(turns, docs).collect()}
+    assert len(got) == 12 and all(got[q]["answer"] == got[q % 4]["answer"] and got[q]["n_sources"] > 0 for q in got)
+
+
+def test_many_queries_are_searched_without_a_copy_of_the_vectors(spark, monkeypatch):
+    """More queries than one old block: no shards, each query's list is the exact one."""
+    import numpy as np
+
+    monkeypatch.setattr(vector, "_sharded_top", None)
+    rng = np.random.default_rng(5)
+    v, q = rng.normal(size=(300, 4)).round(1), rng.normal(size=(5_000, 4)).round(1)
+    names = [f"n{i % 7}" for i in range(300)]
+    stored = spark.createDataFrame([(i, x.tolist(), n) for i, (x, n) in enumerate(zip(v, names))], "id bigint, embedding array<float>, name string")
+    lets = [None if i % 2 else [f"n{i % 5}", "n6"] for i in range(5_000)]
+    asked = spark.createDataFrame([(i, x.tolist(), n) for i, (x, n) in enumerate(zip(q, lets))], "qid bigint, embedding array<float>, names array<string>")
+    got = {}
+    for r in vector.top_k(stored, asked, 5, within={"name": "names"}).collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["id"]))
+    scores = np.round(q.astype(np.float32).astype(float) @ v.astype(np.float32).astype(float).T, 9)
+    for i in range(5_000):
+        open_ = [j for j in range(300) if lets[i] is None or names[j] in lets[i]]
+        assert [j for _, j in sorted(got[i])] == sorted(open_, key=lambda j: (-scores[i, j], j))[:5], i
+
+
 def test_session_table(spark):
     s = spark.createDataFrame([("a", 1), ("b", 2)], "session_id string, n int")
     asked = spark.createDataFrame([("a",), ("z",), ("a",)], "session_id string")

@@ -27,7 +27,7 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Parts into which the postings of a term are cut where terms are too many to be broadcast.
 SALTS = 16
 #: Postings of a shard; least postings for which another of the first shards is made, and how many those are.
-SHARD_POSTINGS, LEAST_POSTINGS, FIRST_SHARDS = 1_500_000, 50_000, 12
+SHARD_POSTINGS, LEAST_POSTINGS, FIRST_SHARDS = 3_000_000, 50_000, 6
 #: Query terms of a block, which a shard meets at once.
 BLOCK_TERMS = 4_000_000
 #: Steps of the histograms of weights to 1, a power of 2; slack for the order of sums.
@@ -146,7 +146,7 @@ def search_groups(index: Bm25Index, query_terms: DataFrame, k: int = 15, k1: flo
     def run(places: pa.Table, queries: pa.Table) -> pa.Table:
         return _shard_top(places, queries, k, k1, b, avgdl)
 
-    keys, parts = ["_shard", "_block"], 2 * shards * blocks + 1  # by number, or small shards are put into one task
+    keys, parts = ["_shard", "_block"], 4 * shards * blocks + 1  # by number, or small shards are put into one task
     found = places.repartition(parts, *keys).groupBy(*keys).cogroup(queries.repartition(parts, *keys).groupBy(*keys)).applyInArrow(run, kinds)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("gid").orderBy(F.round("score", 9).desc(), "id")))
     return stored(ranked.filter(F.col("rank") <= k)), bags.select("qid", "gid")

@@ -70,14 +70,41 @@ def rerank_score(query: Column, text: Column, factory: Callable[[], Rank] = over
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = factory()
         for q, t in batches:
-            scores = pd.Series(0.0, index=q.index)
-            for query_text, rows in t.groupby(q.fillna("")).groups.items():
-                scores.loc[rows] = model(query_text, [x or "" for x in t.loc[rows]])
-            yield scores
+            texts, scores, by = t.tolist(), np.zeros(len(q)), {}
+            for i, query_text in enumerate(q.fillna("").tolist()):
+                by.setdefault(query_text, []).append(i)
+            for query_text, rows in by.items():  # in lists: a batch may hold a query for every row
+                scores[rows] = model(query_text, [texts[i] or "" for i in rows])
+            yield pd.Series(scores, index=q.index)
 
     return run(query, F.substring(text, 1, longest))
 
 
+def _reply(model: Chat, prompt: str, attempts: int, wait: float) -> tuple[str, str | None]:
+    error = None
+    for no in range(attempts):
+        try:
+            return model(prompt), None
+        except Exception as e:  # noqa: BLE001
+            error = str(e)
+            if no + 1 < attempts:
+                time.sleep(wait * 2**no)
+    return "[ERROR]", error
+
+
+def said(prompt: Column, factory: Callable[[], Chat] = echo_chat, attempts: int = 3, wait: float = 2.0) -> Column:
+    """``struct<answer, error>`` of a prompt as ``generate`` gives them, beside the other columns
+    of a row; a NULL prompt is not sent and gives NULLs."""
+
+    @F.pandas_udf("answer string, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = factory()
+        for prompts in batches:
+            yield pd.DataFrame([(None, None) if p is None else _reply(model, p, attempts, wait) for p in prompts], columns=["answer", "error"], dtype=object)
+
+    return run.asNondeterministic()(prompt)  # so that no plan calls a model twice
+
+
 def generate(prompts: DataFrame, key: str, prompt_col: str, factory: Callable[[], Chat] = echo_chat, attempts: int = 3, wait: float = 2.0) -> DataFrame:
     """``key, answer, error``: one call per prompt, tried ``attempts`` times with doubled
     waits; a call that fails for good gives ``[ERROR]`` and its message, not a failed job."""
@@ -86,20 +113,8 @@ def generate(prompts: DataFrame, key: str, prompt_col: str, factory: Callable[[]
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
         for pdf in batches:
-            answers, errors = [], []
-            for prompt in pdf["prompt"]:
-                answer, error = "[ERROR]", None
-                for no in range(attempts):
-                    try:
-                        answer, error = model(prompt or ""), None
-                        break
-                    except Exception as e:  # noqa: BLE001
-                        error = str(e)
-                        if no + 1 < attempts:
-                            time.sleep(wait * 2**no)
-                answers.append(answer)
-                errors.append(error)
-            yield pd.DataFrame({"key": pdf["key"], "answer": answers, "error": errors})
+            replies = [_reply(model, prompt or "", attempts, wait) for prompt in pdf["prompt"]]
+            yield pd.DataFrame({"key": pdf["key"], "answer": [a for a, _ in replies], "error": [e for _, e in replies]})
 
     found = prompts.select(F.col(key).alias("key"), F.col(prompt_col).alias("prompt")).mapInPandas(run, f"key {kind}, answer string, error string")
     return found.withColumnRenamed("key", key)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumflow.session import broadcast_checked, cut, only
+from vellumflow.session import broadcast_checked, cut, only, stored
 
 from . import bm25, fusion, models, queryparse, vector
 from .matching import related_names
@@ -45,6 +45,20 @@ def post_filter(ranked: DataFrame, parsed: DataFrame, meta: DataFrame, allowed:
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "id"))).select("qid", "id", "score", "rank")
 
 
+def filtered_word_recall(index: bm25.Bm25Index, parsed: DataFrame, meta: DataFrame, allowed: DataFrame, id_col: str, name_col: str, category_col: str, k: int = WORD_K, overfetch: int = OVERFETCH) -> DataFrame:
+    """``post_filter`` of ``word_recall``, with the lists of queries of the same terms filtered
+    before they are copied to the queries: a query with names meets them by list and name."""
+    lists, members = bm25.search_groups(index, parsed.select("qid", F.explode(mixed_tokens(F.col("query"))).alias("term")), k * overfetch)
+    known = only(meta.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"), F.col(category_col).alias("category")), lists, "id")
+    listed = lists.join(known, "id", "left")
+    asked = members.join(parsed.select("qid", F.when(F.size("names") > 0, k * overfetch).otherwise(k).alias("_k"), F.col("name_filter").isNotNull().alias("filtered"), F.col("category").alias("wanted")), "qid")
+    named = asked.filter("filtered").join(allowed, "qid").join(listed, ["gid", "name"])
+    others = asked.filter("NOT filtered").join(listed, "gid")
+    columns = ["qid", "id", "score", "rank", "_k", "category", "wanted"]
+    kept = named.select(*columns).unionByName(others.select(*columns)).filter((F.col("rank") <= F.col("_k")) & queryparse.category_matches(F.coalesce("category", F.lit("")), F.col("wanted")))
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "id"))).select("qid", "id", "score", "rank")
+
+
 def rerank(candidates: DataFrame, k: int = RERANK_K, factory: Callable | None = None) -> DataFrame:
     """``score, rank`` by the model over ``query, content``; ties keep the earlier order."""
     score = models.rerank_score(F.col("query"), F.col("content"), factory or models.overlap_ranker)
@@ -94,7 +108,7 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None
         parsed = parsed.withColumn("name_filter", F.lit(None).cast("array<string>")).withColumn("category", F.lit(None).cast("string"))
     allowed = cut(allowed_names(parsed, names, name_col))
     index = bm25.build_mixed(docs, text_col, id_col)
-    words = post_filter(word_recall(index, parsed), parsed, docs, allowed, id_col, name_col, category_col)
+    words = filtered_word_recall(index, parsed, docs, allowed, id_col, name_col, category_col)
     meta = docs.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"), F.col(section_col).alias("section"), F.col(category_col).alias("category"), F.col(text_col).alias("content"))
 
     if vectors is None:
@@ -103,11 +117,15 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None
         table = vectors if {"name", "category"} <= set(vectors.columns) else vectors.join(meta.select("id", "name", "category"), "id")
     asked = cut(parsed.select("qid", embed(F.col("query")).alias("embedding")))
     near = filtered_vector_recall(table, asked, parsed, allowed)
-    fused = cut(fusion.fuse({"vector": near, "bm25": words}))
-    enriched = fused.join(only(meta, fused, "id"), "id", "left").join(parsed.select("qid", "query"), "qid")
+    fused = stored(fusion.fuse({"vector": near, "bm25": words}))
     if not enable_reranker:
-        return enriched.filter(F.col("rank") <= k).withColumn("score", F.col("rrf_score")).drop("query")
-    return rerank(enriched, k).drop("query")
+        first = fused.filter(F.col("rank") <= k)
+        return first.join(only(meta, first, "id"), "id", "left").withColumn("score", F.col("rrf_score"))
+    asked_by = fused.join(parsed.select("qid", "query"), "qid")
+    candidates = asked_by.join(only(meta.select("id", "content"), fused, "id"), "id", "left")
+    # the contents are scored where they meet the questions; only those of the last lists are moved on
+    best = stored(rerank(candidates, k).select("qid", "id", "rrf_score", "sources", "score", "rank"))
+    return best.join(only(meta, best, "id"), "id", "left")
 
 
 def contexts(results: DataFrame) -> DataFrame:

@@ -18,9 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Query vectors, and values allowed by their filters, that are sent to the workers at once.
-QUERY_BLOCK, BLOCK_VALUES = 4_096, 1_000_000
+QUERY_BLOCK, BLOCK_VALUES = 150_000, 4_000_000
+#: Numbers of query vectors that are sent at once; queries above which a task for each core is enough.
+BLOCK_NUMBERS, MANY = 32_000_000, 4_096
 #: Vectors of a shard, and of one matrix product.
 SHARD_ROWS, SLICE = 50_000, 1_024
+#: Queries of one matrix product.
+ROWS = 2_048
 
 
 def normalise(vector: Column) -> Column:
@@ -48,8 +52,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 15, id_col: str = "id
     asked = queries.select("qid", "embedding", *[F.col(c).alias(f"_q{i}") for i, c in enumerate(within.values())]).filter("embedding IS NOT NULL")
     kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, id {source.schema['id'].dataType.simpleString()}, score double"
     values = sum((F.coalesce(F.greatest(F.size(f"_q{i}"), F.lit(0)), F.lit(0)) for i in range(len(within))), F.lit(0))
-    n, n_values = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(values), F.lit(0))).first()
-    if n <= block and n_values <= BLOCK_VALUES:
+    free = F.lit(True)
+    for i in range(len(within)):
+        free = free & F.col(f"_q{i}").isNull()
+    n, n_free, n_values, wide = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(free.cast("int")), F.lit(0)), F.coalesce(F.sum(values), F.lit(0)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    block = max(1, min(block, BLOCK_NUMBERS // max(wide, 1)))
+    if n_free <= block and n * wide <= BLOCK_NUMBERS and n_values <= BLOCK_VALUES:
+        if n > MANY:  # every task returns k rows a query
+            source = source.coalesce(source.sparkSession.sparkContext.defaultParallelism)
         found = _broadcast_top(source, asked, k, len(within), kinds)
     else:
         found = _sharded_top(source, asked, k, len(within), kinds, -(-max(n, n_values * block // BLOCK_VALUES) // block))
@@ -90,69 +100,93 @@ class BlockTop:
     def __init__(self, queries: pa.Table, k: int, filters: int):
         self.k, self.qids = k, queries.column("qid").combine_chunks()
         flat = queries.column("embedding").combine_chunks()
-        flat = pc.list_flatten(flat).to_numpy(zero_copy_only=False).astype(np.float64)
+        flat = pc.list_flatten(flat).to_numpy(zero_copy_only=False)
         self.matrix = flat.reshape(len(self.qids), -1) if len(self.qids) else np.zeros((0, 0))
+        self.norm = np.sqrt(np.einsum("ij,ij->i", self.matrix, self.matrix, dtype=np.float64))
         self.floor = np.full(len(self.qids), -np.inf)  # the k-th best score of each query
-        self.filters = [self._filter(queries.column(f"_q{i}").to_pylist()) for i in range(filters)]
+        self.allowed = [queries.column(f"_q{i}").to_pylist() for i in range(filters)]
+        self.free = np.arange(len(self.qids))  # queries without a filter
+        self.holders: list[dict] = []  # for each value of a filter, the queries that allow it and have no filter before
+        for allowed in self.allowed:
+            found: dict = {}
+            bound = np.array([allowed[q] is not None for q in self.free.tolist()], dtype=bool)
+            for q in self.free[bound].tolist():
+                for value in set(allowed[q]):
+                    found.setdefault(value, []).append(q)
+            self.holders.append({value: np.array(qs) for value, qs in found.items()})
+            self.free = self.free[~bound]
+        self.allowed = [[None if a is None else frozenset(a) for a in allowed] for allowed in self.allowed[1:]]
         self.held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
-        self.n_held = 0
+        self.n_held = self.n_last = 0
         self.id_type: pa.DataType | None = None
 
-    @staticmethod
-    def _filter(allowed: list[list | None]) -> tuple[np.ndarray, dict]:
-        """Queries that allow all values, and for each value the queries that allow it."""
-        holders: dict = {}
-        for q, values in enumerate(allowed):
-            for value in values or ():
-                holders.setdefault(value, []).append(q)
-        return np.array([values is None for values in allowed], dtype=bool), holders
-
-    def _open(self, batch: pa.RecordBatch) -> np.ndarray | None:
-        """Which vectors of a batch each query lets through; None if all do."""
-        out = None
-        for i, (free, holders) in enumerate(self.filters):
-            if free.all():
-                continue
-            coded = batch.column(batch.schema.get_field_index(f"_v{i}")).dictionary_encode()
-            codes = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
-            lets = np.repeat(free[:, None], len(coded.dictionary) + 1, axis=1)
-            for u, value in enumerate(coded.dictionary.to_pylist()):
-                lets[holders.get(value, []), u] = True
-            out = lets[:, codes] if out is None else out & lets[:, codes]
-        return out
-
     def add(self, batch: pa.RecordBatch) -> None:
         self.id_type = batch.schema.field("id").type
-        for first in range(0, len(batch), SLICE) if len(self.qids) else ():
-            part = batch.slice(first, SLICE)
-            flat = part.column(part.schema.get_field_index("embedding")).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            scores = self.matrix @ flat.reshape(len(part), -1).T
-            rounded = np.round(scores, 9)
-            lets = self._open(part)
-            if lets is not None:
-                rounded[~lets] = -np.inf
-            take = min(self.k, len(part))
-            least = -np.partition(-rounded, take - 1, axis=1)[:, take - 1]
-            q, v = np.nonzero((rounded >= np.maximum(least, self.floor)[:, None]) & (rounded > -np.inf))  # ties of the last place stay
-            self.held.append((q, part.column(part.schema.get_field_index("id")).take(pa.array(v)), scores[q, v]))
+        column = lambda part, name: part.column(part.schema.get_field_index(name))
+        for i, holders in enumerate(self.holders if len(batch) else ()):
+            coded = column(batch, f"_v{i}").dictionary_encode()
+            codes = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
+            order = np.argsort(codes, kind="stable")
+            edges = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+            for u, value in enumerate(coded.dictionary.to_pylist()):
+                if value in holders:
+                    self._meet(batch.take(pa.array(order[edges[u] : edges[u + 1]])), holders[value], i + 1)
+        for first in range(0, len(batch), SLICE) if len(self.free) else ():
+            self._meet(batch.slice(first, SLICE), self.free, len(self.holders))
+
+    def _meet(self, part: pa.RecordBatch, queries: np.ndarray, later: int) -> None:
+        """Keep what may be among the best of ``queries``, by products in single precision with
+        room for their error; the scores that are kept are exact. Filters from ``later`` on are
+        tested for what is kept so far, before anything else is left out."""
+        flat = part.column(part.schema.get_field_index("embedding")).flatten().to_numpy(zero_copy_only=False)
+        vectors = flat.reshape(len(part), -1)
+        norm = np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64)).max()
+        ids = part.column(part.schema.get_field_index("id"))
+        exact = not norm * self.norm.max() < 1e30
+        narrow = vectors.astype(np.float64 if exact else np.float32).T
+        for first in range(0, len(queries), ROWS):
+            qs = queries[first : first + ROWS]
+            scores = self.matrix[qs].astype(narrow.dtype) @ narrow
+            for i in range(later, len(self.holders)):
+                values = part.column(part.schema.get_field_index(f"_v{i}")).to_pylist()
+                for n, q in enumerate(qs.tolist()):
+                    if (lets := self.allowed[i - 1][q]) is not None:
+                        scores[n, [value not in lets for value in values]] = -np.inf
+            room = 1e-8 + (vectors.shape[1] + 8) * 1.2e-7 * self.norm[qs] * norm
+            least = self.floor[qs]
+            new = np.flatnonzero(np.isneginf(least)) if len(part) > self.k else ()
+            if len(new):
+                take = -np.partition(-scores[new], self.k - 1, axis=1)[:, self.k - 1]
+                least[new] = take - room[new]
+            q, v = np.divmod(np.flatnonzero(scores >= (least - room)[:, None].astype(scores.dtype)), len(part))
+            if later < len(self.holders) and len(q):
+                open_ = scores[q, v] > -np.inf
+                q, v = q[open_], v[open_]
+            if len(q) == 0:
+                continue
+            q = qs[q]
+            self.held.append((q, ids.take(pa.array(v)), np.einsum("ij,ij->i", self.matrix[q].astype(np.float64), vectors[v].astype(np.float64))))
             self.n_held += len(q)
-            if self.n_held > 4 * self.k * len(self.qids) + 10_000:
-                self._reduce()
+        if self.n_held > self.n_last + self.k * len(self.free) + 1_000_000:
+            self._reduce()
 
     def _reduce(self) -> None:
         if not self.held:
             return
         q, score = np.concatenate([h[0] for h in self.held]), np.concatenate([h[2] for h in self.held])
         ids = pa.chunked_array([h[1] for h in self.held]).combine_chunks()
-        rows = pa.table({"q": q, "s": -np.round(score, 9), "id": ids})
-        order = pc.sort_indices(rows, [("q", "ascending"), ("s", "ascending"), ("id", "ascending")]).to_numpy()
+        if pa.types.is_integer(ids.type) and not ids.null_count:
+            order = np.lexsort((ids.to_numpy(), -np.round(score, 9), q))
+        else:
+            rows = pa.table({"q": q, "s": -np.round(score, 9), "id": ids})
+            order = pc.sort_indices(rows, [("q", "ascending"), ("s", "ascending"), ("id", "ascending")]).to_numpy()
         q, score = q[order], score[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
         kept = place < self.k
         last = place == self.k - 1
         self.floor[q[last]] = np.round(score[last], 9)
         self.held = [(q[kept], ids.take(pa.array(order[kept])), score[kept])]
-        self.n_held = int(kept.sum())
+        self.n_held = self.n_last = int(kept.sum())
 
     def result(self) -> pa.RecordBatch:
         self._reduce()
