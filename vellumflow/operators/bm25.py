@@ -133,7 +133,7 @@ def search_groups(index: Bm25Index, query_terms: DataFrame, k: int = 15, k1: flo
     least = F.max(factor * F.col("low")) + F.sum(F.least(factor, F.lit(0.0)) * (k1 + 1))
     bags = asked.join(terms, "term").groupBy("qid").agg(bag.alias("bag"), least.alias("least"))
     bags = cut(bags.withColumn("gid", F.min("qid").over(Window.partitionBy("bag"))))
-    once = bags.filter("qid = gid").select("gid", F.transform("bag", lambda t: t["slot"]).alias("slots"), F.transform("bag", lambda t: t["factor"]).alias("factors"), "least")
+    once = bags.filter("qid <=> gid").select("gid", F.transform("bag", lambda t: t["slot"]).alias("slots"), F.transform("bag", lambda t: t["factor"]).alias("factors"), "least")
 
     shards = max(1, min(FIRST_SHARDS, n_postings // LEAST_POSTINGS), -(-n_postings // SHARD_POSTINGS))
     n_terms = once.agg(F.coalesce(F.sum(F.size("slots")), F.lit(0))).first()[0]
@@ -159,7 +159,7 @@ def search(index: Bm25Index, query_terms: DataFrame, k: int = 15, k1: float = K1
     as often. Scores of 0 or below are dropped.
     """
     lists, members = search_groups(index, query_terms, k, k1, b, most)
-    return members.join(lists, "gid").select("qid", "id", "score", "rank")
+    return members.withColumnRenamed("gid", "_gid").join(lists, F.col("_gid").eqNullSafe(F.col("gid"))).select("qid", "id", "score", "rank")
 
 
 def _shard_top(places: pa.Table, queries: pa.Table, k: int, k1: float, b: float, avgdl: float) -> pa.Table:

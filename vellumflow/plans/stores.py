@@ -10,7 +10,7 @@ from vellumflow.sources import stores
 from vellumflow.streaming import sessions as streams
 
 from .dialogue import _REPLIES, _replies
-from .ranking import _BM25_CTES, _asked, _docs
+from .ranking import _BM25, _docs
 from .relational import _HITS_AT, _RANKS, _ranks
 
 
@@ -29,10 +29,11 @@ def s05_chunks_store(spark, folder):
 
 
 def s06_index_store(spark, folder):
-    """A saved and loaded index answers as a fresh one does."""
+    """A saved and loaded index answers as a fresh one does, for all questions."""
     path = shared_path(spark)
     bm25.build_mixed(_docs(spark, folder), "content", "chunk_seq").save(path)
-    terms = _asked(spark, folder).select("qid", F.explode(tokens.mixed_tokens(F.col("query"))).alias("term"))
+    asked = read_table(spark, folder, "query_results").select(F.col("result_id").alias("qid"), "query").distinct()
+    terms = asked.select("qid", F.explode(tokens.mixed_tokens(F.col("query"))).alias("term"))
     return bm25.search(bm25.Bm25Index.load(spark, path), terms, 5).select("qid", "id", "rank")
 
 
@@ -80,10 +81,12 @@ def s13_event_lines(spark, folder):
 
 QUERIES = {f.__name__: f for f in (s04_entries_store, s05_chunks_store, s06_index_store, s07_vector_store, s10_truncate, s11_eval_set, s12_report_store, s13_event_lines)}
 
+_ALL_ASKED = "(SELECT DISTINCT result_id AS qid, query FROM query_results)"
+
 SQL = {
     "s04_entries_store": "SELECT drug_name, category_hint, len(sections)::INT AS n_sections, md5(sections[1].content) AS first FROM drug_entries",
     "s05_chunks_store": "SELECT chunk_id, section, is_yinpian, char_count, md5(content) AS content FROM chunks",
-    "s06_index_store": f"WITH {_BM25_CTES} SELECT qid, id, rank FROM bm WHERE rank <= 5",
+    "s06_index_store": f"WITH {_BM25.replace('@asked', _ALL_ASKED)} SELECT qid, id, rank FROM bm WHERE rank <= 5",
     "s07_vector_store": "SELECT vec_id, CASE WHEN vec_id < 10 THEN 2 ELSE 1 END * count(*) AS n, max(len(embedding))::INT AS dim FROM embeddings GROUP BY vec_id",
     "s10_truncate": "SELECT 0 AS n",
     "s11_eval_set": "SELECT 'Q' || canon_id AS id, section_name AS query, coalesce(len(aliases), 0)::INT AS n_keywords FROM section_catalog WHERE section_group = (SELECT arg_min(section_group, canon_id) FROM section_catalog) ORDER BY canon_id LIMIT 3",
