@@ -377,6 +377,56 @@ def test_pruned_search_gives_the_lists_of_a_whole_one(spark, monkeypatch):
         assert sorted(got.get(q, [])) == [(i + 1, d, round(-s, 6)) for i, (s, d) in enumerate(best) if s < 0], q
 
 
+@pytest.mark.parametrize("dense", (0, 8, 1_000))
+def test_shard_returns_the_best_with_terms_below_zero(monkeypatch, dense):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(bm25, "DENSE", dense)
+    rng = np.random.default_rng(5)
+    tf = rng.integers(1, 5, (300, 12)) * (rng.random((300, 12)) < np.linspace(0.02, 0.9, 12))
+    dl = rng.integers(1, 40, 300)
+    doc, slot = np.nonzero(tf)
+    places = pa.table({"slot": slot, "id": doc, "tf": tf[doc, slot].astype(np.int32), "dl": dl[doc].astype(np.int32)})
+    bags = [(rng.choice(14, n := rng.integers(1, 7), replace=False), rng.choice((-0.4, 0.5, 2.0, 4.0), n)) for _ in range(200)]
+    queries = pa.table({"gid": range(200), "slots": [list(map(int, b[0])) for b in bags], "factors": [b[1].tolist() for b in bags], "least": np.zeros(200)})
+    got = {}
+    for r in bm25._shard_top(places, queries, 4, 1.5, 0.75, 20.0).to_pylist():
+        got.setdefault(r["gid"], []).append((-round(r["score"], 9), r["id"]))
+    weight = np.hstack([tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl[:, None] / 20.0)), np.zeros((300, 2))])
+    for q, (terms, factors) in enumerate(bags):
+        score = weight[:, terms] @ factors
+        assert sorted(got.get(q, [])) == sorted((-round(s, 9), d) for d, s in enumerate(score.tolist()) if s > 1e-9)[:4], q
+
+
+def test_equal_documents_of_different_shards_have_equal_scores():
+    """Whatever else a shard holds: sums of another order may differ in what rounding sees."""
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    bags = [[rng.uniform(0.1, 2) for _ in range(6)] for _ in range(40)]
+
+    def scores(*others):
+        rows = [(slot, 7, 1, 20) for slot in range(6)] + list(others)
+        slots, ids, tf, dl = zip(*rows)
+        places = pa.table({"slot": slots, "id": ids, "tf": pa.array(tf, pa.int32()), "dl": pa.array(dl, pa.int32())})
+        queries = pa.table({"gid": range(40), "slots": [list(range(6))] * 40, "factors": bags, "least": [0.0] * 40})
+        return {r["gid"]: r["score"] for r in bm25._shard_top(places, queries, 9, 1.5, 0.75, 30.0).to_pylist() if r["id"] == 7}
+
+    one = scores()
+    assert len(one) == 40 and all(scores((slot, 8, 50, 5), (other, 9, 9, 5)) == one for slot in range(6) for other in range(6))
+
+
+def test_index_saved_where_it_is_counted(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"人参性状{'甘草' * (i % 3)} a{i}") for i in range(30)] + [(30, None)], "id int, t string")
+    bm25.build_mixed(docs, "t").save(f"{tmp_path}/a")
+    bm25.build_mixed(docs, "t", path=f"{tmp_path}/b")
+    a, b = (bm25.Bm25Index.load(spark, f"{tmp_path}/{x}") for x in "ab")
+    for part in ("postings", "terms", "stats"):
+        rows = sorted(getattr(a, part).collect())
+        assert rows == sorted(getattr(b, part).collect()) and rows
+
+
 def test_answer_questions(spark):
     from vellumflow.operators import pipeline
 

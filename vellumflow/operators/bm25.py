@@ -3,7 +3,7 @@
 Building counts the terms of each document where it stands, without a shuffle, and aggregates
 once by term. Searching takes only the postings of the query terms and cuts the documents into
 shards. A histogram of each term's weights gives a score that the ``k`` best of a query reach at
-least; a shard looks only into the lists of terms that can reach it, and returns only what does
+least; a shard raises it, looks only into the lists of terms that can reach it, and returns only what does
 (exact: what is left out cannot be among the ``k`` best). Queries of the same terms are searched
 once.
 """
@@ -28,6 +28,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 SALTS = 16
 #: Postings of a shard; least postings for which another of the first shards is made, and how many those are.
 SHARD_POSTINGS, LEAST_POSTINGS, FIRST_SHARDS = 3_000_000, 50_000, 6
+#: A list of up to so many times the documents looked up in it is spread out, a longer one is searched.
+DENSE = 8
 #: Query terms of a block, which a shard meets at once.
 BLOCK_TERMS = 4_000_000
 #: Steps of the histograms of weights to 1, a power of 2; slack for the order of sums.
@@ -44,6 +46,9 @@ class Bm25Index:
         """The derived tables; postings are ordered by term in every file, so that a scan for few
         terms prunes pages, and need no shuffle."""
         self.postings.sortWithinPartitions("term").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+        self._save_statistics(path)
+
+    def _save_statistics(self, path: str) -> None:
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
@@ -80,25 +85,31 @@ def build(docs: DataFrame, tokens: Column, id_col: str = "id") -> Bm25Index:
     return _index(docs, tokenised.mapInArrow(_count, f"id {_kind(tokenised)}, term string, tf bigint, dl int"))
 
 
-def build_mixed(docs: DataFrame, text_col: str, id_col: str = "id") -> Bm25Index:
-    """The index of ``mixed_tokens`` of a text, counted without a row or a string per token."""
+def build_mixed(docs: DataFrame, text_col: str, id_col: str = "id", path: str | None = None) -> Bm25Index:
+    """The index of ``mixed_tokens`` of a text, counted without a row or a string per token.
+    With ``path`` it is also saved there: its postings are written there at once, ordered by term
+    in every batch of documents, and not a second time."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return _index(docs, texts.mapInArrow(_count_mixed, f"id {_kind(texts)}, term string, tf bigint, dl int"))
+    index = _index(docs, texts.mapInArrow(_count_mixed, f"id {_kind(texts)}, term string, tf bigint, dl int"), path and f"{path}/postings")
+    if path:
+        index._save_statistics(path)
+    return index
 
 
 def _kind(df: DataFrame) -> str:
     return df.schema["id"].dataType.simpleString()
 
 
-def _index(docs: DataFrame, counted: DataFrame) -> Bm25Index:
-    """The postings are written once, compressed, in the shared folder; dictionary and
-    statistics are aggregations of them and do not tokenise again."""
-    postings = stored(counted)
+def _index(docs: DataFrame, counted: DataFrame, path: str | None = None) -> Bm25Index:
+    """The postings are written once, compressed, at ``path`` or in the shared folder; dictionary
+    and statistics are aggregations of them and do not tokenise again."""
+    postings = stored(counted, path)
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    stats = cut(n_docs.crossJoin(postings.agg(F.sum("tf").alias("n_tokens"))).select("n_docs", (F.coalesce("n_tokens", F.lit(0)) / F.greatest("n_docs", F.lit(1))).alias("avgdl")))  # one row each
+    counts = cut(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")))
+    stats = cut(n_docs.crossJoin(counts.agg(F.sum("tf").alias("n_tokens"))).select("n_docs", (F.coalesce("n_tokens", F.lit(0)) / F.greatest("n_docs", F.lit(1))).alias("avgdl")))  # one row each
     n_docs = stats.select("n_docs")
-    frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n_docs))  # one row
-    raw = cut(frequencies.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    frequencies = counts.select("term", "df").crossJoin(F.broadcast(n_docs))  # one row
+    raw = frequencies.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
     terms = raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))  # one row
     return Bm25Index(postings, terms, stats)
@@ -120,7 +131,7 @@ def search_groups(index: Bm25Index, query_terms: DataFrame, k: int = 15, k1: flo
     known = cut(asked.select("term").distinct().join(index.terms, "term").withColumn("slot", F.monotonically_increasing_id()))
     n_postings = known.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     avgdl = index.stats.first()["avgdl"]
-    postings = _asked_postings(index.postings, known.select("term", "slot"), most)
+    postings = stored(_asked_postings(index.postings, known.select("term", "slot"), most))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
     steps = postings.groupBy("slot", F.floor(weight * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n"))
     above = F.sum("n").over(Window.partitionBy("slot").orderBy(F.col("step").desc()))
@@ -163,7 +174,12 @@ def search(index: Bm25Index, query_terms: DataFrame, k: int = 15, k1: float = K1
 
 
 def _shard_top(places: pa.Table, queries: pa.Table, k: int, k1: float, b: float, avgdl: float) -> pa.Table:
-    """``gid, id, score`` of the documents of a shard that may be among the ``k`` best."""
+    """``gid, id, score`` of the documents of a shard that may be among the ``k`` best.
+
+    A query takes its lists from the one of the highest factor on, in every shard in the same order, so
+    that equal documents have equal sums. The ``k`` best of a list so far raise what a document needs;
+    once the lists left do not reach it alone, they are only looked up.
+    """
     ids = pc.unique(places["id"])
     ids = ids.take(pc.sort_indices(ids))  # documents are numbered in the order of their ids
     doc = pc.index_in(places["id"], ids).to_numpy().astype(np.int64)
@@ -179,47 +195,62 @@ def _shard_top(places: pa.Table, queries: pa.Table, k: int, k1: float, b: float,
     size = pc.list_value_length(queries["slots"]).to_numpy()
     terms, factor = (pc.list_flatten(queries[c]).to_numpy() for c in ("slots", "factors"))
     owner, least = np.repeat(np.arange(len(size)), size), np.maximum(queries["least"].to_numpy() - SLACK, 0)
+    lost = np.bincount(owner, np.minimum(factor, 0) * (k1 + 1), len(size)) - SLACK  # what a score may still lose
     at = np.minimum(np.searchsorted(held, terms), max(len(held) - 1, 0))
     mine = held[at] == terms if len(held) else np.zeros(len(terms), bool)
     at, factor, owner = at[mine], factor[mine], owner[mine]
     most = np.maximum(factor * highest[at], 0) if len(held) else factor
-    can = np.bincount(owner, most, len(size)) >= least  # what all terms together reach
-    use = can[owner] & (factor != 0)
+    reach = np.bincount(owner, most, len(size))  # what all terms together reach
+    use = (reach >= least)[owner] & (factor != 0)
     at, factor, owner, most = at[use], factor[use], owner[use], most[use]
-    order = np.lexsort((most, owner))
+    order = np.lexsort((at, -factor, owner))
     at, factor, owner, most = at[order], factor[order], owner[order], most[order]
     asked, first = np.unique(owner, return_index=True)
-    at, factor, most, ends, least = at.tolist(), factor.tolist(), most.tolist(), np.append(first, len(owner)).tolist(), least.tolist()
-    start = start.tolist()
+    from_, to = start[at].tolist(), start[at + 1].tolist()
+    factor, most, ends, least, lost, reach = factor.tolist(), most.tolist(), np.append(first, len(owner)).tolist(), least.tolist(), lost.tolist(), reach.tolist()
 
     total = np.zeros(len(ids))
     gids, docs, scores = [], [], []
     for n, q in enumerate(asked.tolist()):
-        i, end, rest, need = ends[n], ends[n + 1], 0.0, least[q]
-        while i < end and (most[i] <= 0 or rest + most[i] < need):  # these alone do not reach it
-            rest += most[i]
+        i, end, rest, need = ends[n], ends[n + 1], reach[q], least[q]
+        lists, parts = [], []
+        while i < end and most[i] > 0 and rest >= need:  # else documents of the other lists alone do not reach it
+            d = doc[from_[i] : to[i]]
+            before = total[d]
+            s = before + weight[from_[i] : to[i]] * factor[i]
+            total[d] = s
+            parts.append(d[before == 0] if lists else d)
+            lists.append(d)
+            rest -= most[i]
             i += 1
-        if i == end:
+            if len(s) >= k and i < end:
+                need = max(need, np.partition(s, -k)[-k] + lost[q])
+        if not lists:
             continue
-        lists = [(start[at[j]], start[at[j] + 1], factor[j]) for j in range(i, end)]
-        if len(lists) == 1:
-            x, y, f = lists[0]
-            d, s = doc[x:y], weight[x:y] * f
-            near = s + rest >= need
-            d, s = d[near], s[near]
-        else:
-            for x, y, f in lists:
-                total[doc[x:y]] += weight[x:y] * f
-            d = np.concatenate([doc[x:y] for x, y, _ in lists])
+        found = []
+        for d in parts:
             s = total[d]
-            total[d] = 0
             near = s + rest >= need
-            d, once = np.unique(d[near], return_index=True)
-            s = s[near][once]
-        for j in range(ends[n], i) if len(d) else ():
-            x, y = start[at[j]], start[at[j] + 1]
-            place = np.minimum(np.searchsorted(doc[x:y], d), y - x - 1) + x
-            s = s + np.where(doc[place] == d, weight[place] * factor[j], 0)
+            found.append((d[near], s[near]))
+        for d in lists:
+            total[d] = 0
+        d, s = found[0] if len(found) == 1 else map(np.concatenate, zip(*found))
+        for j in range(i, end):
+            if not len(d):
+                break
+            x, y = from_[j], to[j]
+            if y - x < DENSE * len(d):
+                total[doc[x:y]] = weight[x:y]
+                s = s + total[d] * factor[j]
+                total[doc[x:y]] = 0
+            else:
+                place = np.minimum(np.searchsorted(doc[x:y], d), y - x - 1) + x
+                s = s + np.where(doc[place] == d, weight[place] * factor[j], 0)
+            rest -= most[j]
+            if len(d) > k:
+                need = max(need, np.partition(s, -k)[-k] + lost[q])
+                near = s + rest >= need
+                d, s = d[near], s[near]
         kept = (s >= need) & (s > 0)
         d, s = d[kept], s[kept]
         if len(d) > k:

@@ -29,8 +29,8 @@ def mixed_tokens(text: Column) -> Column:
 
 
 def mixed_counts(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """``row, term, count`` of the distinct ``mixed_tokens`` of every text, and the number of
-    tokens of every text, over all characters of a batch at once."""
+    """``row, term, count`` of the distinct ``mixed_tokens`` of every text, term by term, and the
+    number of tokens of every text, over all characters of a batch at once."""
     rows = [t or "" for t in texts.to_pylist()]
     whole = "\n".join(rows) + "\n"
     code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -46,11 +46,13 @@ def mixed_counts(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.
     # a pair is below 2^32, a lone ideograph below 2^16, words are numbered from 2^32
     keys = np.concatenate([code[two] << 16 | code[two + 1], code[lone], words.indices.to_numpy().astype(np.int64) + (1 << 32)])
     at = np.concatenate([row[two], row[lone], row[first]])
-    found, times = np.unique(at << 34 | keys, return_counts=True)
-    kinds, kind = np.unique(found & ((1 << 34) - 1), return_inverse=True)
+    found, times = np.unique(keys << 29 | at, return_counts=True)
+    key = found >> 29
+    new = np.diff(key, prepend=-1) != 0
+    kinds, kind = key[new], np.cumsum(new) - 1
     listed = words.dictionary.to_pylist()
     names = pa.array([listed[k - (1 << 32)] if k >> 32 else (chr(k >> 16) if k >> 16 else "") + chr(k & 0xFFFF) for k in kinds.tolist()], pa.string())
-    return found >> 34, names.take(pa.array(kind)), times, np.bincount(at, minlength=len(rows))
+    return found & ((1 << 29) - 1), names.take(pa.array(kind)), times, np.bincount(at, minlength=len(rows))
 
 
 class LongestMatch:

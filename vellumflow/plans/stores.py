@@ -31,7 +31,7 @@ def s05_chunks_store(spark, folder):
 def s06_index_store(spark, folder):
     """A saved and loaded index answers as a fresh one does, for all questions."""
     path = shared_path(spark)
-    bm25.build_mixed(_docs(spark, folder), "content", "chunk_seq").save(path)
+    bm25.build_mixed(_docs(spark, folder), "content", "chunk_seq", path)
     asked = read_table(spark, folder, "query_results").select(F.col("result_id").alias("qid"), "query").distinct()
     terms = asked.select("qid", F.explode(tokens.mixed_tokens(F.col("query"))).alias("term"))
     return bm25.search(bm25.Bm25Index.load(spark, path), terms, 5).select("qid", "id", "rank")

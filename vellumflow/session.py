@@ -60,11 +60,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: like ``cut``, but in compressed
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` written to ``path`` or the shared folder and read again: like ``cut``, but in compressed
     columns, for what is large. A local folder is removed at the end; on a cluster it is left."""
-    path = shared_path(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    path = path or shared_path(df.sparkSession)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
