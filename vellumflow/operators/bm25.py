@@ -72,10 +72,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(out, ["id", "term", "tf", "dl"])
 
 
-def _count_mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``_count`` of the mixed tokens of a text."""
+def _count_mixed(batches: Iterator[pa.RecordBatch], by_term: bool) -> Iterator[pa.RecordBatch]:
+    """``_count`` of the mixed tokens of a text, ordered by term or by document."""
     for batch in batches:
         row, term, times, size = mixed_counts(batch.column(1))
+        if not by_term:
+            order = np.argsort(row, kind="stable")
+            row, term, times = row[order], term.take(pa.array(order)), times[order]
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), term, pa.array(times), pa.array(size[row].astype(np.int32))], ["id", "term", "tf", "dl"])
 
 
@@ -89,8 +92,8 @@ def build_mixed(docs: DataFrame, text_col: str, id_col: str = "id", path: str |
     """The index of ``mixed_tokens`` of a text, counted without a row or a string per token.
     With ``path`` it is also saved there: its postings are written there at once, ordered by term
     in every batch of documents, and not a second time."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    index = _index(docs, texts.mapInArrow(_count_mixed, f"id {_kind(texts)}, term string, tf bigint, dl int"), path and f"{path}/postings")
+    texts, by_term = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), path is not None
+    index = _index(docs, texts.mapInArrow(lambda batches: _count_mixed(batches, by_term), f"id {_kind(texts)}, term string, tf bigint, dl int"), path and f"{path}/postings")
     if path:
         index._save_statistics(path)
     return index
